@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, langid, mpeg, packing
+from textmill.llm import bpe, langid, mpeg, neardup, packing, quality
 from textmill.llm.shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,11 +52,19 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), RANKS, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op10_byte_bpe)
+    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op6_minhash_near_dedup, op9_quality_rules, op10_byte_bpe)
 }
 SQL: dict[str, str] = {}
