@@ -81,7 +81,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     wide = np.concatenate([word, np.zeros(WORDS - 1, np.uint64)])
     shingle = np.zeros(len(word), np.uint64)
     for k in range(WORDS):
-        shingle += mix64(wide[k : k + len(word)] ^ PLACE[k])* PLACE[k]
+        shingle += mix64(wide[k : k + len(word)] ^ PLACE[k]) * PLACE[k]
     shingle = mix64(shingle)
     doc = np.repeat(np.arange(texts), count)
     good = np.arange(len(word)) + WORDS <= begins[1:][doc]

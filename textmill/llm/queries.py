@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, langid, mpeg, neardup, packing, quality
+from textmill.llm import bpe, langid, mpeg, neardup, packing, pii, quality, secrets
 from textmill.llm.shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,10 +52,20 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_lstm")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
@@ -65,6 +75,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op6_minhash_near_dedup, op9_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op9_quality_rules, op10_byte_bpe)
 }
 SQL: dict[str, str] = {}
