@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, langid, mpeg, neardup, packing, pii, quality, secrets
+from textmill.llm import bpe, htmltext, langid, mpeg, neardup, packing, pii, quality, secrets
 from textmill.llm.shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,11 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.fit(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return htmltext.extract(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
@@ -75,6 +80,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op9_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op8_html_main_text, op9_quality_rules, op10_byte_bpe)
 }
 SQL: dict[str, str] = {}
