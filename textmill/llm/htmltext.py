@@ -87,8 +87,8 @@ def read_blocks(page: str) -> list[Block]:
                 link_from = 0
             whole = " ".join(entities.unescape(joined).split())
             if whole:
-                tag, own, content, boiler = stack[-1]
-                blocks.append(Block(whole, links, tag, own if tag not in ("p", "li", "td", "th", "dd", "dt") or len(stack) < 2 else stack[-2][1], SURE if content and not boiler else -SURE if boiler else 0.0, -1 if boiler else 1 if content else 0))
+                tag, _, content, boiler = stack[-1]
+                blocks.append(Block(whole, links, tag, stack[-2][1] if len(stack) > 1 else 0, SURE if content and not boiler else -SURE if boiler else 0.0, -1 if boiler else 1 if content else 0))
             text.clear()
         links = 0
 
