@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, htmltext, langid, mpeg, neardup, packing, pii, quality, secrets
+from textmill.llm import bpe, chat, htmltext, langid, mpeg, neardup, packing, pii, quality, secrets
 from textmill.llm.shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +38,10 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.without_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
@@ -80,6 +84,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op8_html_main_text, op9_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_mpeg_audio, op2_quotation_linking, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op8_html_main_text, op9_quality_rules, op10_byte_bpe)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quotation_linking": chat.SQL}
