@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,12 +32,12 @@ from textmill.llm.shared import text_blocks
 
 SEQ_LEN = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 _memos: dict[str, "WordTokens"] = {}
 
 
 class WordTokens:
-    """ids of a byte-level BPE file of the tokenizers library, remembered for each pre-token."""
+    """ids of a byte-level BPE file of the tokenizers library, remembered for each pre-token as unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,18 +45,29 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+        self.cache: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Words that are a space and letters are encoded end to end, as they stay pre-tokens of their own."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        if plain:
+            made = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+            ids, word = np.array(made.ids, np.uint32).tobytes(), np.array(made.word_ids, np.int64)
+            at = (np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word)) * 4).tolist()
+            if len(at) == len(plain) + 1:
+                self.cache.update(zip(plain, (ids[a:b] for a, b in zip(at, at[1:]))))
+        rest = [w for w in words if w not in self.cache]
+        self.cache.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         words = [split(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
             new = set(chain.from_iterable(words))
-        new = list(new)
-        self.cache.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
+        self.learn(list(new))
         get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, w))) for w in words]
+        return [b"".join(map(get, w)) for w in words]
 
 
 def tokens_of(path: str) -> WordTokens:
@@ -124,7 +136,8 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=schema.fieldNames())
 
         for block in text_blocks(batches, 1, 1 << 21):
-            docs += [np.array([*ids, end_id], np.uint32) for ids in encode([t or "" for t in block.column(1).to_pylist()])]
+            end = array("I", [end_id]).tobytes()
+            docs += [np.frombuffer(ids + end, np.uint32) for ids in encode([t or "" for t in block.column(1).to_pylist()])]
             keys.append(block.column(0))
             held += sum(len(d) for d in docs[-block.num_rows :])
             if held >= window_tokens:
