@@ -1 +1,3 @@
 """Imports every module of queries."""
+
+from textmill.plans import text_queries  # noqa: F401
