@@ -9,9 +9,9 @@ similarity 0.85 a pair misses all 32 of them with probability 3e-7.
 No bucket is expanded into all its pairs. Equal sets are one node from the start. Round one compares the members of each
 bucket with three centres (the same ones in all buckets of a group); components of the verified links are contracted; a
 bucket whose members are all in one component is done. The rest go on with new centres while their pairs of members of
-different components are many, and then compare exactly those pairs. So each pair that shares a bucket is
-either compared or already joined. Before texts move, pairs must agree in sizes and in 64 bytes of sketch (at
-similarity 0.85, fewer than 34 agree with probability below 1e-9).
+different components are many and become fewer, and then exactly those pairs are compared. So each pair that shares a bucket is
+either compared or already joined. Before texts move, pairs must agree in sizes and in three bits of
+256 coordinates (at similarity 0.85, fewer than 190 agree with probability 1e-8).
 
 Defined results: texts without words (or null) have no shingles and link with nothing; rows with a null key link with nothing, are
 kept and have a null component; rows that share a key count as one document; repeated rows are in one component;
@@ -31,15 +31,20 @@ from textmill.llm.shared import cut_lineage, map_text, mix64, text_blocks, utf8
 
 WORDS = 5
 PERCENT = 85
-ROWS = 6
-BANDS = 32
+ROWS = 8
+BANDS = 36
 COORDS = ROWS * BANDS
-SIGN = 64
-SIGN_AGREE = 34
+#: Three bits of each of the first 256 coordinates, as longs; so many coordinates must agree.
+SIGN = 256
+PLANES = 3
+WORDS64 = SIGN // 64
+SIGN_COLUMNS = tuple(f"w{i}" for i in range(PLANES * WORDS64))
+SIGN_AGREE = 190
 #: Nodes whose ids may be broadcast as a filter of the scan; beyond it the filter is a shuffle join.
 BROADCAST_NODES = 1_000_000
 CENTRE_SEEDS = (11, 12)
-MORE_ROUNDS = 6
+MORE_ROUNDS = 3
+MANY = 4096
 _rng = np.random.Generator(np.random.PCG64(20240521))
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, np.uint64)
 BYTE_CODE[65:91] = BYTE_CODE[97:123]  # A-Z count as a-z
@@ -131,7 +136,7 @@ def sketches(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n_shingles, two hashes of the set, the keys of its bands and SIGN bytes of its sketch."""
+    """key, n_shingles, two hashes of the set, the keys of its bands and SIGN_COLUMNS."""
 
     def make():
         band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -142,7 +147,8 @@ def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
             texts, n = len(column), np.diff(begin)
             sk = sketches(sets, begin)
             keys = mix64((mix64(sk).reshape(texts, BANDS, ROWS) * weight).sum(2, dtype=np.uint64) + band)
-            sign = (mix64(sk[:, :: COORDS // SIGN]) & np.uint64(255)).astype(np.uint8)
+            low = (mix64(sk[:, :SIGN]) & np.uint64(255)).astype(np.uint8)
+            sign = [np.packbits((low >> p) & 1, axis=1).reshape(texts, WORDS64, 8).view(np.int64)[:, w, 0].copy() for p in range(PLANES) for w in range(WORDS64)]
             hashes = []
             for seed in (0x1234567, 0x7654321):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(seed)))])
@@ -150,11 +156,11 @@ def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
             some = n > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            return [n.astype(np.int64), *hashes, bands, pa.array([s.tobytes() for s in sign], pa.binary())]
+            return [n.astype(np.int64), *hashes, bands, *sign]
 
         return block
 
-    return map_text(df, make, "n_shingles long, h1 long, h2 long, bands array<long>, sign binary", text, [key])
+    return map_text(df, make, "n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SIGN_COLUMNS), text, [key])
 
 
 def set_bytes(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -170,16 +176,22 @@ def set_bytes(df: DataFrame, text: str, key: str) -> DataFrame:
     return map_text(df, make, "shingles binary", text, [key])
 
 
-def agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree often enough (columns sa, sb), without the sketches."""
+def told(facts: DataFrame, side: str) -> DataFrame:
+    """facts with its columns but bucket named for one side of a pair."""
+    return facts.select(*[F.col(c) if c == "bucket" else F.col(c).alias(f"{c}_{side}") for c in facts.columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SIGN) for i in (2, 3))
-                yield b.filter(pa.array((x == y).sum(1) >= SIGN_AGREE)).select([0, 1])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
+def likely(percent: int) -> Column:
+    """Whether sizes and sketches of sides x and y allow the similarity."""
+    sizes = F.least("n_shingles_x", "n_shingles_y") * 100 >= F.greatest("n_shingles_x", "n_shingles_y") * percent
+    apart = F.lit(0)
+    for w in range(WORDS64):
+        bits = F.lit(0).cast("long")
+        for p in range(PLANES):
+            c = SIGN_COLUMNS[p * WORDS64 + w]
+            bits = bits.bitwiseOR(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")))
+        apart = apart + F.bit_count(bits)
+    return sizes & (SIGN - apart >= SIGN_AGREE)
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -221,11 +233,20 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def cross_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of one bucket and two components."""
+    known = members.join(facts, "node")
+    joined = told(known, "x").withColumnRenamed("bucket", "bucket_x").join(
+        told(known, "y"), (F.col("bucket_x") == F.col("bucket")) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & likely(percent)
+    )
+    return joined.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id (the least key reachable) and kept (key = component_id)."""
     rows = cut_lineage(sketch_documents(df, text, key).withColumnRenamed(key, "id"))
     linkable = rows.where("n_shingles > 0 and id is not null")
-    classes = cut_lineage(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
+    classes = cut_lineage(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SIGN_COLUMNS]))
     entries = classes.select(F.explode("bands").alias("bucket"), "node")
     picks = entries.groupBy("bucket").agg(
         F.min("node").alias("c0"), F.max("node").alias("last"), *[F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"c{i}") for i, s in enumerate(CENTRE_SEEDS, 1)]
@@ -233,22 +254,21 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     shared = entries.join(picks.where("c0 < last"), "bucket")
     buckets = cut_lineage(shared.select("bucket", "node", F.array("c0", "c1", "c2").alias("centres")))
     nodes = cut_lineage(buckets.select("node").distinct())
-    facts = classes.select("node", "n_shingles", "sign")
+    facts = classes.select("node", "n_shingles", *SIGN_COLUMNS)
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     sets = df.join(wanted, df[key] == wanted["node"], "left_semi").select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text"))
     sets = cut_lineage(set_bytes(sets, "text", "node").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sign").alias("sa")), "a")
-        both = left.join(facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sign").alias("sb")), "b")
-        both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        close = agreeing(both)
+        both = pairs.join(told(facts, "x").withColumnRenamed("node_x", "a"), "a").join(told(facts, "y").withColumnRenamed("node_y", "b"), "b")
+        close = both.where(likely(percent)).select("a", "b")
         full = close.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
         return similar(full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b"), percent)
 
     pairs = buckets.select("node", F.explode(F.array_distinct("centres")).alias("centre")).where("node <> centre").select(*ordered(F.col("node"), F.col("centre"))).distinct()
     links = cut_lineage(verified(pairs))
     label = components(links)
+    before = None
     for step in range(MORE_ROUNDS + 1):
         named = buckets.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         ranges = named.groupBy("bucket").agg(
@@ -259,17 +279,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
         pairs_left, members = undone.agg(F.sum("n"), F.count("*")).first()
         if not members:
             break
-        if pairs_left > 64 * members and step < MORE_ROUNDS:
-            more = undone.where("component <> centre.component").select(*ordered(F.col("node"), F.col("centre.node")))
+        last = step == MORE_ROUNDS or pairs_left <= MANY * members or (before is not None and pairs_left > 0.9 * before)
+        before = pairs_left
+        if last:
+            more = cross_pairs(undone.select("bucket", "node", "component"), facts, percent)
         else:
-            x, y = (undone.select("bucket", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in ("x", "y"))
-            more = x.join(y, "bucket").where("x < y and cx <> cy").select(*ordered(F.col("x"), F.col("y")))
+            more = undone.where("component <> centre.component").select(*ordered(F.col("node"), F.col("centre.node")))
         found = cut_lineage(verified(more.distinct().join(pairs, ["a", "b"], "left_anti")))
-        done = not (pairs_left > 64 * members and step < MORE_ROUNDS)
         if not found.isEmpty():
             links = links.union(found)
             label = components(links)
-        if done:
+        if last:
             break
     named = classes.join(label, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     full = rows.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
