@@ -77,9 +77,9 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHINGLES = rf"""
-WITH w AS (SELECT doc_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+WITH w AS (SELECT doc_id, unnest(list_transform({WORDS}, lambda x: lower(x))) AS w, unnest(range(len({WORDS}))) AS pos FROM documents),
+l AS (SELECT doc_id, w || ' ' || lead(w, 1) OVER x || ' ' || lead(w, 2) OVER x AS g FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos)),
+d AS (SELECT DISTINCT doc_id, g FROM l WHERE g IS NOT NULL), e AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM d),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2, 3, 4),
 p AS (SELECT a, b, shared / (na + nb - shared) AS similarity FROM c WHERE shared / (na + nb - shared) >= 0.85)"""
 
@@ -95,10 +95,12 @@ def near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.drop_near(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source")
 
 
+EIGHT = "w || ' ' || " + " || ' ' || ".join(f"lead(w, {i}) OVER x" for i in range(1, 8))
+
+
 @query(rf"""
-WITH m AS (SELECT doc_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM documents), i AS (SELECT item_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM benchmark),
-mg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k : k + 7], ' '))) AS g FROM m),
-ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda k: array_to_string(w[k : k + 7], ' '))) AS g FROM i)
+WITH m AS (SELECT doc_id, unnest(list_transform({WORDS}, lambda x: lower(x))) AS w, unnest(range(len({WORDS}))) AS pos FROM documents), i AS (SELECT item_id, unnest(list_transform({WORDS}, lambda x: lower(x))) AS w, unnest(range(len({WORDS}))) AS pos FROM benchmark),
+mg AS (SELECT doc_id, {EIGHT} AS g FROM m WINDOW x AS (PARTITION BY doc_id ORDER BY pos)), ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, {EIGHT} AS g FROM i WINDOW x AS (PARTITION BY item_id ORDER BY pos)))
 SELECT doc_id, count(DISTINCT item_id) AS items, count(DISTINCT mg.g) AS shared FROM mg JOIN ig ON mg.g = ig.g GROUP BY doc_id""")
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

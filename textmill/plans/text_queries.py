@@ -43,8 +43,10 @@ def distinct_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents)
-SELECT doc_id, round(CASE WHEN len(t) >= 25 THEN list_avg(list_transform(range(0, len(t) - 24, 10), lambda i: len(list_distinct(t[i + 1 : i + 25])) / 25)) WHEN len(t) = 0 THEN 0 ELSE len(list_distinct(t)) / len(t) END, 6) AS normalized_ttr FROM d""")
+WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), e AS (SELECT doc_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS pos, len(t) AS n FROM d),
+w AS (SELECT doc_id, n, tok, unnest(range(greatest(0, (pos - 25 + 9) // 10), (pos - 1) // 10 + 1)) AS j FROM e WHERE n >= 25),
+r AS (SELECT doc_id, j, count(DISTINCT tok) / 25 AS share FROM w WHERE j * 10 + 25 <= n GROUP BY doc_id, j), a AS (SELECT doc_id, avg(share) AS m FROM r GROUP BY doc_id)
+SELECT d.doc_id, round(CASE WHEN len(t) >= 25 THEN m WHEN len(t) = 0 THEN 0 ELSE len(list_distinct(t)) / len(t) END, 6) AS normalized_ttr FROM d LEFT JOIN a ON a.doc_id = d.doc_id""")
 def windowed_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(fx.windowed_ttr(fx.tokens("text")), 6).alias("normalized_ttr"))
 
