@@ -58,14 +58,12 @@ def code_matches(text: Column, codes: tuple[str, ...] = CODES) -> Column:
 def align(tokens: Column, entity: Column) -> Column:
     """Starts (from 0) at which the entity's tokens occur, case aside."""
 
-    def found(t: Column) -> Column:
-        e = F.transform(fx.ner_tokens(entity), F.lower)
-        low = F.transform(t, F.lower)
-        return F.when(
-            (F.size(e) > 0) & (F.size(t) >= F.size(e)), F.filter(F.sequence(F.lit(0), F.size(t) - F.size(e)), lambda i: F.slice(low, i + 1, F.size(e)) == e)
-        ).otherwise(F.array().cast("array<int>"))
-
-    return fx.let(tokens, found)
+    def found(low: Column, e: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(low) - F.size(e))
+        return F.when((F.size(e) > 0) & (F.size(low) >= F.size(e)), F.filter(places, lambda i: F.slice(low, i + 1, F.size(e)) == e)).otherwise(F.array().cast("array<int>"))
+
+    lowered = F.transform(tokens, F.lower)
+    return fx.let(F.transform(fx.ner_tokens(entity), F.lower), lambda e: fx.let(lowered, lambda low: found(low, e)))
 
 
 def gap_classes(spans: DataFrame, key: str = "doc_id") -> DataFrame:
