@@ -10,8 +10,9 @@ No bucket is expanded into all its pairs. Equal sets are one node from the start
 bucket with three centres (the same ones in all buckets of a group); components of the verified links are contracted; a
 bucket whose members are all in one component is done. The rest go on with new centres while their pairs of members of
 different components are many and become fewer, and then exactly those pairs are compared. So each pair that shares a bucket is
-either compared or already joined. Before texts move, pairs must agree in sizes and in three bits of
-256 coordinates (at similarity 0.85, fewer than 190 agree with probability 1e-8).
+either compared or already joined. Before texts move, pairs must agree in sizes, in three bits of
+256 coordinates (at similarity 0.85, fewer than 190 agree with probability 1e-8), and in a parity map: bit i tells whether an odd number of
+shingles hash to i, so two maps differ in at most as many bits as the sets differ in shingles; this rejects no true pair.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; rows with a null key link with nothing, are
 kept and have a null component; rows that share a key count as one document; repeated rows are in one component;
@@ -40,6 +41,10 @@ PLANES = 3
 WORDS64 = SIGN // 64
 SIGN_COLUMNS = tuple(f"w{i}" for i in range(PLANES * WORDS64))
 SIGN_AGREE = 190
+#: Bits of the parity map, as longs.
+PARITY = 512
+PARITY_COLUMNS = tuple(f"p{i}" for i in range(PARITY // 64))
+FACTS = SIGN_COLUMNS + PARITY_COLUMNS
 #: Nodes whose ids may be broadcast as a filter of the scan; beyond it the filter is a shuffle join.
 BROADCAST_NODES = 1_000_000
 CENTRE_SEEDS = (11, 12)
@@ -135,8 +140,17 @@ def sketches(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_maps(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """PARITY_COLUMNS of each text."""
+    texts = len(begin) - 1
+    at = np.repeat(np.arange(texts), np.diff(begin)) * PARITY + (mix64(sets ^ np.uint64(0x51F15EED)) >> np.uint64(40)).astype(np.int64) % PARITY
+    odd = (np.bincount(at, minlength=texts * PARITY) & 1).astype(np.uint8).reshape(texts, PARITY)
+    words = np.packbits(odd, axis=1).view(np.int64)
+    return [words[:, i].copy() for i in range(len(PARITY_COLUMNS))]
+
+
 def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n_shingles, two hashes of the set, the keys of its bands and SIGN_COLUMNS."""
+    """key, n_shingles, two hashes of the set, the keys of its bands and FACTS."""
 
     def make():
         band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -156,11 +170,11 @@ def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
             some = n > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            return [n.astype(np.int64), *hashes, bands, *sign]
+            return [n.astype(np.int64), *hashes, bands, *sign, *parity_maps(sets, begin)]
 
         return block
 
-    return map_text(df, make, "n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SIGN_COLUMNS), text, [key])
+    return map_text(df, make, "n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in FACTS), text, [key])
 
 
 def set_bytes(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -191,7 +205,9 @@ def likely(percent: int) -> Column:
             c = SIGN_COLUMNS[p * WORDS64 + w]
             bits = bits.bitwiseOR(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")))
         apart = apart + F.bit_count(bits)
-    return sizes & (SIGN - apart >= SIGN_AGREE)
+    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in PARITY_COLUMNS), F.lit(0))
+    same = differ * (100 + percent) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (100 - percent)
+    return sizes & (SIGN - apart >= SIGN_AGREE) & same
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +262,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     """One row for each row of df: key, n_shingles, component_id (the least key reachable) and kept (key = component_id)."""
     rows = cut_lineage(sketch_documents(df, text, key).withColumnRenamed(key, "id"))
     linkable = rows.where("n_shingles > 0 and id is not null")
-    classes = cut_lineage(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SIGN_COLUMNS]))
+    classes = cut_lineage(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in FACTS]))
     entries = classes.select(F.explode("bands").alias("bucket"), "node")
     picks = entries.groupBy("bucket").agg(
         F.min("node").alias("c0"), F.max("node").alias("last"), *[F.min_by("node", F.xxhash64("node", F.lit(s))).alias(f"c{i}") for i, s in enumerate(CENTRE_SEEDS, 1)]
@@ -254,7 +270,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     shared = entries.join(picks.where("c0 < last"), "bucket")
     buckets = cut_lineage(shared.select("bucket", "node", F.array("c0", "c1", "c2").alias("centres")))
     nodes = cut_lineage(buckets.select("node").distinct())
-    facts = classes.select("node", "n_shingles", *SIGN_COLUMNS)
+    facts = classes.select("node", "n_shingles", *FACTS)
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     sets = df.join(wanted, df[key] == wanted["node"], "left_semi").select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text"))
     sets = cut_lineage(set_bytes(sets, "text", "node").dropDuplicates(["node"]))
