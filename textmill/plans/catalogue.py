@@ -1,3 +1,3 @@
 """Imports every module of queries."""
 
-from textmill.plans import chain_queries, extract_queries, quality_queries, text_queries, vector_queries  # noqa: F401
+from textmill.plans import chain_queries, extract_queries, quality_queries, rollup_queries, text_queries, vector_queries  # noqa: F401
