@@ -3,11 +3,11 @@
 Statistics of a text become a vector: log mean word length, square roots of the shares of symbols and of repeated words, share of
 repeated lines, log number of words (shares of few words or lines are shrunk). For each language and source, a minimum covariance determinant estimate is found by
 concentration steps from two starts (median and deviation from it; mean and standard deviation), the start of the least determinant is taken, and
-the estimate is reweighted. A document is rejected if a base rule fails or its squared Mahalanobis distance is
+the estimate is reweighted. A language and source with fewer than ``least`` documents that pass the base rules is judged by the estimate of its
+language, and where the language has fewer by that of all rows, which has a wider floor if even they are few. A document is rejected if a base rule fails or its squared Mahalanobis distance is
 over ``cutoff``. The covariance has a fixed diagonal floor, so statistics that do not vary in a group leave it regular.
 
-Defined results: null texts count as empty (no words: base rule fails); null language or source is a group of its own; groups with
-fewer than ``least`` documents that pass the base rules are judged by these alone; equal rows get equal verdicts; an empty table gives no rows.
+Defined results: null texts count as empty (no words: base rule fails); null language or source is a group of its own; equal rows get equal verdicts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,10 +122,16 @@ def whitened(moments: DataFrame) -> DataFrame:
     return out.withColumn("log_det", log_det).drop(*[f"{x}_{i}_{j}" for x in "cl" for i in range(d) for j in range(i + 1)])
 
 
-def moments(rows: DataFrame, by: list[str]) -> DataFrame:
+def wider(covariance: Column, i: int, j: int, n: Column, least: float) -> Column:
+    """Fewer than ``least`` rows count the floor ``least`` / n times."""
+    return covariance + (F.greatest(least / n - 1, F.lit(0.0)) * FLOOR[i] ** 2 if i == j else 0.0)
+
+
+def moments(rows: DataFrame, by: list[str], least: float) -> DataFrame:
     d = range(len(FEATURES))
     means = [F.avg(FEATURES[i]).alias(f"m_{i}") for i in d]
-    return rows.groupBy(*by).agg(*means, *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in d for j in range(i + 1)])
+    cells = [wider(F.covar_pop(FEATURES[i], FEATURES[j]), i, j, F.count("*"), least).alias(f"c_{i}_{j}") for i in d for j in range(i + 1)]
+    return rows.groupBy(*by).agg(*means, *cells)
 
 
 def log_distance(d2: Column) -> Column:
@@ -133,45 +139,64 @@ def log_distance(d2: Column) -> Column:
     return F.round(F.ln(d2 + 1e-6), 3)
 
 
-def robust_estimates(points: DataFrame, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """For each lang and source of ``points`` (with FEATURES): the estimate's m_i, v_i_j and scale."""
+def robust_estimates(points: DataFrame, group: list[str], enough: Column, few: bool = False, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+    """For each group of ``points`` (with FEATURES) whose number of rows n is ``enough``: the estimate's m_i and v_i_j. ``few`` groups are broadcast."""
     d = range(len(FEATURES))
-    group = ["lang", "source"]
+    told = F.broadcast if few else lambda df: df
+    widen = subset * least if few else 0.0
     middle = points.groupBy(*group).agg(
         F.count("*").alias("n"), *[F.percentile(F.round(f, 3), F.lit(0.5)).alias(f"p_{i}") for i, f in enumerate(FEATURES)],
         *[F.avg(f).alias(f"a_{i}") for i, f in enumerate(FEATURES)], *[F.stddev_pop(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)],
-    ).where(F.col("n") >= least)
-    spread = points.join(middle, group).groupBy(*group).agg(
+    ).where(enough)
+    spread = points.join(told(middle), group).groupBy(*group).agg(
         *[F.percentile(F.round(F.abs(F.col(f) - F.col(f"p_{i}")), 3), F.lit(0.5)).alias(f"q_{i}") for i, f in enumerate(FEATURES)]
     )
     both = cut_lineage(middle.join(spread, group))
 
     def diagonal(start: int, centre: str, deviation: str, factor: float) -> DataFrame:
-        cells = [(F.pow(F.col(f"{deviation}_{i}") * factor, 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in d for j in range(i + 1)]
+        cells = [wider(F.pow(F.col(f"{deviation}_{i}") * factor, 2) if i == j else F.lit(0.0), i, j, F.col("n"), least).alias(f"c_{i}_{j}") for i in d for j in range(i + 1)]
         return both.select(*group, F.lit(start).alias("start"), *[F.col(f"{centre}_{i}").alias(f"m_{i}") for i in d], *cells)
 
     now = cut_lineage(whitened(diagonal(0, "p", "q", 1.4826).unionByName(diagonal(1, "a", "s", 1.0))))
     by = [*group, "start"]
     for _ in range(steps):
-        far = points.join(now, group).withColumn("far", log_distance(distance())).select(*by, *FEATURES, "far")
+        far = points.join(told(now), group).withColumn("far", log_distance(distance())).select(*by, *FEATURES, "far")
         limit = far.groupBy(*by).agg(F.percentile("far", F.lit(subset)).alias("limit"))
-        near = far.join(limit, by).where("far <= limit")
-        now = cut_lineage(whitened(moments(near, by)))
+        near = far.join(told(limit), by).where("far <= limit")
+        now = cut_lineage(whitened(moments(near, by, widen)))
     best = now.groupBy(*group).agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
     now = now.join(best, by).drop("start", "log_det")
-    far = points.join(now, group).withColumn("far", log_distance(distance())).select(*group, *FEATURES, "far")
+    far = points.join(told(now), group).withColumn("far", log_distance(distance())).select(*group, *FEATURES, "far")
     scale = far.groupBy(*group).agg((F.exp(F.percentile("far", F.lit(0.5))) / CHI_MEDIAN).alias("scale"))
-    inside = far.join(scale, group).where(F.exp("far") <= CHI_975 * F.greatest("scale", F.lit(1e-6))).select(*group, *FEATURES)
-    final = whitened(moments(inside, group)).drop("log_det")
+    inside = far.join(told(scale), group).where(F.exp("far") <= CHI_975 * F.greatest("scale", F.lit(1e-6))).select(*group, *FEATURES)
+    final = whitened(moments(inside, group, widen)).drop("log_det")
     return cut_lineage(final)
 
 
+def estimates(points: DataFrame, groups: DataFrame, least: int = LEAST) -> DataFrame:
+    """For each lang and source of ``groups``: the m_i and v_i_j of its own documents in ``points``, or of its language, or of all."""
+    by = ["lang", "source"]
+    own = robust_estimates(points, by, F.col("n") >= least, least=least)
+    without = cut_lineage(groups.join(own, by, "left_anti"))
+    if without.isEmpty():
+        return own
+    level = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("name")), F.struct(F.lit(1).alias("level"), F.lit("").alias("name"))))
+    wanted = without.select(level.alias("pool")).select("pool.*").distinct()
+    pooled = points.select(*FEATURES, level.alias("pool")).select(*FEATURES, "pool.*").join(F.broadcast(wanted), ["level", "name"], "left_semi")
+    pooled = robust_estimates(pooled, ["level", "name"], (F.col("n") >= least) | (F.col("level") == 1), True, least=least)
+    fit = F.struct(*[c for c in own.columns if c not in by])
+    of_lang = pooled.where("level = 0").select(F.col("name").alias("lang"), fit.alias("of_lang"))
+    of_all = pooled.where("level = 1").select(fit.alias("of_all"))
+    borrowed = without.join(F.broadcast(of_lang), "lang", "left").join(F.broadcast(of_all), how="left").select(*by, F.coalesce("of_lang", "of_all").alias("fit"))
+    return cut_lineage(own.unionByName(borrowed.select(*by, "fit.*")))
+
+
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id", cutoff: float = CUTOFF, least: int = LEAST) -> DataFrame:
     """One row for each of df: key, STATS, base_failed, distance (null without an estimate), kept, and __row, a hash of text, language and source."""
     identity = F.xxhash64(text, lang, source)
     stats = df.select(F.col(key).alias("__key"), F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), identity.alias("__row"), F.inline(F.array(statistics(F.col(text)))))
     points = cut_lineage(stats.withColumn("base_failed", base_failed()).select("*", *features()))
-    final = robust_estimates(points.where("not base_failed").select("lang", "source", *FEATURES), least=least)
+    final = estimates(points.where("not base_failed").select("lang", "source", *FEATURES), points.select("lang", "source").distinct(), least)
     judged = points.join(final, ["lang", "source"], "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return judged.select(F.col("__key").alias(key), *STATS, "base_failed", "distance", kept.alias("kept"), "__row")
