@@ -1,7 +1,10 @@
 """What the operators must do beyond their common cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textmill.llm import quality
 
 SF = "/root/testdata/sf0.01"
@@ -29,3 +32,19 @@ def test_quality_of_a_small_table(spark):
     few = spark.createDataFrame(few.where("quality = 1").orderBy("doc_id").limit(20).collect() + few.where("quality = 0").orderBy("doc_id").limit(3).collect(), docs.schema)
     got = quality.judge(few).join(few, "doc_id").groupBy("quality", "kept").count().collect()
     assert {tuple(r) for r in got} == {(1, True, 20), (0, False, 3)}
+
+
+def test_language_stage_rejects_and_corrects(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300")
+    real = {r.doc_id: r for r in docs.collect()}
+    rng = random.Random(1)
+    noise = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80))
+    other = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3
+    first = next(r for r in real.values() if r.lang == "en")
+    plant = lambda i, text, lang: first.asDict() | {"doc_id": 900_000 + i, "text": text, "lang": lang, "n_chars": len(text)}
+    planted = [plant(i, noise(), "en") for i in range(20)] + [plant(20, other, "en"), plant(21, first.text, "de"), plant(22, first.text, None)]
+    out = corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(planted, docs.schema)), SF)
+    got = {r.doc_id: r.lang for r in out.select("doc_id", "lang").collect()}
+    assert {k: v for k, v in got.items() if k >= 900_000} == {900_021: "en", 900_022: "en"}
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()} & set(real)
+    assert len(good) > 200 and all(got.get(k) == real[k].lang for k in good)
