@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textmill.llm import quality
+from textmill.llm import mpeg, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,3 +48,19 @@ def test_language_stage_rejects_and_corrects(spark):
     assert {k: v for k, v in got.items() if k >= 900_000} == {900_021: "en", 900_022: "en"}
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()} & set(real)
     assert len(good) > 200 and all(got.get(k) == real[k].lang for k in good)
+
+
+def test_mpeg_payload_like_a_tag(spark):
+    texts = {i: "x" * (192 * i + 65) + "TAG" + "y" * 30 for i in range(3)}
+    media = mpeg.write_mpeg(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rows = {r.doc_id: r for r in mpeg.read_mpeg(media).collect()}
+    for i, text in texts.items():
+        assert bytes(rows[i].payload) == text.encode().ljust(192 * (i + 1)) and rows[i].n_frames == i + 1 and rows[i].skipped_bytes == 0 and "ID3v1" not in rows[i].tags
+    tag = b"TAG" + b"title".ljust(125, b"\0")
+    plain = bytes(media.where("doc_id = 2").first()["media"]).replace(b"TAG", b"tag")
+    early = bytes(mpeg.write_mpeg(spark.createDataFrame([(1, "x" * (192 * 2 + 121) + "TAG")], "doc_id long, text string")).first()["media"])
+    # a real tag after whole frames, after a frame that is cut off, after bytes that are no frame; a cut last frame behind a payload like a tag; only a tag
+    data = [(1, plain + tag), (2, plain[:-80] + tag), (3, plain + b"junk" * 9 + tag), (4, early + early[-216:-160]), (5, tag)]
+    got = {r.doc_id: r for r in mpeg.read_mpeg(spark.createDataFrame(data, "doc_id long, media binary")).collect()}
+    assert [got[i].tags.get("ID3v1") for i in (1, 2, 3, 4, 5)] == ["title", "title", "title", None, "title"]
+    assert [got[i].n_frames for i in (1, 2, 3, 4, 5)] == [3, 2, 3, 3, 0] and got[3].skipped_bytes == 36

@@ -7,7 +7,7 @@ and VBRI, verifies the CRC of Layer III frames and gives exact durations and the
 
 Defined results: null and empty texts are one frame of spaces; a null stream, or one without frames, has no frames, a
 duration of 0 and an empty payload; bytes between frames are skipped and counted; a last frame that is cut off is
-not a frame.
+not a frame; "TAG" at 128 bytes from the end is an ID3v1 tag unless it lies inside a frame that the end or another header follows.
 """
 
 from __future__ import annotations
@@ -102,33 +102,37 @@ class Stream:
         self.table: dict | None = None
         self.samples, self.duration, self.rates = 0, Fraction(0), set()
         end = len(data)
-        if data[-128:-125] == b"TAG":
-            end -= 128
-            self.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+        mark = end - 128 if data[-128:-125] == b"TAG" else end  # where an ID3v1 tag begins, unless a frame covers it
         at = self.id3v2(data) if data[:3] == b"ID3" and len(data) >= 10 else 0
         kinds: dict[int, tuple | None] = {}
         kind_of, heads = [], []
         unpack = struct.Struct(">I").unpack_from
         synced = False
         while at + 4 <= end:
+            if at == mark:
+                end = mark
+                break
             head = unpack(data, at)[0]
             if head not in kinds:
                 kinds[head] = frame_size(head)
             kind = kinds[head]
             if kind and at + kind[0] <= end:
                 after = at + kind[0]
-                if synced or after + 4 > end or frame_size(unpack(data, after)[0]):
+                if (synced and not at < mark < after) or after + 4 > end or frame_size(unpack(data, after)[0]):
                     self.offsets.append(at)
                     kind_of.append(kind)
                     heads.append(head)
                     at, synced = after, True
                     continue
             synced = False
-            found = data.find(b"\xff", at + 1, end)
-            step = (found if found >= 0 else end) - at
+            stop = mark if at < mark else end
+            found = data.find(b"\xff", at + 1, stop)
+            step = (found if found >= 0 else stop) - at
             self.skipped += step
             at += step
         self.skipped += max(0, end - at)
+        if end < len(data):
+            self.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
         self.kinds = kind_of
         first = 0
         if kind_of and (table := self.vbr(data, self.offsets[0], heads[0], kind_of[0])):
