@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textmill.llm import mpeg, quality
+from textmill.llm import mpeg, neardup, quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,3 +64,27 @@ def test_mpeg_payload_like_a_tag(spark):
     got = {r.doc_id: r for r in mpeg.read_mpeg(spark.createDataFrame(data, "doc_id long, media binary")).collect()}
     assert [got[i].tags.get("ID3v1") for i in (1, 2, 3, 4, 5)] == ["title", "title", "title", None, "title"]
     assert [got[i].n_frames for i in (1, 2, 3, 4, 5)] == [3, 2, 3, 3, 0] and got[3].skipped_bytes == 36
+
+
+def test_near_dedup_stage_from_80_percent(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    rows = []
+    for i in range(300):  # a text and its beginning: similarities of 0.75 to 0.90
+        n = rng.randint(60, 400)
+        words = [word() for _ in range(n)]
+        cut = round(n * rng.uniform(0.75, 0.90))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:cut]))]
+    sets = {k: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)} for k, t in rows}
+    close = {i for i in range(300) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])}
+    between = {i for i in close if 100 * len(sets[2 * i] & sets[2 * i + 1]) < 85 * len(sets[2 * i] | sets[2 * i + 1])}
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert len(between) > 60 and {r.doc_id for r in out.collect()} == {k for k, _ in rows} - {2 * i + 1 for i in close}
+
+
+def test_bands_and_agreement_follow_from_the_similarity():
+    for percent in (50, 70, 80, 90, 100):
+        rows, bands = neardup.banding(percent)
+        s = min(percent / 100, 0.99)
+        assert (1 - s**rows) ** bands <= neardup.MISS and rows * bands <= neardup.MOST_COORDS
+    assert neardup.banding(80) == (6, 50) and neardup.sign_agree(80) == 174

@@ -1,17 +1,17 @@
 """Near-duplicate detection by fast similarity sketching, banding and exact verification.
 
-A document's set holds the distinct five-word shingles of its lower-cased text. The sketch has COORDS coordinates: round i
-throws every shingle into a bin by a fresh hash and keeps the least (round, value) of each bin; after COORDS such rounds,
-round COORDS + j throws all shingles into bin j, so every coordinate fills. Coordinates agree with the probability of the
-Jaccard similarity, concentrated at least as well as independent ones. Bands of ROWS coordinates give buckets: at
-similarity 0.85 a pair misses all 32 of them with probability 3e-7.
+A document's set holds the distinct five-word shingles of its lower-cased text. The sketch has C coordinates: round i
+throws every shingle into a bin by a fresh hash and keeps the least (round, value) of each bin; after C such rounds,
+round C + j throws all shingles into bin j, so every coordinate fills. Coordinates agree with the probability of the
+Jaccard similarity, concentrated at least as well as independent ones. Bands of coordinates give buckets; their number
+and width follow from the similarity asked for: such a pair misses all of them with a probability of MISS at most (0.80: 50 bands of 6).
 
 No bucket is expanded into all its pairs. Equal sets are one node from the start. Round one compares the members of each
 bucket with three centres (the same ones in all buckets of a group); components of the verified links are contracted; a
 bucket whose members are all in one component is done. The rest go on with new centres while their pairs of members of
 different components are many and become fewer, and then exactly those pairs are compared. So each pair that shares a bucket is
 either compared or already joined. Before texts move, pairs must agree in sizes, in three bits of
-256 coordinates (at similarity 0.85, fewer than 190 agree with probability 1e-8), and in a parity map: bit i tells whether an odd number of
+256 coordinates (a bound that a pair of the similarity asked for misses with probability 1e-8), and in a parity map: bit i tells whether an odd number of
 shingles hash to i, so two maps differ in at most as many bits as the sets differ in shingles; this rejects no true pair.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; rows with a null key link with nothing, are
@@ -21,7 +21,9 @@ an empty table gives no rows. Lost executors: each round starts from checkpointe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,15 @@ WORDS = 5
 PERCENT = 85
 ROWS = 8
 BANDS = 36
-COORDS = ROWS * BANDS
-#: Three bits of each of the first 256 coordinates, as longs; so many coordinates must agree.
+#: Bands use so many coordinates at most; probabilities that a similar enough pair shares no band, and that its sketches agree too little.
+MOST_COORDS = 320
+MISS = 3e-7
+SIGN_MISS = 1e-8
+#: Three bits of each of the first 256 coordinates, as longs.
 SIGN = 256
 PLANES = 3
 WORDS64 = SIGN // 64
 SIGN_COLUMNS = tuple(f"w{i}" for i in range(PLANES * WORDS64))
-SIGN_AGREE = 190
 #: Bits of the parity map, as longs.
 PARITY = 512
 PARITY_COLUMNS = tuple(f"p{i}" for i in range(PARITY // 64))
@@ -54,10 +58,35 @@ _rng = np.random.Generator(np.random.PCG64(20240521))
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, np.uint64)
 BYTE_CODE[65:91] = BYTE_CODE[97:123]  # A-Z count as a-z
 PLACE = _rng.integers(1, 1 << 63, WORDS, np.uint64) | np.uint64(1)
-SEEDS = _rng.integers(1, 1 << 63, 2 * COORDS, np.uint64)
+SEEDS = _rng.integers(1, 1 << 63, 2 * MOST_COORDS, np.uint64)
 _powers = np.ones(1, np.uint64)
 
 
+@lru_cache
+def banding(percent: int) -> tuple[int, int]:
+    """(rows, bands): bands of the most rows, six at most, that miss a pair of the similarity with probability MISS at most."""
+    if percent == PERCENT:
+        return ROWS, BANDS
+    for rows in range(6, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 0.99) ** rows)) if percent > 0 else MOST_COORDS + 1
+        if rows * bands <= MOST_COORDS:
+            return rows, bands
+    raise ValueError(f"a similarity of {percent} percent is too low for {MOST_COORDS} coordinates")
+
+
+@lru_cache
+def sign_agree(percent: int) -> int:
+    """So many of SIGN coordinates agree in PLANES bits, but with probability SIGN_MISS, at the similarity."""
+    p = min(percent / 100, 0.99)
+    p += (1 - p) / 2**PLANES
+    below = 0.0
+    for k in range(SIGN):
+        below += math.comb(SIGN, k) * p**k * (1 - p) ** (SIGN - k)
+        if below > SIGN_MISS:
+            return k
+    return SIGN
+
+
 def powers(n: int) -> np.ndarray:
     """At least n powers of an odd constant modulo 2**64."""
     global _powers
@@ -115,24 +144,24 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     return shingle, np.searchsorted(doc, np.arange(texts + 1))
 
 
-def sketches(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """texts x COORDS; rows of texts without shingles stay at the maximum."""
+def sketches(sets: np.ndarray, begin: np.ndarray, coords: int) -> np.ndarray:
+    """texts x coords; rows of texts without shingles stay at the maximum."""
     texts = len(begin) - 1
     empty = np.uint64((1 << 64) - 1)
-    out = np.full((texts, COORDS), empty, np.uint64)
+    out = np.full((texts, coords), empty, np.uint64)
     flat = out.reshape(-1)
     doc = np.repeat(np.arange(texts), np.diff(begin))
     x = sets
     low = np.uint64((1 << 48) - 1)
-    for i in range(2 * COORDS):
+    for i in range(2 * coords):
         if not len(x):
             break
         h = mix64(x ^ SEEDS[i])
-        if i < COORDS:
-            bins = ((h >> np.uint64(32)) * np.uint64(COORDS) >> np.uint64(32)).astype(np.int64)
+        if i < coords:
+            bins = ((h >> np.uint64(32)) * np.uint64(coords) >> np.uint64(32)).astype(np.int64)
         else:
-            bins = np.full(len(x), i - COORDS)
-        np.minimum.at(flat, doc * COORDS + bins, (np.uint64(i) << np.uint64(48)) | (h & low))
+            bins = np.full(len(x), i - coords)
+        np.minimum.at(flat, doc * coords + bins, (np.uint64(i) << np.uint64(48)) | (h & low))
         open_doc = (out == empty).any(1)
         stay = open_doc[doc]
         if not stay.all():
@@ -149,18 +178,20 @@ def parity_maps(sets: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [words[:, i].copy() for i in range(len(PARITY_COLUMNS))]
 
 
-def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
+def sketch_documents(df: DataFrame, text: str, key: str, percent: int) -> DataFrame:
     """key, n_shingles, two hashes of the set, the keys of its bands and FACTS."""
 
+    rows, bands_of = banding(percent)
+
     def make():
-        band = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        weight = SEEDS[:ROWS] | np.uint64(1)
+        band = (np.arange(bands_of, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        weight = SEEDS[:rows] | np.uint64(1)
 
         def block(column: pa.Array) -> list:
             sets, begin = shingle_sets(*utf8(column))
             texts, n = len(column), np.diff(begin)
-            sk = sketches(sets, begin)
-            keys = mix64((mix64(sk).reshape(texts, BANDS, ROWS) * weight).sum(2, dtype=np.uint64) + band)
+            sk = sketches(sets, begin, max(SIGN, rows * bands_of))
+            keys = mix64((mix64(sk[:, : rows * bands_of]).reshape(texts, bands_of, rows) * weight).sum(2, dtype=np.uint64) + band)
             low = (mix64(sk[:, :SIGN]) & np.uint64(255)).astype(np.uint8)
             sign = [np.packbits((low >> p) & 1, axis=1).reshape(texts, WORDS64, 8).view(np.int64)[:, w, 0].copy() for p in range(PLANES) for w in range(WORDS64)]
             hashes = []
@@ -168,7 +199,7 @@ def sketch_documents(df: DataFrame, text: str, key: str) -> DataFrame:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(seed)))])
                 hashes.append(mix64(total[begin[1:]] - total[begin[:-1]] + n.astype(np.uint64)).view(np.int64))
             some = n > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.where(some, bands_of, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
             return [n.astype(np.int64), *hashes, bands, *sign, *parity_maps(sets, begin)]
 
@@ -207,7 +238,7 @@ def likely(percent: int) -> Column:
         apart = apart + F.bit_count(bits)
     differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in PARITY_COLUMNS), F.lit(0))
     same = differ * (100 + percent) <= (F.col("n_shingles_x") + F.col("n_shingles_y")) * (100 - percent)
-    return sizes & (SIGN - apart >= SIGN_AGREE) & same
+    return sizes & (SIGN - apart >= sign_agree(percent)) & same
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +291,7 @@ def cross_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row for each row of df: key, n_shingles, component_id (the least key reachable) and kept (key = component_id)."""
-    rows = cut_lineage(sketch_documents(df, text, key).withColumnRenamed(key, "id"))
+    rows = cut_lineage(sketch_documents(df, text, key, percent).withColumnRenamed(key, "id"))
     linkable = rows.where("n_shingles > 0 and id is not null")
     classes = cut_lineage(linkable.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("node"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in FACTS]))
     entries = classes.select(F.explode("bands").alias("bucket"), "node")
