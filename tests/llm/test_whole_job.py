@@ -83,7 +83,7 @@ def test_near_dedup_stage_from_80_percent(spark):
 
 
 def test_bands_and_agreement_follow_from_the_similarity():
-    for percent in (50, 70, 80, 90, 100):
+    for percent in (50, 70, 80, 85, 90, 100):
         rows, bands = neardup.banding(percent)
         s = min(percent / 100, 0.99)
         assert (1 - s**rows) ** bands <= neardup.MISS and rows * bands <= neardup.MOST_COORDS

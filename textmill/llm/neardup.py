@@ -4,7 +4,8 @@ A document's set holds the distinct five-word shingles of its lower-cased text.
 throws every shingle into a bin by a fresh hash and keeps the least (round, value) of each bin; after C such rounds,
 round C + j throws all shingles into bin j, so every coordinate fills. Coordinates agree with the probability of the
 Jaccard similarity, concentrated at least as well as independent ones. Bands of coordinates give buckets; their number
-and width follow from the similarity asked for: such a pair misses all of them with a probability of MISS at most (0.80: 50 bands of 6).
+and width follow from the similarity asked for: such a pair misses all of them with a probability of MISS at most (0.85: 32
+bands of 6; 0.80: 50 of 6).
 
 No bucket is expanded into all its pairs. Equal sets are one node from the start. Round one compares the members of each
 bucket with three centres (the same ones in all buckets of a group); components of the verified links are contracted; a
@@ -34,8 +35,6 @@ from textmill.llm.shared import cut_lineage, map_text, mix64, text_blocks, utf8
 
 WORDS = 5
 PERCENT = 85
-ROWS = 8
-BANDS = 36
 #: Bands use so many coordinates at most; probabilities that a similar enough pair shares no band, and that its sketches agree too little.
 MOST_COORDS = 320
 MISS = 3e-7
@@ -65,8 +64,6 @@ _powers = np.ones(1, np.uint64)
 @lru_cache
 def banding(percent: int) -> tuple[int, int]:
     """(rows, bands): bands of the most rows, six at most, that miss a pair of the similarity with probability MISS at most."""
-    if percent == PERCENT:
-        return ROWS, BANDS
     for rows in range(6, 0, -1):
         bands = math.ceil(math.log(MISS) / math.log1p(-min(percent / 100, 0.99) ** rows)) if percent > 0 else MOST_COORDS + 1
         if rows * bands <= MOST_COORDS:
