@@ -3,9 +3,10 @@
 import random
 
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textmill.llm import mpeg, neardup, quality
+from textmill.llm import mpeg, neardup, packing, quality, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,3 +89,14 @@ def test_bands_and_agreement_follow_from_the_similarity():
         s = min(percent / 100, 0.99)
         assert (1 - s**rows) ** bands <= neardup.MISS and rows * bands <= neardup.MOST_COORDS
     assert neardup.banding(80) == (6, 50) and neardup.sign_agree(80) == 174
+
+
+def test_packing_ids_of_an_added_token(spark):
+    end = "<|endoftext|>"
+    texts = [end, f"a text{end}another one", f"  {end} {end}{end}\n\nx", "<|endoftext| >", f"don't{end}'s 12{end[:5]}", "plain words only"]
+    theirs = Tokenizer.from_file(queries.TOKENIZER)
+    want = {i: theirs.encode(t, add_special_tokens=False).ids + [packing.END_ID] for i, t in enumerate(texts)}
+    got = {}
+    for r in sorted(packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.TOKENIZER, with_ids=True).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, []) + r.ids
+    assert got == want and 50256 in got[0]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,14 +38,15 @@ _memos: dict[str, "WordTokens"] = {}
 
 
 class WordTokens:
-    """ids of a byte-level BPE file of the tokenizers library, remembered for each pre-token as unsigned 32-bit bytes."""
+    """ids of a byte-level BPE file of the tokenizers library, remembered for each pre-token or added token as unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, added))})") if added else None
         self.cache: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -59,8 +61,14 @@ class WordTokens:
         rest = [w for w in words if w not in self.cache]
         self.cache.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
 
+    def split(self, text: str) -> list[str]:
+        """The added tokens of the text, and the pre-tokens of what lies between."""
+        if self.added is None or not self.added.search(text):
+            return split(text)
+        return [w for i, part in enumerate(self.added.split(text)) for w in ([part] if i % 2 else split(part))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [split(t) for t in texts]
+        words = [self.split(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
