@@ -1,35 +1,44 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is read as a sequence of text blocks with their open elements. A logistic classifier (trained here: blocks of a
-bounded sample of pages that lie in semantic elements teach it what content reads like) and the enclosing elements give
-each block a cost for either label. These costs are terminal capacities; edges between neighbours in page order and
-between blocks near in the element tree are smoothness capacities; the minimum cut separates content from boilerplate.
-Blocks whose terminals outweigh all their edges are folded into their neighbours first, which is exact; the rest goes
-through augmenting paths.
+A page is read as a sequence of text blocks with their open elements. A logistic classifier gives each block a cost for
+either label: its log-odds, from the text (length, links, stops, digits, capitals), the holding element, and what the
+enclosing elements and their names say. These costs are terminal capacities. Page neighbours, weighted by their distance in the element
+tree, and blocks of one parent are joined by smoothness edges; their capacities follow from how often such blocks
+share a label. The minimum cut separates content from boilerplate, so edges can turn a block that the classifier is
+unsure of. Blocks whose terminals outweigh all their edges are folded into their neighbours first, which is exact; the
+rest goes through augmenting paths.
+
+Classifier and capacities are fitted here: on invented pages, whose labels are known, and on blocks of a bounded sample of
+pages (``SAMPLE`` pages by hash of the key, of each at most ``SAMPLE_CHARS`` code points, read by the driver) that lie in semantic elements; each block counts twice,
+once with the names of elements hidden, so that texts teach as much as names.
 
 Defined results: null and empty pages, and pages without content, have an empty text; an open comment, script or style runs to the end
-of the page; equal pages have equal texts; ties are boilerplate; an empty table gives no rows.
+of the page; equal pages have equal texts; ties are boilerplate; columns of the input that are not kept don't matter, kept ones whose
+names clash with an output column give way to it; an empty table trains on invented pages alone and gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from textmill.llm.shared import map_text
+from textmill.llm.shared import map_text, sample_texts
 
 SAMPLE = 400
+SAMPLE_CHARS = 1 << 16
 #: Element and class names by role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("hr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body div footer form header html li main nav ol section table td th ul blockquote dl".split())
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "head", "title", "fieldset"))
 BOILER_WORDS = frozenset(
@@ -43,43 +52,79 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 STOPS = re.compile(r"[.!?;:,]")
-SURE = 9.0
-NEAR, SIBLING = 0.8, 1.2
-FEATURES = 9
-#: Where training starts and what it is drawn to: bias, log characters, links, stops, heading, list, paragraph, digits, capitals.
-DEFAULT = np.array([-3.0, 0.75, -4.0, 1.0, 0.6, -0.8, 0.8, -0.5, -0.5])
+HIDING = re.compile(r"display\s*:\s*none")
+#: What an element says of the text in it.
+CONTENT, BOILER_TAG, BOILER_NAME, BOILER_ROLE, CONTENT_NAME = (1 << i for i in range(5))
+BOILER = BOILER_TAG | BOILER_NAME | BOILER_ROLE
+TEXT_FEATURES = 9
+FEATURES = TEXT_FEATURES + 6
+#: Ridge of the classifier, the largest cost of a block, and edge capacities: largest, share of the log-odds.
+RIDGE, COST, STRONGEST, SHARE = 2e-3, 8.0, 2.5, 0.5
+#: Edge kinds: page neighbours by distance in the element tree (0 to DISTANCES - 1 and more), then blocks of one parent.
+DISTANCES = 6
+
+
+@dataclass
+class Block:
+    """A run of text; ``says`` is what the open elements say, ``last`` what the innermost that says anything says, ``apart`` the tree distance to the block before."""
 
+    text: str
+    links: int
+    tag: str
+    parent: int
+    apart: int
+    says: int
+    last: int
 
-class Block:
-    __slots__ = ("text", "links", "tag", "parent", "prior", "known")
 
-    def __init__(self, text: str, links: int, tag: str, parent: int, prior: float, known: int) -> None:
-        self.text, self.links, self.tag, self.parent, self.prior, self.known = text, links, tag, parent, prior, known
+@dataclass
+class Model:
+    weights: np.ndarray
+    capacities: np.ndarray
 
 
 def role(tag: str, attributes: str, inside: bool) -> int:
-    """1 if an element says content, -1 boilerplate, 0 neither; a header inside content says neither."""
+    """What an element says; a header inside content says nothing."""
+    says = 0
     if tag in BOILER_TAGS or tag == "header" and not inside:
-        return -1
-    if attributes:
-        for name, value in NAMES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id") and not BOILER_WORDS.isdisjoint(WORDS.findall(value)):
-                return -1
-            if name == "role" and value in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return -1
-    return 1 if tag in CONTENT_TAGS else 0
+        says |= BOILER_TAG
+    if tag in CONTENT_TAGS:
+        says |= CONTENT
+    if not attributes:
+        return says
+    for name, value in NAMES.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name in ("class", "id"):
+            words = WORDS.findall(value)
+            if not BOILER_WORDS.isdisjoint(words):
+                says |= BOILER_NAME
+            elif not CONTENT_WORDS.isdisjoint(words):
+                says |= CONTENT_NAME
+        elif name == "role" and value in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
+            says |= BOILER_ROLE
+    return says
+
+
+@dataclass
+class Open:
+    """An open element: its tag and number, and what it and the elements around it say."""
+
+    tag: str
+    number: int
+    says: int
+    last: int
 
 
 def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, number, says content, says boilerplate
+    stack = [Open("", 0, 0, 0)]
     text: list[str] = []
     number = links = 0
     link_from = -1
+    depth = low = 1  # of the block before, and the least since
 
     def flush() -> None:
-        nonlocal links, link_from
+        nonlocal links, link_from, depth, low
         if text:
             joined = "".join(text)
             if link_from >= 0:
@@ -87,11 +132,18 @@ def read_blocks(page: str) -> list[Block]:
                 link_from = 0
             whole = " ".join(entities.unescape(joined).split())
             if whole:
-                tag, _, content, boiler = stack[-1]
-                blocks.append(Block(whole, links, tag, stack[-2][1] if len(stack) > 1 else 0, SURE if content and not boiler else -SURE if boiler else 0.0, -1 if boiler else 1 if content else 0))
+                top = stack[-1]
+                parent = stack[-2].number if len(stack) > 1 else 0
+                blocks.append(Block(whole, links, top.tag, parent, depth + len(stack) - 2 * low, top.says, top.last))
+                depth = low = len(stack)
             text.clear()
         links = 0
 
+    def close(at: int) -> None:
+        nonlocal low
+        del stack[at:]
+        low = min(low, len(stack))
+
     for m in TOKEN.finditer(page):
         if (piece := m[5]) is not None:
             text.append(piece)
@@ -114,53 +166,144 @@ def read_blocks(page: str) -> list[Block]:
         flush()
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+                if stack[i].tag == tag:
+                    close(i)
                     break
             link_from = -1
             continue
         for closed in CLOSES.get(tag, ()):
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == closed:
-                    del stack[i:]
+                if stack[i].tag == closed:
+                    close(i)
                     break
-                if stack[i][0] in SCOPES:
+                if stack[i].tag in SCOPES:
                     break
         if tag not in VOID and not m[4].endswith("/"):
             number += 1
-            _, _, content, boiler = stack[-1]
-            says = role(tag, m[4], content > 0)
-            stack.append((tag, number, content + (says > 0), boiler + (says < 0)))
+            around = stack[-1]
+            says = role(tag, m[4], around.says & CONTENT > 0)
+            stack.append(Open(tag, number, around.says | says, says or around.last))
     flush()
     return blocks
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+def known(block: Block) -> int:
+    """What semantic elements say of a block: 1 content, -1 boilerplate, 0 nothing."""
+    return -1 if block.says & BOILER else 1 if block.says & CONTENT else 0
+
+
+def features(blocks: list[Block], hidden: bool = False) -> np.ndarray:
+    """``hidden``: as if no element said anything."""
     rows = []
+    article = not hidden and any(b.says & CONTENT for b in blocks)
     for b in blocks:
         n = len(b.text)
+        says, last = (0, 0) if hidden else (b.says, b.last)
         rows.append((
-            1.0, np.log(n), min(1.0, b.links / n), min(1.0, 30 * len(STOPS.findall(b.text)) / n), b.tag[:1] == "h" and b.tag[1:].isdigit(),
+            1.0, np.log(n) / 4, min(1.0, b.links / n), min(1.0, 30 * len(STOPS.findall(b.text)) / n), b.tag[:1] == "h" and b.tag[1:].isdigit(),
             b.tag in ("li", "td", "th"), b.tag in ("p", "blockquote", "pre"), sum(map(b.text.count, "0123456789")) / n, b.text.isupper(),
+            says & CONTENT > 0, says & BOILER_TAG > 0, says & BOILER_NAME > 0, says & BOILER_ROLE > 0, last & CONTENT_NAME > 0, article and not says & CONTENT,
         ))
     return np.array(rows, float).reshape(-1, FEATURES)
 
 
-def train(pages: list[str], steps: int = 200, pull: float = 0.3) -> np.ndarray:
-    """Weights of a logistic classifier from blocks in semantic elements, drawn to DEFAULT."""
-    blocks = [b for page in pages for b in read_blocks(page) if b.known]
-    weights = DEFAULT.copy()
-    if not blocks:
-        return weights
-    x, y = features(blocks), np.array([b.known > 0 for b in blocks], float)
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    scale = np.array([1, 4, 1, 1, 1, 1, 1, 1, 1.0])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
+    """Newton's method on the likelihood of balanced classes with a ridge."""
+    weights = np.zeros(x.shape[1])
+    share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        weights += 2.0 / scale**2 * (x.T @ (share * (y - p)) - pull * (weights - DEFAULT))
+        gradient = x.T @ (share * (y - p)) - ridge * weights
+        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        weights += np.linalg.solve(hessian, gradient)
     return weights
 
 
+def joined(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges (block, block, kind): page neighbours, and blocks of one parent in their order with others between them."""
+    edges = [(i - 1, i, min(blocks[i].apart, DISTANCES - 1)) for i in range(1, len(blocks))]
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        if last.get(b.parent, i - 1) < i - 1:
+            edges.append((last[b.parent], i, DISTANCES))
+        last[b.parent] = i
+    return edges
+
+
+def invented(rng: random.Random) -> tuple[str, set[str]]:
+    """A page and the texts of its content blocks; names of elements say what they hold, or nothing."""
+    word = lambda: "".join(rng.choice("bdfglmnprstk") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    some = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    sentence = lambda: some(3, 14).capitalize() + rng.choice([".", ".", ", " + some(2, 6) + ".", "?", "!"])
+    content: set[str] = set()
+    plain = rng.random() < 0.4
+
+    def text(a: int, b: int) -> str:
+        made = " ".join(sentence() for _ in range(rng.randint(a, b)))
+        content.add(made)
+        return made
+
+    def named(names: str) -> str:
+        return "" if plain else f' {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "x-"])}{rng.choice(names.split())}"'
+
+    def tag(name: str, body: str, names: str) -> str:
+        name = "div" if plain else rng.choice([name, "div"])
+        return f"<{name}{named(names) if name == 'div' else ''}>{body}</{name}>"
+
+    links = lambda n: "".join(f'<li><a href="/{word()}">{some(1, 3)}</a></li>' for _ in range(n))
+    extras = [
+        lambda: tag("aside", "".join(f"<p>{sentence()}</p>" for _ in range(rng.randint(1, 3))), "sidebar widget related"),
+        lambda: f"<div{named('ad advert banner promo')}>{' '.join(sentence() for _ in range(rng.randint(1, 3)))}</div>",
+        lambda: f"<div{named('cookie notice consent')}><p>{sentence()}</p><button>OK</button></div>",
+        lambda: tag("form", f"<label>{some(1, 2)}</label><input name=q>{some(1, 3)}", "subscribe newsletter signup"),
+        lambda: f"<ul{named('share social tags pagination')}>{links(rng.randint(2, 5))}</ul>",
+    ]
+    body = [f"<h1>{text(1, 1)}</h1>"]
+    for _ in range(rng.randint(1, 9)):
+        kind = rng.random()
+        if kind < 0.75:
+            body.append(f"<p>{text(1, 6)}</p>")
+        elif kind < 0.85:
+            body.append(f"<h2>{text(1, 1)}</h2>")
+        elif kind < 0.95:
+            body.append("<ul>" + "".join(f"<li>{text(1, 2)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
+        else:
+            body.append(rng.choice(extras)())
+    comments = f"<section{named('comments replies disqus')}>" + "".join(f"<p>{sentence()}</p>" for _ in range(rng.randint(1, 3))) + "</section>"
+    inside = comments if not plain and rng.random() < 0.2 else ""
+    article = tag(rng.choice(["article", "main"]), "".join(body) + inside, "content post entry story")
+    after = comments if not plain and not inside and rng.random() < 0.3 else ""
+    top = tag("header", some(1, 4), "masthead banner") + tag("nav", f"<ul>{links(rng.randint(3, 8))}</ul>", "menu navigation navbar")
+    around = [rng.choice(extras)() for _ in range(rng.randint(0, 3))]
+    cut = rng.randint(0, len(around))
+    whole = f"{top}{''.join(around[:cut])}{article}{after}{''.join(around[cut:])}{tag('footer', '&copy; ' + some(2, 8), 'footer')}"
+    if rng.random() < 0.3:
+        whole = f'<div class="{rng.choice(["page", "content", "wrap"])}">{whole}</div>'
+    return f"<html><head><title>{some(2, 6)}</title></head><body>{whole}</body></html>", content
+
+
+def train(pages: list[str], invented_pages: int = 400, seed: int = 7) -> Model:
+    """From blocks of ``pages`` in semantic elements and all blocks of invented pages, each with names seen and hidden."""
+    rng = random.Random(seed)
+    told = [([b for b in blocks], [known(b) for b in blocks]) for blocks in map(read_blocks, pages)]
+    for _ in range(invented_pages):
+        page, content = invented(rng)
+        blocks = read_blocks(page)
+        told.append((blocks, [1 if b.text in content else -1 for b in blocks]))
+    x, y = [], []
+    same, differ = np.ones(DISTANCES + 1), np.ones(DISTANCES + 1)
+    for blocks, label in told:
+        use = np.array(label, int) != 0
+        for hidden in (False, True):
+            x.append(features(blocks, hidden)[use])
+            y.append(np.array(label, int)[use] > 0)
+        for i, j, kind in joined(blocks):
+            if label[i] and label[j]:
+                (same if label[i] == label[j] else differ)[kind] += 1
+    capacities = np.clip(SHARE * np.log(same / differ), 0.0, STRONGEST)
+    return Model(logistic(np.concatenate(x), np.concatenate(y).astype(float)), capacities)
+
+
 def minimum_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay with the source. excess: source minus sink capacity of each node."""
     n = len(excess)
@@ -174,7 +317,7 @@ def minimum_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> lis
     queue = deque(range(n))
     while queue:
         i = queue.popleft()
-        if side[i] is None and abs(left[i]) >= sum(near[i].values()) and (left[i] != 0 or not near[i]):
+        if side[i] is None and not -(room := sum(near[i].values())) < left[i] <= room:
             side[i] = left[i] > 0
             for j, w in near[i].items():
                 left[j] += w if side[i] else -w
@@ -213,43 +356,44 @@ def minimum_cut(excess: list[float], edges: list[tuple[int, int, float]]) -> lis
             room[b][a] += flow
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Page neighbours, and blocks of one parent in their order."""
-    edges = [(i, i + 1, NEAR) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    return edges
+def costs(blocks: list[Block], model: Model, hidden: bool = False) -> list[float]:
+    """The log-odds of content."""
+    return np.clip(features(blocks, hidden) @ model.weights, -COST, COST).tolist()
+
 
+def cut(blocks: list[Block], model: Model, hidden: bool = False) -> list[bool]:
+    """Which blocks are content."""
+    return minimum_cut(costs(blocks, model, hidden), [(i, j, float(model.capacities[kind])) for i, j, kind in joined(blocks)])
 
-def main_text(page: str, weights: np.ndarray) -> tuple[str, int, int]:
-    """The text, the number of blocks, and how many are content."""
+
+def main_text(page: str, model: Model) -> tuple[str, int, int, int]:
+    """The text, the number of blocks, how many are content, and how many the edges have turned."""
     blocks = read_blocks(page)
     if not blocks:
-        return "", 0, 0
-    score = np.clip(features(blocks) @ weights, -3, 3)
-    keep = minimum_cut([float(s) + b.prior for s, b in zip(score, blocks)], edges_of(blocks))
+        return "", 0, 0, 0
+    keep = cut(blocks, model)
     chosen = [b.text for b, k in zip(blocks, keep) if k]
-    return "\n".join(chosen), len(blocks), len(chosen)
+    turned = sum((c > 0) != k for c, k in zip(costs(blocks, model), keep))
+    return "\n".join(chosen), len(blocks), len(chosen), turned
 
 
-def fit(df: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE) -> np.ndarray:
-    """Trains on about ``sample`` pages, by hash of the key."""
-    share = min(1.0, sample / max(1, df.count()))
-    rows = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(html).alias("html"))
-    return train(sorted(r["html"] or "" for r in rows.collect()))
+def fit(df: DataFrame, html: str = "html", key: str = "page_id", sample: int = SAMPLE) -> Model:
+    """Trains on at most ``sample`` pages, the first by hash of the key."""
+    return train(sample_texts(df, html, key, sample, SAMPLE_CHARS))
 
 
-def extract(df: DataFrame, weights: np.ndarray, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` and text, n_chars, n_blocks, n_content."""
+def extract(df: DataFrame, model: Model, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """``keep`` and text, n_chars, n_blocks, n_content, n_turned (blocks that the edges have turned against the classifier)."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        fitted = shared.value
+
         def block(column: pa.Array) -> list:
-            made = [main_text(p or "", weights) for p in column.to_pylist()]
-            return [pa.array([m[0] for m in made], pa.string()), pa.array([len(m[0]) for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())]
+            made = [main_text(p or "", fitted) for p in column.to_pylist()]
+            counts = [pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 3)]
+            return [pa.array([m[0] for m in made], pa.string()), pa.array([len(m[0]) for m in made], pa.int64()), *counts]
 
         return block
 
-    return map_text(df, make, "text string, n_chars long, n_blocks long, n_content long", html, list(keep))
+    return map_text(df, make, "text string, n_chars long, n_blocks long, n_content long, n_turned long", html, list(keep))

@@ -11,13 +11,15 @@ No bucket is expanded into all its pairs. Equal sets are one node from the start
 bucket with three centres (the same ones in all buckets of a group); components of the verified links are contracted; a
 bucket whose members are all in one component is done. The rest go on with new centres while their pairs of members of
 different components are many and become fewer, and then exactly those pairs are compared. So each pair that shares a bucket is
-either compared or already joined. Before texts move, pairs must agree in sizes, in three bits of
+either compared or already joined; a large bucket is compared by pairs of blocks of BLOCK members, spread over tasks. Components come from contraction into least neighbours with
+pointer jumping, in a number of rounds that grows with the logarithm of their size. A pair is lost only if it shares no band or its sketches agree too little. Before
+texts move, pairs must agree in sizes, in three bits of
 256 coordinates (a bound that a pair of the similarity asked for misses with probability 1e-8), and in a parity map: bit i tells whether an odd number of
 shingles hash to i, so two maps differ in at most as many bits as the sets differ in shingles; this rejects no true pair.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; rows with a null key link with nothing, are
-kept and have a null component; rows that share a key count as one document; repeated rows are in one component;
-an empty table gives no rows. Lost executors: each round starts from checkpointed tables.
+kept and have a null component; rows that share a key count as one document, whose text for the exact comparison is the least of theirs; repeated rows are in one component;
+columns of the input beside key and text don't matter; an empty table gives no rows. Lost executors: each round starts from checkpointed tables.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ FACTS = SIGN_COLUMNS + PARITY_COLUMNS
 #: Nodes whose ids may be broadcast as a filter of the scan; beyond it the filter is a shuffle join.
 BROADCAST_NODES = 1_000_000
 CENTRE_SEEDS = (11, 12)
+#: Members of a bucket that are compared with each other in one task.
+BLOCK = 4096
 MORE_ROUNDS = 3
 MANY = 4096
 _rng = np.random.Generator(np.random.PCG64(20240521))
@@ -254,23 +258,53 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over the links (a, b), by contraction of each node into its least neighbour."""
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+
+
+def jumped(into: DataFrame) -> tuple[DataFrame, int]:
+    """(node, to) with every node pointing at its root, and the number of rounds; every ``to`` is also a node, and roots point at themselves."""
+    rounds = 0
+    while True:
+        # only nodes that others point at, and that are no roots, have to be told
+        targets = into.where("node <> to").select(F.col("to").alias("node")).distinct()
+        further = cut_lineage(into.where("node <> to").join(targets, "node", "left_semi").select(F.col("node").alias("to"), F.col("to").alias("next")))
+        if not (rows := further.count()):
+            return into, rounds
+        rounds += 1
+        into = cut_lineage(into.join(small(further, rows), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+
+
+def contracted(links: DataFrame) -> tuple[DataFrame, int]:
+    """(node, component), the least node reachable over the links (a, b), and the number of rounds.
+
+    Each node points at its least neighbour if that is less; pointers are followed to their roots, and every tree becomes one node. Two such steps at least halve
+    the nodes that are not done.
+    """
     edges = cut_lineage(links.select("a", "b"))
-    labels = None
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    first, rounds = True, 0
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        into = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        into = cut_lineage(into)
-        if labels is None:
-            labels = into.select("node", F.col("to").alias("component"))
+        into = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        into, jumps = jumped(into)
+        rounds += 1 + jumps
+        rows = into.count()
+        if first:
+            labels, first = into.select("node", F.col("to").alias("component")), False
         else:
-            to = into.select(F.col("node").alias("component"), "to")
-            labels = labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        left = edges.join(into.withColumnRenamed("node", "a"), "a").select(F.col("to").alias("a"), "b")
-        right = left.join(into.withColumnRenamed("node", "b").withColumnRenamed("to", "c"), "b").select("a", F.col("c").alias("b"))
+            to = small(into.select(F.col("node").alias("component"), "to"), rows)
+            labels = cut_lineage(labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        left = edges.join(small(into.withColumnRenamed("node", "a"), rows), "a").select(F.col("to").alias("a"), "b")
+        right = left.join(small(into.withColumnRenamed("node", "b").withColumnRenamed("to", "c"), rows), "b").select("a", F.col("c").alias("b"))
         edges = cut_lineage(right.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return cut_lineage(labels) if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels, rounds
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of the links (a, b)."""
+    return contracted(links)[0]
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
@@ -278,12 +312,21 @@ def ordered(a: Column, b: Column) -> list[Column]:
 
 
 def cross_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of one bucket and two components."""
-    known = members.join(facts, "node")
-    joined = told(known, "x").withColumnRenamed("bucket", "bucket_x").join(
-        told(known, "y"), (F.col("bucket_x") == F.col("bucket")) & (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & likely(percent)
-    )
-    return joined.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    """Likely pairs (a, b) of one bucket and two components. ``members`` have bucket, node, component and n, the members of the bucket.
+
+    A bucket of n members has ceil(n / BLOCK) blocks, dealt by hash; each pair of blocks, and each block with itself, is a key of its own, so no task
+    compares more than BLOCK members with BLOCK others.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(77)), blocks).cast("int")
+    dealt = members.select("bucket", "node", "component", blocks.alias("blocks"), block.alias("block")).join(facts, "node")
+    upper = dealt.select("*", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other")).drop("blocks")
+    lower = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("other")).drop("blocks")
+    x, y = told(upper, "x").withColumnRenamed("bucket", "bucket_x"), told(lower, "y")
+    meet = (F.col("bucket_x") == F.col("bucket")) & (F.col("block_x") == F.col("other_y")) & (F.col("other_x") == F.col("block_y"))
+    once = (F.col("block_x") < F.col("block_y")) | (F.col("node_x") < F.col("node_y"))
+    joined = x.join(y, meet & once & (F.col("component_x") != F.col("component_y")) & likely(percent))
+    return joined.select(*ordered(F.col("node_x"), F.col("node_y")))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -301,7 +344,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
     facts = classes.select("node", "n_shingles", *FACTS)
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     sets = df.join(wanted, df[key] == wanted["node"], "left_semi").select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text"))
-    sets = cut_lineage(set_bytes(sets, "text", "node").dropDuplicates(["node"]))
+    sets = cut_lineage(set_bytes(sets, "text", "node").groupBy("node").agg(F.min("shingles").alias("shingles")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(told(facts, "x").withColumnRenamed("node_x", "a"), "a").join(told(facts, "y").withColumnRenamed("node_y", "b"), "b")
@@ -326,7 +369,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", perc
         last = step == MORE_ROUNDS or pairs_left <= MANY * members or (before is not None and pairs_left > 0.9 * before)
         before = pairs_left
         if last:
-            more = cross_pairs(undone.select("bucket", "node", "component"), facts, percent)
+            more = cross_pairs(undone.select("bucket", "node", "component", "n"), facts, percent)
         else:
             more = undone.where("component <> centre.component").select(*ordered(F.col("node"), F.col("centre.node")))
         found = cut_lineage(verified(more.distinct().join(pairs, ["a", "b"], "left_anti")))

@@ -1,16 +1,18 @@
 """Personal data: base patterns and a character-level bidirectional LSTM with CRF transitions.
 
-Every whole text is cut into overlapping windows; windows of a block run side by side. Each direction of the LSTM has
-HIDDEN units; their outputs give scores for the labels outside, email, ip, card and phone, and Viterbi finds each window's
-best labels (a kind is entered from outside only). Windows are reconciled by the middle of their overlap: left of it the earlier one
-counts, right of it the later one, and runs of a label over the whole text become spans. An exact check follows: a span must have the figures of
-its kind (Luhn digits, address parts, number of digits), and one that touches a base span gives way.
-
-The network is trained here, in numpy with Adam on the exact CRF likelihood, from windows of a bounded sample of texts
-labelled by the base patterns and from invented phrases with their spans, among them forms that the patterns don't match.
-
-Defined results: null and empty texts have no spans; equal texts have equal spans; an empty table trains on invented
-phrases alone and gives no rows.
+Every whole text is cut into segments, and each is read in a window that overlaps its neighbours by MARGIN characters on
+either side; windows of a block run side by side. The outputs of both LSTM directions give each character of a segment scores for the labels outside,
+email, ip, card and phone; in an overlap the window counts whose edge is farther. Viterbi then finds the best
+labels of the whole text under the CRF transitions (a kind is entered from outside only), also across segments: each
+segment is decoded from every label that may come before it, and the tables of a text's segments are joined in order. Runs of a label become spans
+``lstm_*``; an exact check follows: a span must have the figures of its kind (Luhn digits, address parts, number of
+digits). They stand beside the base spans, which are always there; the network finds most of those too, and others.
+
+The network is trained here, in numpy with Adam on the exact CRF likelihood, from windows of a bounded sample of texts (SAMPLE, SAMPLE_CHARS)
+labelled by the base patterns (of a text, the windows of its first four base spans and one other) and from invented phrases with their spans, among them forms that the patterns don't match.
+
+Defined results: null and empty texts have no spans; equal texts have equal spans; columns of the input that are not kept don't matter, kept ones whose names
+clash with an output column give way to it; an empty table trains on invented phrases alone and gives no rows.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textmill.llm.secrets import sample_texts
-from textmill.llm.shared import map_text
+from textmill.llm.shared import map_text, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
-HIDDEN = 6
-WINDOW = 256
-OVERLAP = 32
+HIDDEN = 10
+#: A segment of text is read with MARGIN characters on either side; BATCH segments run side by side.
+SEGMENT = 224
+MARGIN = 16
 BATCH = 2048
-SAMPLE = 300
+#: The fit reads at most SAMPLE texts, of each at most SAMPLE_CHARS code points.
+SAMPLE = 600
+SAMPLE_CHARS = 1 << 15
+NEVER = -1e4
 #: Character numbers: printable ASCII, then space-like, lower letter, upper letter, digit, other.
 SPACE, LOWER, UPPER, DIGIT, OTHER, PAD = range(95, 101)
 VOCABULARY = 101
@@ -53,6 +58,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"[0-9]+")
 ANY_DIGIT = re.compile(r"[0-9]")
+ENDS = frozenset(" \t\n\r.,;:")
 
 
 def luhn(digits: str) -> bool:
@@ -106,11 +112,21 @@ def plausible(kind: int, span: str) -> bool:
     return 9 <= len(digits) <= 15 and any(c in span for c in "()-./ ") and bool(re.fullmatch(r"[0-9+(][0-9\s().\-/]+[0-9]", span))
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 0.5 * np.tanh(0.5 * z) + 0.5
+
+
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    high = x.max(axis, keepdims=True)
+    return high.squeeze(axis) + np.log(np.exp(x - high).sum(axis))
+
+
 class Network:
     """Two LSTM directions, gate-major (input, forget, output, candidate), an output layer and CRF transitions."""
 
-    def __init__(self, seed: int = 3) -> None:
-        g, h = np.random.default_rng(seed), HIDDEN
+    def __init__(self, seed: int = 3, hidden: int = HIDDEN) -> None:
+        g, h = np.random.default_rng(seed), hidden
+        self.hidden = h
         self.p = {}
         for d in "fb":
             self.p[f"x{d}"] = g.normal(0, 0.3, (4 * h, VOCABULARY))
@@ -124,179 +140,233 @@ class Network:
         self.allowed[0] = self.allowed[:, 0] = True
 
     def moves(self) -> np.ndarray:
-        return np.where(self.allowed, self.p["t"], -1e4)
+        return np.where(self.allowed, self.p["t"], NEVER)
 
     def ready(self) -> "Network":
         """Single-precision copies for scoring; a sigmoid is half a tanh of half the sum, so those gates are halved."""
-        h = HIDDEN
-        half = np.ones((4 * h, 1))
-        half[: 3 * h] = 0.5
+        half = np.ones((4 * self.hidden, 1))
+        half[: 3 * self.hidden] = 0.5
         self.fast = {k: np.ascontiguousarray((v * half if k[0] in "xh" else v).astype(np.float32)) for k, v in self.p.items()}
         self.fast["t"] = self.moves().astype(np.float32)
         return self
 
-    def direction(self, d: str, codes: np.ndarray) -> np.ndarray:
-        """Hidden values (time, HIDDEN, windows) of codes (time, windows)."""
+    def direction(self, d: str, codes: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Hidden values (time, hidden, windows) of codes (time, windows); at each time the first ``live`` windows have not ended."""
         length, n = codes.shape
-        h = HIDDEN
+        h = self.hidden
         x, w = self.fast[f"x{d}"], self.fast[f"h{d}"]
-        out = np.empty((length, h, n), np.float32)
+        out = np.zeros((length, h, n), np.float32)
         c = np.zeros((h, n), np.float32)
         prev = np.zeros((h, n), np.float32)
-        gates, more, tmp = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((h, n), np.float32)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            np.take(x, codes[t], axis=1, out=gates, mode="clip")
-            np.matmul(w, prev, out=more)
-            gates += more
+            k = int(live[t])
+            gates = np.take(x, codes[t, :k], axis=1, mode="clip")
+            gates += w @ prev[:, :k]
             np.tanh(gates, out=gates)
             sig = gates[: 3 * h]
             sig *= 0.5
             sig += 0.5
-            c *= gates[h : 2 * h]
-            np.multiply(gates[:h], gates[3 * h :], out=tmp)
-            c += tmp
-            np.tanh(c, out=tmp)
-            np.multiply(gates[2 * h : 3 * h], tmp, out=out[t])
+            cell = c[:, :k]
+            cell *= gates[h : 2 * h]
+            cell += gates[:h] * gates[3 * h :]
+            np.multiply(gates[2 * h : 3 * h], np.tanh(cell), out=out[t, :, :k])
             prev = out[t]
         return out
 
-    def labels(self, codes: np.ndarray) -> np.ndarray:
-        """Viterbi labels (time, windows)."""
-        length, n = codes.shape
-        o, bias, move = self.fast["o"], self.fast["b"][:, None], self.fast["t"]
-        score = np.matmul(o[:, :HIDDEN], self.direction("f", codes))
-        score += np.matmul(o[:, HIDDEN:], self.direction("b", codes))
-        score += bias
-        back = np.zeros((length, LABELS, n), np.uint8)
-        best = score[0].copy()
+    def emissions(self, codes: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Scores (time, LABELS, windows) of windows of so many characters, descending."""
+        o = self.fast["o"]
+        live = np.searchsorted(-width, -np.arange(len(codes)))
+        score = np.matmul(o[:, : self.hidden], self.direction("f", codes, live))
+        score += np.matmul(o[:, self.hidden :], self.direction("b", codes, live))
+        score += self.fast["b"][:, None]
+        return score
+
+    def tables(self, score: np.ndarray, width: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi of segments from each label before them.
+
+        score: (time, LABELS, segments); width: of each segment, descending; first: whether nothing comes before. Returns the best scores
+        (label before, last label, segments), of first segments all in row 0, and the ways back (time, label before, segments): bit k - 1 is set where kind k is entered
+        from outside, the bits above tell where outside comes from.
+        """
+        length, _, n = score.shape
+        move = self.fast["t"]
         stay, enter, leave = np.diag(move).copy()[1:, None], move[0, 1:, None], move[1:, 0, None]
+        best = move[:, :, None] + score[0]
+        best[0] = np.where(first, score[0], best[0])
+        back = np.zeros((length, LABELS, n), np.uint8)
+        bits = (1 << np.arange(LABELS - 1)).astype(np.uint8)[:, None]
+        back[0] = ((0 == np.arange(LABELS)) * np.uint8((1 << (LABELS - 1)) - 1))[:, None] | (np.arange(LABELS) << (LABELS - 1)).astype(np.uint8)[:, None]
         for t in range(1, length):
-            out_of = best[1:] + leave
-            same, fresh = best[1:] + stay, best[0] + enter
-            top = out_of.max(0)
-            zero = best[0] + move[0, 0]
+            k = int(np.searchsorted(-width, -t))  # so many segments are longer than t
+            now = best[:, :, :k]
+            kinds, outside = now[:, 1:], now[:, 0]
+            out_of = kinds + leave
+            top, zero = out_of.max(1), outside + move[0, 0]
+            fresh = outside[:, None] + enter
+            same = kinds + stay
+            entered = fresh > same
+            way = (entered * bits).sum(1, dtype=np.uint8)
             left = top > zero
             if left.any():
-                back[t, 0] = np.where(left, out_of.argmax(0) + 1, 0)
-            back[t, 1:] = (same >= fresh) * np.arange(1, LABELS, dtype=np.uint8)[:, None]
-            best[0] = np.maximum(zero, top)
-            best[1:] = np.maximum(same, fresh)
-            best += score[t]
-        found = np.empty((length, n), np.uint8)
-        at = np.arange(n)
-        label = best.argmax(0).astype(np.uint8)
-        for t in range(length - 1, -1, -1):
-            found[t] = label
-            if t:
-                label = back[t, label, at]
-        return found
-
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(kind, start, end) of every run of a label, by text."""
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+                way |= (np.where(left, out_of.argmax(1) + 1, 0) << (LABELS - 1)).astype(np.uint8)
+            back[t, :, :k] = way
+            np.maximum(same, fresh, out=now[:, 1:])
+            np.maximum(zero, top, out=now[:, 0])
+            now += score[t, :, :k]
+        return best, back
+
+    @staticmethod
+    def joined(best: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For segments in order of text: the label before each and its last label, on the best way through each text."""
+        n = len(doc)
+        before, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        cells = best.transpose(2, 0, 1).tolist()
+        a = 0
+        while a < n:
+            b = a
+            now = [0.0] + [NEVER * NEVER] * (LABELS - 1)
+            into = []
+            while b < n and doc[b] == doc[a]:
+                cell = cells[b]
+                options = [[now[i] + cell[i][j] for i in range(LABELS)] for j in range(LABELS)]
+                high = [max(o) for o in options]
+                into.append([o.index(h) for o, h in zip(options, high)])
+                top = max(high)
+                now = [h - top for h in high]
+                b += 1
+            label = now.index(max(now))
+            for k in range(b - 1, a - 1, -1):
+                last[k] = label
+                before[k] = label = into[k - a][label]
+            a = b
+        return before, last
+
+    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The best labels of all characters of the texts, end to end, and where each text begins."""
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = CODES[np.minimum(codes, 1023)]
         size = np.array([len(t) for t in texts], np.int64)
         edge = np.concatenate([[0], np.cumsum(size)])
-        count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // (WINDOW - OVERLAP))), 0)
+        found = np.zeros(len(codes), np.uint8)
+        count = -(-size // SEGMENT)
         doc = np.repeat(np.arange(len(texts)), count)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        begin = edge[doc] + nth * (WINDOW - OVERLAP)
-        width = np.minimum(edge[doc + 1] - begin, WINDOW)
+        if not len(doc):
+            return found, edge
+        begin = edge[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        width = np.minimum(edge[doc + 1] - begin, SEGMENT)
         order = np.argsort(-width, kind="stable")
-        hits = []
+        best = np.empty((LABELS, LABELS, len(doc)), np.float32)
+        ways = []
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
-            steps = np.arange(int(width[part[0]]))[:, None]
-            inside = steps < width[part]
-            window = np.where(inside, codes[np.minimum(begin[part] + steps, len(codes) - 1)], np.uint8(PAD))
-            label = self.labels(window)
-            label *= inside & (steps >= np.where(nth[part] > 0, OVERLAP // 2, 0)) & (steps < np.where(nth[part] + 1 < count[doc[part]], WINDOW - OVERLAP // 2, WINDOW))
-            t, w = np.nonzero(label)
-            hits.append(np.stack([begin[part[w]] + t, label[t, w].astype(np.int64), doc[part[w]]]))
-        if not hits:
+            steps = np.arange(-MARGIN, int(width[part[0]]) + MARGIN)[:, None] + begin[part]
+            inside = (steps >= edge[doc[part]]) & (steps < edge[doc[part] + 1])
+            window = np.where(inside, codes[np.clip(steps, 0, len(codes) - 1)], np.uint8(PAD))
+            score = self.emissions(window, width[part] + 2 * MARGIN)[MARGIN : len(window) - MARGIN]
+            best[:, :, part], back = self.tables(score, width[part], begin[part] == edge[doc[part]])
+            ways.append(back)
+        before, last = self.joined(best, doc)
+        for a, back in zip(range(0, len(order), BATCH), ways):
+            part = order[a : a + BATCH]
+            label, start, at = last[part], before[part], np.arange(len(part))
+            for t in range(len(back) - 1, -1, -1):
+                k = int(np.searchsorted(-width[part], -t))
+                now = label[:k]
+                found[begin[part[:k]] + t] = now
+                way = back[t, start[:k], at[:k]].astype(np.int64)
+                label[:k] = np.where(now == 0, way >> (LABELS - 1), now * (1 - (way >> np.maximum(now - 1, 0) & 1)))
+        return found, edge
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(kind, start, end) of every run of a label, by text."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        label, edge = self.labels(texts)
+        place = np.flatnonzero(label)
+        if not len(place):
             return out
-        place, label, owner = np.concatenate(hits, 1)
-        by = np.argsort(place)
-        place, label, owner = place[by], label[by], owner[by]
+        owner = np.searchsorted(edge, place, side="right") - 1
         new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1] + 1) | (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])
+        new[1:] = (place[1:] != place[:-1] + 1) | (label[place[1:]] != label[place[:-1]]) | (owner[1:] != owner[:-1])
         starts = np.flatnonzero(new)
         for s, e in zip(starts.tolist(), np.append(starts[1:], len(place)).tolist()):
             d = int(owner[s])
-            out[d].append((int(label[s]) - 1, int(place[s] - edge[d]), int(place[e - 1] - edge[d]) + 1))
+            out[d].append((int(label[place[s]]) - 1, int(place[s] - edge[d]), int(place[e - 1] - edge[d]) + 1))
         return out
 
-    def added(self, text: str, runs: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs that pass the exact check, without blanks and closing signs at their ends, away from base spans."""
+    def added(self, text: str, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Runs that pass the exact check, without blanks and closing signs at their ends."""
         made = []
         for kind, a, b in runs:
-            while a < b and text[a] in " \t\n\r.,;:":
+            while a < b and text[a] in ENDS:
                 a += 1
-            while a < b and text[b - 1] in " \t\n\r.,;:":
+            while a < b and text[b - 1] in ENDS:
                 b -= 1
-            if a < b and not any(s < b and a < e for _, s, e in base) and plausible(kind, text[a:b]):
+            if a < b and plausible(kind, text[a:b]):
                 made.append((kind, a, b))
         return made
 
     def gradient(self, codes: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log-likelihood of gold labels (time, windows)."""
         length, n = codes.shape
-        h, p, move = HIDDEN, self.p, self.moves()
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        h, p, move = self.hidden, self.p, self.moves()
         saved, hidden = {}, {}
         for d in "fb":
-            steps = range(length) if d == "f" else range(length - 1, -1, -1)
             prev, c = np.zeros((h, n)), np.zeros((h, n))
             out = np.empty((length, h, n))
-            for t in steps:
+            for t in range(length) if d == "f" else range(length - 1, -1, -1):
                 z = p[f"x{d}"][:, codes[t]] + p[f"h{d}"] @ prev
-                i, f, o, g = sig(z[:h]), sig(z[h : 2 * h]), sig(z[2 * h : 3 * h]), np.tanh(z[3 * h :])
-                before, c = c, f * c + i * g
+                gates, g = sigmoid(z[: 3 * h]), np.tanh(z[3 * h :])
+                before, c = c, gates[h : 2 * h] * c + gates[:h] * g
                 tc = np.tanh(c)
-                saved[d, t] = (i, f, o, g, before, tc, prev)
-                prev = out[t] = o * tc
+                saved[d, t] = (gates, g, before, tc, prev)
+                prev = out[t] = gates[2 * h :] * tc
             hidden[d] = out
         both = np.concatenate([hidden["f"], hidden["b"]], 1)
         score = np.matmul(p["o"], both) + p["b"][:, None]
-        lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
         alpha, beta = np.empty_like(score), np.zeros_like(score)
         alpha[0] = score[0]
         for t in range(1, length):
-            alpha[t] = lse(alpha[t - 1][:, None] + move[:, :, None], 0) + score[t]
+            alpha[t] = log_sum(alpha[t - 1][:, None] + move[:, :, None], 0) + score[t]
         for t in range(length - 2, -1, -1):
-            beta[t] = lse(move[:, :, None] + (score[t + 1] + beta[t + 1])[None], 1)
-        z = lse(alpha[-1], 0)
+            beta[t] = log_sum(move[:, :, None] + (score[t + 1] + beta[t + 1])[None], 1)
+        z = log_sum(alpha[-1], 0)
         ds = -np.exp(alpha + beta - z)
         ds[np.arange(length)[:, None], gold, np.arange(n)] += 1
         ds /= n
         pair = np.exp(alpha[:-1, :, None] + move[None, :, :, None] + (score[1:] + beta[1:])[:, None] - z).sum((0, 3))
         seen = np.zeros_like(move)
         np.add.at(seen, (gold[:-1].ravel(), gold[1:].ravel()), 1)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        grad["t"] = (seen - pair) / n * self.allowed
-        grad["o"] = np.einsum("tln,thn->lh", ds, both)
-        grad["b"] = ds.sum((0, 2))
+        grad = {"t": (seen - pair) / n * self.allowed, "o": np.einsum("tln,thn->lh", ds, both, optimize=True), "b": ds.sum((0, 2))}
+        one = np.eye(VOCABULARY)
         for d, rows in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-            steps = range(length - 1, -1, -1) if d == "f" else range(length)
             outer = np.matmul(p["o"][:, rows].T, ds)
             dh, dc = np.zeros((h, n)), np.zeros((h, n))
-            for t in steps:
-                i, f, o, g, before, tc, prev = saved[d, t]
+            dx, dw = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"h{d}"])
+            for t in range(length - 1, -1, -1) if d == "f" else range(length):
+                gates, g, before, tc, prev = saved[d, t]
+                i, f, o = gates[:h], gates[h : 2 * h], gates[2 * h :]
                 dh = dh + outer[t]
                 dc = dc + dh * o * (1 - tc * tc)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)])
-                for row in range(4 * h):
-                    grad[f"x{d}"][row] += np.bincount(codes[t], dz[row], VOCABULARY)
-                grad[f"h{d}"] += dz @ prev.T
+                dx += dz @ one[codes[t]]
+                dw += dz @ prev.T
                 dh, dc = p[f"h{d}"].T @ dz, dc * f
+            grad[f"x{d}"], grad[f"h{d}"] = dx, dw
         return grad
 
 
+#: Invented phrases; a span is between brackets. Small letters stand for drawn parts, see ``invented``.
 PHRASES = (
-    "mail {w}.{n}@{w}.example.com", "{w}@{w}.org", "{w}.ü{w}@{w}.de", "{w} (at) {w}.net", "{w}[at]{w}.com", "ip {i}", "host {i}", "{o} . {o} . {o} . {o}", "card {c}", "{c}", "card {cs}", "card {cd}", "call {p}", "tel {q}", "{p}", "{q}", "fon {r}",
+    "mail [{w}.{n}@{w}.example.com]", "[{w}@{w}.org]", "[{w}.{t}@{w}{n}.{w}.net]", "[{w}_{w}@{w}.{w}.com]", "[{w}.ü{w}@{w}.de]", "[{w} (at) {w}.net]", "[{w}[at]{w}.com]",
+    "ip [{i}]", "host [{i}]", "[{i}]", "[{i}]", "[{o} . {o} . {o} . {o}]",
+    "card [{c}]", "[{c}]", "[{c}]", "card [{cs}]", "[{cs}]", "card [{cd}]",
+    "call [{p}]", "tel [{q}]", "[{p}]", "[{q}]", "fon [{r}]",
+)
+PLAIN = (
+    "order {x}", "{x}", "on 2024-03-{o}", "version 2.{n}.1", "page {n} of {n}", "token = \"{h}\"", "commit {h}", "price {n}.{n}", "at {n}:{n}",
+    "{n} {n}", "{w} @ {w}", "{w}_{n}", "{w}.{w}", "{w}, {n}",
 )
-PLAIN = ("order {x}", "{x}", "on 2024-03-{o}", "version 2.{n}.1", "page {n} of {n}", "token = \"{h}\"", "commit {h}", "price {n}.{n}", "at {n}:{n}", "{n} {n}", "{w} @ {w}", "{w}_{n}")
 
 
 def invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -304,54 +374,63 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
     body = draw(string.digits, 15)
     card = next(body + c for c in string.digits if luhn(body + c))
+    quarters = [card[k : k + 4] for k in (0, 4, 8, 12)]
     octet = lambda: str(rng.randint(0, 255))
+    area, line = draw(string.digits, 3), draw(string.digits, 4)
     fill = {
-        "i": ".".join(octet() for _ in range(4)), "c": card, "cs": " ".join(card[k : k + 4] for k in (0, 4, 8, 12)), "cd": ".".join(card[k : k + 4] for k in (0, 4, 8, 12)),
-        "p": f"+{rng.randint(1, 99)} ({draw(string.digits, 3)}) {draw(string.digits, 3)}-{draw(string.digits, 4)}", "q": f"({draw(string.digits, 3)}) {draw(string.digits, 3)}-{draw(string.digits, 4)}", "r": f"0{draw(string.digits, 2)}/{draw(string.digits, 4)}-{draw(string.digits, 3)}",
-        "x": draw(string.digits, rng.randint(5, 12)), "h": draw("0123456789abcdef", 40), "n": draw(string.digits, rng.randint(1, 3)), "o": octet(),
-    }
+        "i": ".".join(octet() for _ in range(4)), "c": card, "cs": rng.choice(" -").join(quarters), "cd": ".".join(quarters),
+        "p": f"+{rng.randint(1, 99)} ({area}) {draw(string.digits, 3)}-{line}", "q": f"({area}) {draw(string.digits, 3)}-{line}", "r": f"0{draw(string.digits, 2)}/{line}-{area}",
+        "x": draw(string.digits, rng.randint(5, 12)), "h": draw("0123456789abcdef", 40), "t": draw(string.digits, 2),
+    }
+
+    def drawn(m: re.Match) -> str:
+        if m[1] == "w":
+            return draw(string.ascii_lowercase, rng.randint(2, 9))
+        if m[1] == "n":
+            return draw(string.digits, rng.randint(1, 3))
+        return octet() if m[1] == "o" else fill[m[1]]
+
     named = rng.random() < 0.6
     form = rng.choice(PHRASES if named else PLAIN)
-    text = re.sub(r"\{(\w+)\}", lambda m: draw(string.ascii_lowercase, rng.randint(2, 9)) if m[1] == "w" else fill[m[1]], form)
     if not named:
-        return text, []
+        return re.sub(r"\{(\w+)\}", drawn, form), []
     kind = 0 if "{w}" in form else 1 if "{i}" in form or "{o}" in form else 2 if "{c" in form else 3
-    lead = re.match(r"(?:mail|ip|host|card|call|tel|fon) ", text)
-    return text, [(kind, lead.end() if lead else 0, len(text))]
+    lead, inner = form.split("[", 1)
+    text = lead + re.sub(r"\{(\w+)\}", drawn, inner[: inner.rindex("]")])
+    return text, [(kind, len(lead), len(text))]
 
 
 def examples(texts: list[str], count: int, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and labels (time, windows)."""
+    """Codes and labels (time, windows): at most five windows of a text, and invented phrases between words of the texts, ``count`` at least."""
     rng = random.Random(seed)
-    windows = []
-    plain = []
+    windows: list[tuple[str, list[tuple[int, int, int]]]] = []
+    plain: list[str] = []
     for text in texts:
         base = base_spans(text)
-        for _, s, e in base[:4]:
-            a = max(0, s - rng.randint(4, max(5, length - min(length - 5, e - s))))
-            windows.append((text[a : a + length], [(k, x - a, y - a) for k, x, y in base]))
+        starts = [max(0, s - rng.randint(4, max(5, length - min(length - 5, e - s)))) for _, s, e in base[:4]]
         if text:
-            a = rng.randrange(len(text))
-            windows.append((text[a : a + length], [(k, x - a, y - a) for k, x, y in base]))
-        plain += [w for w in text.split()[:200]]
+            starts.append(rng.randrange(len(text)))
+        windows += [(text[a : a + length], [(k, x - a, y - a) for k, x, y in base]) for a in starts]
+        plain += text.split()[:200]
     plain = plain or ["and", "of"]
     while len(windows) < count:
         text, spans = invented(rng)
         left = " ".join(rng.choice(plain) for _ in range(rng.randint(0, 4)))
         left = (left + " ")[-rng.randint(1, 24) :]
-        right = " " + " ".join(rng.choice(plain) for _ in range(6))
+        right = rng.choice([" ", " ", " ", ". ", ", ", "\n", ") ", '" ', rng.choice("!?#*%$&|") * rng.randint(1, 3) + " "]) + " ".join(rng.choice(plain) for _ in range(6))
         windows.append(((left + text + right)[:length], [(k, a + len(left), b + len(left)) for k, a, b in spans]))
     rng.shuffle(windows)
     codes, gold = np.full((length, len(windows)), PAD, np.int64), np.zeros((length, len(windows)), np.int64)
     for i, (text, spans) in enumerate(windows):
-        codes[: len(text), i] = [_code(c) for c in text]
+        pad = rng.choice([0, 0, min(MARGIN, length - len(text))])
+        codes[pad : pad + len(text), i] = [_code(c) for c in text]
         for k, a, b in spans:
-            gold[max(a, 0) : max(b, 0), i] = k + 1
-        gold[len(text) :, i] = 0
+            gold[max(a, 0) + pad : max(b, 0) + pad, i] = k + 1
+        gold[pad + len(text) :, i] = 0
     return codes, gold
 
 
-def train(texts: list[str], windows: int = 6000, length: int = 64, steps: int = 260, batch: int = 192, rate: float = 0.03, seed: int = 3) -> Network:
+def train(texts: list[str], windows: int = 9000, length: int = 64, steps: int = 500, batch: int = 160, rate: float = 0.03, seed: int = 3) -> Network:
     codes, gold = examples(texts, windows, length, seed)
     net, rng = Network(seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
@@ -366,7 +445,11 @@ def train(texts: list[str], windows: int = 6000, length: int = 64, steps: int =
 
 
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Network:
-    return train(sample_texts(df, text, key, sample))
+    return train(sample_texts(df, text, key, sample, SAMPLE_CHARS))
+
+
+def written(spans: list[tuple[int, int, int, str]]) -> str:
+    return ",".join(f"{name}:{s}:{e}" for _, s, e, name in spans)
 
 
 def find(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -381,14 +464,12 @@ def find(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...]
             texts = [t or "" for t in column.to_pylist()]
             counts, digests, joined, lists = [], [], [], []
             for text, runs in zip(texts, network.spans(texts)):
-                base = base_spans(text)
-                named = [(k, s, e, KINDS[k]) for k, s, e in base]
-                more = [(k + len(KINDS), s, e, f"lstm_{KINDS[k]}") for k, s, e in network.added(text, runs, base)]
-                write = lambda spans: ",".join(f"{name}:{s}:{e}" for _, s, e, name in spans)
-                every = sorted(named + more)
-                counts.append([sum(k == i for k, _, _ in base) for i in range(len(KINDS))] + [len(more)])
-                digests.append(hashlib.sha256(write(named).encode()).hexdigest())
-                joined.append(write(every))
+                base = [(k, s, e, KINDS[k]) for k, s, e in base_spans(text)]
+                more = [(k + len(KINDS), s, e, f"lstm_{KINDS[k]}") for k, s, e in network.added(text, runs)]
+                every = sorted(base + more)
+                counts.append([sum(k == i for k, *_ in base) for i in range(len(KINDS))] + [len(more)])
+                digests.append(hashlib.sha256(written(base).encode()).hexdigest())
+                joined.append(written(every))
                 lists.append([{"kind": name, "start": s, "end": e} for _, s, e, name in every])
             table = np.array(counts, np.int64).reshape(-1, len(KINDS) + 1)
             return [*table.T.copy(), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(lists, pa.list_(kind_type))]

@@ -72,7 +72,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return htmltext.extract(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
+    return htmltext.extract(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content", "n_turned")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

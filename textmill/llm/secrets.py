@@ -2,12 +2,15 @@
 
 Tokens are runs of letters, digits, ``_ - + /`` and single other characters. Their features are shape, the token, its
 neighbours, and coarse figures of the whole file. The field has the labels outside, begin and inside; it is trained here by
-gradient steps on the exact likelihood over windows of a bounded sample of texts (``sample``), labelled by the base patterns, among them
-invented secrets of other formats. Decoding is exact Viterbi over whole texts: a block of texts is cut into rows that run side
+gradient steps on the exact likelihood over windows of a bounded sample of texts (SAMPLE, SAMPLE_CHARS; of a text the windows of its first three
+base spans and two others), labelled by the base patterns, and of invented secrets of other formats, some of letters only. Decoding is exact Viterbi over whole texts: a block of texts is cut into rows that run side
 by side from each possible label, and the rows are joined by their label-to-label scores.
 
-Defined results: null and empty texts have no spans; spans of the field that touch a base span give way; equal texts have
-equal spans; an empty table trains on invented secrets alone and gives no rows.
+Spans ``crf`` of the field, which mark the secret itself, stand beside the base spans, which are always there. An exact check
+follows: a span of fewer than LEAST characters is dropped, and one without a digit of fewer than LEAST_LETTERS.
+
+Defined results: null and empty texts have no spans; equal texts have
+equal spans; columns of the input that are not kept don't matter, kept ones whose names clash with an output column give way to it; an empty table trains on invented secrets alone and gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import map_text
+from textmill.llm.shared import map_text, sample_texts
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,9 +37,13 @@ OUTSIDE, BEGIN, INSIDE = range(LABELS)
 WORD_BUCKETS = 1 << 13
 SHAPES = 1 << 11
 ROW = 128
+#: The fit reads at most SAMPLE texts, of each at most SAMPLE_CHARS code points.
 SAMPLE = 600
+SAMPLE_CHARS = 1 << 15
 WINDOW = 48
+#: Spans of the field have so many characters at least; those without a digit so many.
 LEAST = 8
+LEAST_LETTERS = 10
 _BODY = string.ascii_letters + string.digits + "_-+/"
 #: By code point below 1024: 0 space, 1 lower, 2 upper, 3 digit, 4 joiner, 5 other. Letters beyond are lower.
 CLASS = np.array([0 if chr(c).isspace() else 3 if chr(c) in string.digits else 4 if chr(c) in "_-+/" else 2 if chr(c).isupper() else 1 if chr(c).isalpha() else 5 for c in range(1024)], np.uint8)
@@ -87,14 +94,17 @@ class Tokens:
         lowered = np.where(kind == 2, codes + 32, codes) * np.uint32(0x9E3779B1)
         lowered ^= lowered >> np.uint32(15)
         place = np.cumsum(used) - 1
-        nth = (place - np.repeat(before[self.start], np.diff(np.append(self.start, len(codes)))) if self.start[0] == 0 else np.concatenate([np.zeros(self.start[0], np.int64), place[self.start[0] :] - np.repeat(before[self.start], np.diff(np.append(self.start, len(codes))))])).astype(np.uint32)
+        lead = int(self.start[0])  # blanks before the first token
+        until = np.diff(np.append(self.start, len(codes)))
+        nth = np.concatenate([np.zeros(lead, np.int64), place[lead:] - np.repeat(before[self.start], until)]).astype(np.uint32)
         value = np.where(used, (lowered * (nth * np.uint32(0x85EBCA6B) + np.uint32(1))), 0).astype(np.uint32)
         word = np.add.reduceat(value, self.start).astype(np.uint32)
         word = ((word ^ (word >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(19)).astype(np.int64) % WORD_BUCKETS
         docs = len(texts)
         tokens = np.bincount(self.doc, minlength=docs)
         per = np.maximum(tokens, 1)
-        file = np.minimum((np.bincount(self.doc, digit > 0, docs) * 8 / per).astype(int), 3) * 8 + np.minimum((np.bincount(self.doc, kind[self.start] == 5, docs) * 8 / per).astype(int), 3) * 2 + (tokens > 200)
+        share = lambda flag: np.minimum((np.bincount(self.doc, flag, docs) * 8 / per).astype(int), 3)
+        file = share(digit > 0) * 8 + share(kind[self.start] == 5) * 2 + (tokens > 200)
         bias = file[self.doc] * 16 + log
         self.parts = [(shape, 0), (word, 0), (word, 1), (word, 2), (word, -1), (shape, 1), (shape, -1), (bias, 0)]
 
@@ -198,28 +208,34 @@ class Field:
         return out
 
 
+#: Invented phrases; a secret is between brackets.
 INVENTED = (
-    "Authorization: Bearer {b}", "x-api-key {a}", "client_secret => '{b}'", "pwd {m} ", "login with sk_live_{a}", "use ghp_{a} for the clone", "hook xoxb-{d}-{a}",
-    "credentials are {m} since", "export AUTH={b}", "private key id {h}", "access code {m}.", 'token = "{h}"', "password: {m}", "session {h}", "AWS AKIA{u} and",
+    "Authorization: Bearer [{b}]", "x-api-key [{a}]", "client_secret => '[{b}]'", "pwd [{m}] ", "login with [sk_live_{a}]", "use [ghp_{a}] for the clone", "hook [xoxb-{d}-{a}]",
+    "credentials are [{m}] since", "export AUTH=[{b}]", "private key id [{h}]", "access code [{m}].", 'token = "[{h}]"', "password: [{m}]", "session [{h}]", "AWS [AKIA{u}] and", "key [AKIA{u}]",
+    "password is [{l}]", "pwd: [{l}]", "passphrase [{l}] for", "client_secret => '[{l}]'", "api_key=[{a}]", "[{h}]", "[AKIA{u}]",
+)
+PLAIN = (
+    "order {d}", "card {c}", "call +1 ({t}) {t}-{f}", "from {i} at", "commit {s}", "on 2024-0{t}", "page {t} of {f}", "mail {w}.{t}@{w}.example.com", "version 1.{t}.0",
+    "http://{w}.org/{w}/{t}", "the password of {w}", "a {w}-{w}-{w} word", "{w}_{w}_{w}", "{v}", "{v}, {v}", "the {v} key", "token {w}", "secret {v} of {w}", "# {w} = {w}",
 )
-PLAIN = ("order {d}", "card {c}", "call +1 ({t}) {t}-{f}", "from {i} at", "commit {s}", "on 2024-0{t}", "page {t} of {f}", "mail {w}.{t}@{w}.example.com", "version 1.{t}.0", "http://{w}.org/{w}/{t}")
 
 
 def invented(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     """A phrase and the spans of its secrets."""
-    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    draw = lambda alphabet, a, b: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, b)))
+    both = string.ascii_letters + string.digits
     fill = {
-        "a": draw(string.ascii_letters + string.digits, rng.randint(20, 40)), "b": draw(string.ascii_letters + string.digits + "_-", rng.randint(24, 60)), "m": draw(string.ascii_letters, 5) + draw(string.digits, 4) + draw(string.ascii_letters, 5),
-        "h": draw("0123456789abcdef", 40), "u": draw(string.ascii_uppercase + string.digits, 16), "d": draw(string.digits, rng.randint(6, 12)), "c": draw(string.digits, 16), "t": draw(string.digits, 3), "f": draw(string.digits, 4),
-        "i": ".".join(str(rng.randint(0, 255)) for _ in range(4)), "s": draw("0123456789abcdef", 7), "w": draw(string.ascii_lowercase, rng.randint(3, 9)),
-    }
+        "a": draw(both, 20, 40), "b": draw(both + "_-", 24, 60), "m": draw(string.ascii_letters, 5, 5) + draw(string.digits, 4, 4) + draw(string.ascii_letters, 5, 5),
+        "l": draw(string.ascii_letters, 12, 24), "h": draw("0123456789abcdef", 40, 40), "u": draw(string.ascii_uppercase + string.digits, 16, 16), "d": draw(string.digits, 6, 12),
+        "c": draw(string.digits, 16, 16), "t": draw(string.digits, 3, 3), "f": draw(string.digits, 4, 4), "i": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "s": draw("0123456789abcdef", 7, 7), "w": draw(string.ascii_lowercase, 3, 9), "v": draw(string.ascii_lowercase, 10, 24),
+    }
     if rng.random() < 0.5:
         return rng.choice(PLAIN).format(**fill), []
-    form = rng.choice(INVENTED)
-    text = form.format(**fill)
-    key = re.search(r"(?:sk_live_|ghp_|xoxb-\{d\}-|AKIA)?\{[abmhu]\}", form)[0].format(**fill)
-    at = text.index(key)
-    return text, [(at, at + len(key))]
+    lead, inner = rng.choice(INVENTED).split("[", 1)
+    key, after = inner.rsplit("]", 1)
+    lead, key = lead.format(**fill), key.format(**fill)
+    return lead + key + after.format(**fill), [(len(lead), len(lead) + len(key))]
 
 
 def examples(texts: list[str], windows: int, seed: int) -> tuple[list[str], list[list[tuple[int, int]]]]:
@@ -244,7 +260,7 @@ def examples(texts: list[str], windows: int, seed: int) -> tuple[list[str], list
     return pieces, spans
 
 
-def train(texts: list[str], invented_windows: int = 1500, rounds: int = 8, rate: float = 0.1, seed: int = 5) -> Field:
+def train(texts: list[str], invented_windows: int = 4000, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Field:
     """Adagrad on the exact log-likelihood of windows of at most WINDOW tokens."""
     pieces, spans = examples(texts, invented_windows, seed)
     tokens = Tokens(pieces)
@@ -298,15 +314,22 @@ def train(texts: list[str], invented_windows: int = 1500, rounds: int = 8, rate:
     return field
 
 
-def sample_texts(df: DataFrame, text: str, key: str, bound: int) -> list[str]:
-    """About ``bound`` texts, by hash of the key."""
-    share = min(1.0, bound / max(1, df.count()))
-    rows = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(text).alias("text"))
-    return sorted(r["text"] or "" for r in rows.collect())
+def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Field:
+    return train(sample_texts(df, text, key, sample, SAMPLE_CHARS))
 
 
-def fit(df: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Field:
-    return train(sample_texts(df, text, key, sample))
+def likely_secrets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that pass the exact check."""
+    kept = []
+    for a, b in spans:
+        least = LEAST if any(c in string.digits for c in text[a:b]) else LEAST_LETTERS
+        if b - a >= least:
+            kept.append((a, b))
+    return kept
+
+
+def written(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def scan(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -320,19 +343,14 @@ def scan(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
         def block(column: pa.Array) -> list:
             texts = [t or "" for t in column.to_pylist()]
             counts, digests, joined, lists = [], [], [], []
-            for text, extra in zip(texts, f.spans(texts)):
+            for text, found in zip(texts, f.spans(texts)):
                 base = base_spans(text)
-                more = [
-                    (a, 3, b) for a, b in extra
-                    if b - a >= LEAST and any(c.isdigit() for c in text[a:b]) and not any(s < b and a < e for s, _, e in base)
-                ]
-                write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-                every = sorted(base + more)
-                counts.append([sum(k == i for _, k, _ in every) for i in range(4)])
-                digests.append(hashlib.sha256(write(base).encode()).hexdigest())
-                joined.append(write(every))
+                every = sorted(base + [(a, KINDS.index("crf"), b) for a, b in likely_secrets(text, found)])
+                counts.append([sum(k == i for _, k, _ in every) for i in range(len(KINDS))])
+                digests.append(hashlib.sha256(written(base).encode()).hexdigest())
+                joined.append(written(every))
                 lists.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
-            table = np.array(counts, np.int64).reshape(-1, 4)
+            table = np.array(counts, np.int64).reshape(-1, len(KINDS))
             return [*table.T.copy(), pa.array(digests, pa.string()), pa.array(joined, pa.string()), pa.array(lists, pa.list_(kind_type))]
 
         return block
@@ -341,26 +359,30 @@ def scan(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
     return map_text(df, make, out, text, list(keep))
 
 
+def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with ``mark`` for each run of overlapping spans."""
+    made, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            made += [text[at:s], mark]
+        at = max(at, e)
+    return "".join(made) + text[at:]
+
+
 def redact(df: DataFrame, field: Field, text: str = "text", mark: str = "<SECRET>") -> DataFrame:
-    """df with every secret of its texts replaced by ``mark``; same columns, null texts stay null."""
+    """df with every secret of its texts, of base patterns and field, replaced by ``mark``; same columns, null texts stay null."""
     columns = df.columns
+    shared = df.sparkSession.sparkContext.broadcast(field)
 
     def make():
-        f = field
+        f = shared.value
 
         def block(column: pa.Array) -> list:
             texts = column.to_pylist()
             out = []
-            for text, extra in zip(texts, f.spans([t or "" for t in texts])):
+            for text, found in zip(texts, f.spans([t or "" for t in texts])):
                 if text is not None:
-                    base = base_spans(text)
-                    spans = sorted([(s, e) for s, _, e in base] + [(a, b) for a, b in extra if b - a >= LEAST and any(c.isdigit() for c in text[a:b])])
-                    made, at = [], 0
-                    for s, e in spans:
-                        if s >= at:
-                            made += [text[at:s], mark]
-                        at = max(at, e)
-                    text = "".join(made) + text[at:] if spans else text
+                    text = without(text, [(s, e) for s, _, e in base_spans(text)] + likely_secrets(text, found), mark)
                 out.append(text)
             return [pa.array(out, pa.string())]
 

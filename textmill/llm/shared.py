@@ -30,6 +30,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sample_texts(df: DataFrame, text: str, key: str, bound: int, chars: int) -> list[str]:
+    """At most ``bound`` texts, the first by hash of the key (ties by hash of the text), each cut to ``chars`` code points; for fitting only."""
+    share = min(1.0, 2 * bound / max(1, df.count()))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(1_000_000))
+    rows = df.select(place.alias("place"), F.xxhash64(text).alias("tie"), F.substring(F.col(text), 1, chars).alias("text"))
+    return [r["text"] or "" for r in rows.where(F.col("place") < int(share * 1_000_000 + 1)).orderBy("place", "tie", "text").limit(bound).collect()]
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes in one column, one row at least."""
     for batch in batches:
