@@ -49,10 +49,6 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def type_token_ratio(items: Column) -> Column:
-    return let(items, lambda a: ratio(F.size(F.array_distinct(a)), F.size(a)))
-
-
 def windowed_ttr(items: Column, window: int = 25, step: int = 10) -> Column:
     """Mean type-token ratio of the full windows at 0, step, 2 * step, ...; a text that is too short has its plain ratio."""
 
@@ -117,29 +113,53 @@ def syllables(text: Column | str) -> Column:
     return F.regexp_count(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("[aeiouyäöüàâéèêëîïôûùóíúá]+"))
 
 
+#: Names that are none, as patterns; the first are read in any case.
+TEST_NAMES = (r"^TEST\d*$", r"^DENEME\d*$", r"^DEMO\d*$", r"^SAMPLE\d*$")
+NONSENSE_NAMES = (r"^[A-Z]{1,3}$", r"^[A-Z]\d*$")
+SHORT_CODE = r"^[A-Z]{2}\d+$"
+SPECIAL_SIGNS = r"""[!@#$%^&*(){}\[\]|\\:";'<>?,./`~=+]"""
+#: Words that stay upper-case in names.
+NAME_ABBREVIATIONS = (
+    "MS", "MV", "MT", "SS", "RV", "FV", "HMS", "USNS", "USCGC", "LNG", "LPG", "CEO", "II", "III", "IV", "VI", "VII", "VIII", "IX", "XI", "USA", "UK", "EU", "UAE", "US", "FRC", "WB2",
+)
+ROMAN = r"(?i)^(?:I{1,3}|IV|V|VI{0,3}|IX|X|XI{0,3})(?:$|[^\p{L}\p{N}_])"
+
+
 def valid_name(name: Column | str) -> Column:
     """A plausible proper name: 4 to 50 characters, over two different ones, few special signs, no code or test name."""
     x = F.trim(col(name))
-    letters, special = F.regexp_count(x, F.lit("[A-Za-z]")), F.regexp_count(x, F.lit(r"[^A-Za-z0-9 ]"))
-    kinds = F.size(F.array_distinct(F.split(F.upper(F.regexp_replace(x, r"\s", "")), "")))
-    bad = x.rlike(r"(?i)^(TEST|DENEME|DEMO|SAMPLE)\d*$") | x.rlike(r"^[A-Z]{1,3}$") | x.rlike(r"^[A-Z]\d*$") | (x.rlike(r"^[A-Z]{2}\d+$") & (F.length(x) <= 4))
+    letters, special = F.regexp_count(x, F.lit(r"\p{L}")), F.regexp_count(x, F.lit(SPECIAL_SIGNS))
+    kinds = F.size(F.array_distinct(F.split(F.replace(x, F.lit(" "), F.lit("")), "")))
+    bad = x.rlike(SHORT_CODE) & (F.length(x) <= 4)
+    for p in TEST_NAMES:
+        bad = bad | x.rlike(f"(?i){p}")
+    for p in NONSENSE_NAMES:
+        bad = bad | x.rlike(p)
     good = F.length(x).between(4, 50) & (kinds > 2) & (letters >= 2) & (special <= 0.3 * F.length(x)) & ~bad
     return F.coalesce(good, F.lit(False))
 
 
-def name_format(name: Column | str, keep_upper: tuple[str, ...] = ("LNG", "LPG", "MV", "MT", "SS", "UK", "US", "USA")) -> Column:
-    """Title case by word; known abbreviations, roman numerals and short codes with digits stay upper; hyphen parts by themselves."""
-    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+def title_case(text: Column | str) -> Column:
+    """Each run of letters with a capital first letter."""
+    runs = F.regexp_extract_all(col(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 20)))), "")
+
+
+def name_format(name: Column | str, keep_upper: tuple[str, ...] = NAME_ABBREVIATIONS) -> Column:
+    """Title case by word; abbreviations (also in brackets), roman numerals at the start of a word and short codes with digits are upper-case."""
 
     def one(w: Column) -> Column:
         up = F.upper(w)
+        parts = F.regexp_extract_all(w, F.lit(r"[()]|[^()]+"), F.lit(0))
+        in_brackets = F.array_join(F.transform(parts, lambda p: F.when(F.upper(p).isin(*keep_upper), F.upper(p)).otherwise(title_case(p))), "")
+        code = (F.length(w) <= 4) & w.rlike(r"^[\p{L}\p{N}]+$")
         return (
-            F.when(up.isin(*keep_upper) | up.rlike(r"^[IVX]+$") | (up.rlike(r"^[A-Z]*[0-9]+[A-Z0-9]*$") & (F.length(w) <= 4)), up)
-            .when(w.contains("-"), F.array_join(F.transform(F.split(w, "-"), title), "-"))
-            .otherwise(title(w))
+            F.when(w.contains("(") & w.contains(")"), in_brackets)
+            .when(up.isin(*keep_upper) | w.rlike(ROMAN) | (w.rlike(r"\p{N}") & code), up)
+            .otherwise(title_case(w))
         )
 
-    return F.array_join(F.transform(words(name), one), " ")
+    return F.array_join(F.transform(words(F.trim(col(name))), one), " ")
 
 
 def normalize_url(url: Column | str) -> Column:
@@ -167,12 +187,6 @@ def parse_coordinates(text: Column | str) -> Column:
     return F.when(good, F.struct(lat.alias("latitude"), lon.alias("longitude")))
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
-    """Great-circle distance in km."""
-    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
-
-
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -26,7 +26,7 @@ def concat_turns(df: DataFrame, chain: str, order: str, text: str, joiner: str =
 
 
 def split_chain(text: Column, mark: str = MARK) -> Column:
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, mark), lambda part: F.trim(part)), lambda x: x != "")
 
 
 def format_chain(chain: Column, fields: tuple[str, ...] = ("from", "to", "subject", "timestamp", "body")) -> Column:

@@ -17,9 +17,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def exact_groups(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Each row's first key with the same text, and the size of that group."""
-    groups = df.groupBy(F.sha2(F.col(text), 256).alias("__h")).agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
-    return df.withColumn("__h", F.sha2(F.col(text), 256)).join(groups, "__h").drop("__h")
+    """Each row's first key with the same text, and the size of that group; null texts are one group.
+
+    Only hashes meet: copies are counted before they are shuffled. The join back moves rows by hash; adaptive execution splits the partition of a text with very many copies.
+    """
+    marked = df.withColumn("__h", F.coalesce(F.sha2(F.col(text), 256), F.lit("null")))
+    groups = marked.groupBy("__h").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
+    return marked.join(groups, "__h").drop("__h")
 
 
 def shingle_rows(df: DataFrame, text: str, key: str, size: int) -> DataFrame:

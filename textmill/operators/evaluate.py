@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import text as fx
+from textmill.operators.rollup import running_totals
 
 
 def scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -72,12 +73,9 @@ def roll_up(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
-    """The first threshold of best accuracy of ``score >= t``, and its rates, from counts by distinct score."""
-    from pyspark.sql import Window as W
-
+    """The first threshold of best accuracy of ``score >= t``, and its rates, from running counts by distinct score."""
     counts = df.groupBy(F.col(score).alias("t")).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
-    down = W.orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, 0)
-    run = counts.select("t", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("above"))
+    run = running_totals(counts, [F.desc("t")], ["pos", "n"]).select("t", F.col("run_pos").alias("tp"), F.col("run_n").alias("above"))
     total = counts.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
     both = run.join(F.broadcast(total)).withColumn("right", F.col("tp") + (F.col("all") - F.col("p")) - (F.col("above") - F.col("tp")))
     best = both.agg(F.max_by(F.struct("t", "tp", "above", "p", "all", "right"), F.struct("right", -F.col("t"))).alias("b")).select("b.*")

@@ -6,9 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from textmill.operators.lineage import cut
+
 EARTH_KM = 6371.0
 
 
+def running_totals(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """df with ``run_<value>``: totals of the rows up to each in the order, which must tell all rows apart.
+
+    Rows are dealt out by ranges of the order; totals within a range and those of the ranges before it add up, so no task sees all rows.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy("__part").agg(*[F.sum(v).alias(f"__{v}") for v in values])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    starts = parts.select("__part", *[F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
+    within = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = dealt.withColumns({f"run_{v}": F.sum(v).over(within) for v in values}).join(F.broadcast(starts), "__part")
+    return inner.withColumns({f"run_{v}": F.col(f"run_{v}") + F.col(f"__{v}") for v in values}).drop("__part", *[f"__{v}" for v in values])
+
+
+def overall_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its place (from 1) in an order that tells all rows apart."""
+    return running_totals(df.withColumn("__one", F.lit(1).cast("long")), order, ["__one"]).withColumnRenamed("run___one", name).drop("__one")
+
+
 def mean_std(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean and sample standard deviation of each group."""
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

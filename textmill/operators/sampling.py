@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from textmill.operators.rollup import overall_rank
+
+
+def draw(key: Column | str, seed: int = 42) -> Column:
+    """A hash that orders rows as if by chance, the same each time: the hexadecimal digits of md5."""
+    return F.md5(F.concat_ws(":", F.col(key) if isinstance(key, str) else key, F.lit(seed)).cast("binary"))
+
+
+def uniform(key: Column | str, seed: int = 42) -> Column:
+    """A number in (0, 1] from the first eight digits of ``draw``."""
+    return (F.conv(F.substring(draw(key, seed), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+
 
 def quantile_bins(df: DataFrame, value: str, edges: tuple[float, ...] = (0.25, 0.5, 0.75), name: str = "bin") -> DataFrame:
     """Bins (from 0) between exact quantiles, right-closed; equal edges fall together."""
@@ -13,16 +27,45 @@ def quantile_bins(df: DataFrame, value: str, edges: tuple[float, ...] = (0.25, 0
     return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter(F.array_distinct("__cuts"), lambda c: F.col(value) > c))).drop("__cuts")
 
 
-def top_share(df: DataFrame, value: str, key: str, shares: dict[str, float]) -> DataFrame:
-    """(phase, key): the int(share * n) rows of highest value for each phase, by a quantised threshold and ranks among its ties only."""
-    from textmill.operators.diversity import ranked
+def percentile_counts(df: DataFrame, value: str, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 100)) -> DataFrame:
+    """(percent, threshold, n): rows at or below each percentile."""
+    cuts = df.agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in percents])).alias("__c"))
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in percents]).alias("percent"), F.col("__c").alias("threshold"))
+    placed = cuts.select(F.inline(pairs))
+    return df.select(value).join(F.broadcast(placed), F.col(value) <= F.col("threshold")).groupBy("percent", "threshold").agg(F.count("*").alias("n"))
+
+
+def phases(df: DataFrame, order: list[Column], key: str, shares: dict[str, float]) -> DataFrame:
+    """(phase, key): the int(share * n) first rows of the order for each phase."""
+    total = df.agg(F.count("*").alias("__all"))
+    placed = overall_rank(df, order, "__place").join(F.broadcast(total))
+    every = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(s).alias("share")) for p, s in shares.items()])
+    return placed.select(key, "__place", "__all", F.inline(every)).where(F.col("__place") <= F.floor(F.col("share") * F.col("__all"))).select("phase", key)
+
+
+def stage(df: DataFrame, score: str, key: str, percentile: float, least: int = 100) -> DataFrame:
+    """Rows whose score is at most its percentile; if these are fewer than min(least, n / 10), the so many of least score."""
+    facts = df.agg(F.percentile(score, F.lit(percentile)).alias("t"), F.count("*").alias("n")).first()
+    chosen = df.where(F.col(score) <= F.lit(facts["t"]))
+    wanted = min(least, facts["n"] // 10)
+    if chosen.count() >= wanted:
+        return chosen
+    return overall_rank(df, [F.col(score), F.col(key)], "__place").where(F.col("__place") <= wanted).drop("__place")
+
 
-    counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    above = counts.withColumn("__above", F.coalesce(F.sum("__n").over(W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+def easiest(df: DataFrame, score: str, key: str, ratio: float, least: int = 1000) -> DataFrame:
+    """The max(least, min(int(n * ratio), n)) rows of least score."""
+    n = df.count()
+    wanted = max(least, min(int(n * ratio), n))
+    return overall_rank(df, [F.col(score), F.col(key)], "__place").where(F.col("__place") <= wanted).drop("__place")
+
+
+def rank_normalised(df: DataFrame, score: str, key: str, name: str = "normalised") -> DataFrame:
+    """df with (place - 1) / (n - 1) by score, ties by key; 0 for a single row."""
     total = df.agg(F.count("*").alias("__all"))
-    placed = ranked(df.join(above, value), [value], key, name="__tie").withColumn("__place", F.col("__above") + F.col("__tie")).join(F.broadcast(total))
-    phases = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(s).alias("share")) for p, s in shares.items()])
-    return placed.select(key, "__place", "__all", F.inline(phases)).where(F.col("__place") <= F.floor(F.col("share") * F.col("__all"))).select("phase", key)
+    placed = overall_rank(df, [F.col(score), F.col(key)], "__place").join(F.broadcast(total))
+    share = F.coalesce(F.try_divide((F.col("__place") - 1).cast("double"), (F.col("__all") - 1).cast("double")), F.lit(0.0))
+    return placed.withColumn(name, share).drop("__place", "__all")
 
 
 def bucket_split(key: Column, test_percent: int, buckets: int = 100) -> Column:
@@ -31,15 +74,24 @@ def bucket_split(key: Column, test_percent: int, buckets: int = 100) -> Column:
 
 
 def per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """At most n rows of each group, those of least hash."""
-    order = W.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """At most n rows of each group, those first by ``draw``. Each group keeps its n first within tasks before rows meet."""
+    order = W.partitionBy(group).orderBy(draw(key, seed), key)
     return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 
 
 def weighted_without_replacement(df: DataFrame, weight: Column, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows drawn with the given weights: the least of -ln(u) / weight, u from a hash of the key."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    return df.orderBy(-F.ln(u) / weight, key).limit(n)
+    """n rows drawn with the given weights: the least of -ln(u) / weight."""
+    return df.orderBy(-F.ln(uniform(key, seed)) / weight, key).limit(n)
+
+
+def weighted_choice(key: Column | str, weights: dict[str, float], seed: int = 42) -> Column:
+    """One of the names, each with its share of the weights, by ``uniform``."""
+    total, at, out = sum(weights.values()), 0.0, None
+    for name, w in weights.items():
+        at += w
+        hit = uniform(key, seed) <= at / total
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(list(weights)[-1])
 
 
 def stratified_batch(df: DataFrame, label: str, key: str, plan: dict[int, int], anchors: DataFrame, strata: DataFrame, size: int = 64) -> DataFrame:
@@ -48,7 +100,7 @@ def stratified_batch(df: DataFrame, label: str, key: str, plan: dict[int, int],
     for place, n in plan.items():
         if place:
             wanted = wanted.unionByName(anchors.join(strata, "a").where(F.col("place") == place).select(F.col("b").alias(label), F.lit(n).alias("__n")).distinct())
-    order = W.partitionBy(label).orderBy(F.xxhash64(key, F.lit(7)), key)
+    order = W.partitionBy(label).orderBy(draw(key, 7), key)
     best = wanted.groupBy(label).agg(F.max("__n").alias("__n"))
     return df.join(F.broadcast(best), label).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__n")).drop("__r", "__n").limit(size)
 
@@ -69,11 +121,13 @@ def scaled_difficulty(df: DataFrame, parts: dict[str, float]) -> DataFrame:
     return df.join(F.broadcast(tops)).withColumn("difficulty", total).drop(*[f"__{c}" for c in parts])
 
 
-def schedule(step: Column, total: int, start: float, end: float, kind: str = "linear") -> Column:
-    """A value that moves from start to end over ``total`` steps: linear, cosine or exponential; clamped."""
-    x = F.least(F.greatest(step / float(total), F.lit(0.0)), F.lit(1.0))
+def schedule(step: Column, warmup: int, start: float, end: float, kind: str = "linear") -> Column:
+    """A value that moves from start to a larger end over ``warmup`` steps: linear, cosine or exponential; clamped."""
+    x = step / float(warmup)
     if kind == "cosine":
-        return end + (start - end) * (1 + F.cos(x * 3.141592653589793)) / 2
-    if kind == "exponential":
-        return start * F.pow(F.lit(end / start), x)
-    return start + (end - start) * x
+        made = start + (end - start) * (1 - F.cos(x * math.pi)) / 2
+    elif kind == "exponential":
+        made = start * F.pow(F.lit(end / start), x)
+    else:
+        made = start + (end - start) * x
+    return F.when(step >= warmup, F.lit(end)).otherwise(F.greatest(F.least(made, F.lit(end)), F.lit(start)))

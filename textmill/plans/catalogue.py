@@ -1,3 +1,14 @@
 """Imports every module of queries."""
 
-from textmill.plans import chain_queries, extract_queries, quality_queries, rollup_queries, text_queries, vector_queries  # noqa: F401
+from textmill.plans import (  # noqa: F401
+    chain_queries,
+    curriculum_queries,
+    extract_queries,
+    label_queries,
+    place_queries,
+    quality_queries,
+    rollup_queries,
+    score_queries,
+    text_queries,
+    vector_queries,
+)

@@ -135,11 +135,19 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("source", F.array_join(F.sort_array("ids").cast("array<string>"), ",").alias("ids"))
 
 
+@query("SELECT source, doc_id // 1000 AS block, array_to_string(list_sort(list(doc_id)), ',') AS ids, count(*) AS n FROM documents GROUP BY 1, 2")
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index in blocks of a thousand keys, so no row grows with the table."""
+    block = F.floor(F.col("doc_id") / 1000).alias("block")
+    made = table(spark, sf_dir, "documents").groupBy("source", block).agg(F.collect_list("doc_id").alias("ids"))
+    return made.select("source", "block", F.array_join(F.sort_array("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
 @query(SPANS_SQL + ", f AS (SELECT entity, type, min(doc_id * 1000000 + start) AS first FROM s GROUP BY 1, 2) SELECT type, entity, row_number() OVER (PARTITION BY type ORDER BY first) - 1 AS id FROM f")
 def entity_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    first = spans(spark, sf_dir).groupBy("entity", "type").agg(F.min(F.col("doc_id") * 1000000 + F.col("start")).alias("first"))
+    first = spans(spark, sf_dir).groupBy("entity", "type").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return first.select("type", "entity", (F.row_number().over(W.partitionBy("type").orderBy("first")) - 1).cast("long").alias("id"))
 
 

@@ -61,5 +61,5 @@ def non_blank(df: DataFrame, column: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows (all if fewer), the same ones each time: those of least hash."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows (all if fewer), the same ones each time: those first by md5 of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed)).cast("binary")), key).limit(n)
