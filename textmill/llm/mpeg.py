@@ -2,8 +2,9 @@
 
 ``write_mpeg`` stores bytes as the ancillary data of silent MPEG-1 Layer III mono frames (32 kHz, 48 kbit/s, 216 bytes, CRC
 protected), 192 bytes a frame, behind an ID3v2 tag and an Info frame with a table of 100 seek points. ``read_mpeg`` reads
-any MPEG 1, 2 or 2.5 stream: it looks for frame headers that agree with the next one, parses ID3v2, ID3v1, Xing, Info
-and VBRI, verifies the CRC of Layer III frames and gives exact durations and the offset of every frame.
+any MPEG 1, 2 or 2.5 stream of layers I to III: it looks for frame headers that agree with the next one, parses ID3v2 (2.2 to 2.4, with extended headers and unsynchronised tags), ID3v1, Xing, Info
+and VBRI, verifies the CRC of Layer III frames and gives exact durations (a fraction of seconds) and the offset of every frame. Frames of free format (bit rate index 0) have no size
+in their header; they count as bytes between frames.
 
 Defined results: null and empty texts are one frame of spaces; a null stream, or one without frames, has no frames, a
 duration of 0 and an empty payload; bytes between frames are skipped and counted; a last frame that is cut off is
@@ -63,6 +64,14 @@ def synchsafe(n: int) -> bytes:
     return bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
 
 
+def unsafe(four: bytes) -> int:
+    """The number of four bytes of seven bits."""
+    n = 0
+    for b in four:
+        n = n << 7 | b & 127
+    return n
+
+
 def media_of(payload: np.ndarray) -> bytes:
     """The stream of a payload whose length is a multiple of 192."""
     n = len(payload) // UNIT
@@ -146,16 +155,29 @@ class Stream:
         self.verify(data, heads)
 
     def id3v2(self, data: bytes) -> int:
-        size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-        at, stop, four = 10, min(10 + size, len(data)), data[3] == 4
-        while at + 10 <= stop and data[at : at + 4].isalnum():
-            n = (data[at + 4] << 21 | data[at + 5] << 14 | data[at + 6] << 7 | data[at + 7]) if four else struct.unpack_from(">I", data, at + 4)[0]
-            body = data[at + 10 : min(at + 10 + n, stop)]
-            if data[at : at + 1] == b"T" and body:
-                code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-                self.tags[data[at : at + 4].decode()] = body[1:].decode(code, "replace").rstrip("\0")
-            at += 10 + n
-        return stop + 10 * (data[5] >> 4 & 1)
+        """Reads the text frames of the tag at the start; where it ends."""
+        version, flags = data[3], data[5]
+        size = unsafe(data[6:10])
+        body = data[10 : 10 + size]
+        if flags & 0x80 and version < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        at, head = 0, 6 if version == 2 else 10
+        if flags & 0x40 and version > 2 and len(body) >= 4:
+            at = unsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4])
+        while at + head <= len(body) and body[at : at + 3].isalnum():
+            name = body[at : at + (3 if version == 2 else 4)]
+            sizes = body[at + len(name) : at + len(name) + (3 if version == 2 else 4)]
+            n = unsafe(sizes) if version == 4 else int.from_bytes(sizes)
+            text = body[at + head : at + head + n]
+            if version == 4 and body[at + 9] & 1:
+                text = text[4:]
+            if version == 4 and body[at + 9] & 2:
+                text = text.replace(b"\xff\0", b"\xff")
+            if name[:1] == b"T" and name.isalnum() and text:
+                code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(text[0], "latin-1")
+                self.tags[name.decode("ascii", "replace")] = text[1:].decode(code, "replace").rstrip("\0")
+            at += head + n
+        return min(10 + size, len(data)) + 10 * (flags >> 4 & 1)
 
     @staticmethod
     def vbr(data: bytes, at: int, head: int, kind: tuple) -> dict | None:
@@ -203,7 +225,7 @@ class Stream:
 
 MEDIA = "n_bytes long, media binary"
 STREAM = (
-    "payload binary, n_frames long, n_samples long, sample_rate int, duration_us long, crc_ok long, crc_bad long, skipped_bytes long, "
+    "payload binary, n_frames long, n_samples long, sample_rate int, duration_us long, duration_num long, duration_den long, crc_ok long, crc_bad long, skipped_bytes long, "
     "table_kind string, table_frames long, table_toc array<int>, tags map<string,string>, seek_offsets array<long>"
 )
 
@@ -249,6 +271,8 @@ def read_mpeg(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc
                 pa.array([s.samples for s in streams], pa.int64()),
                 pa.array([min(s.rates) if len(s.rates) == 1 else None for s in streams], pa.int32()),
                 pa.array([round(s.duration * 1_000_000) for s in streams], pa.int64()),
+                pa.array([s.duration.numerator for s in streams], pa.int64()),
+                pa.array([s.duration.denominator for s in streams], pa.int64()),
                 pa.array([s.crc_ok for s in streams], pa.int64()),
                 pa.array([s.crc_bad for s in streams], pa.int64()),
                 pa.array([s.skipped for s in streams], pa.int64()),

@@ -34,7 +34,7 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
-        "n_frames", "n_samples", "duration_us", "crc_ok", "crc_bad",
+        "n_frames", "n_samples", "duration_us", "duration_num", "duration_den", "crc_ok", "crc_bad", "skipped_bytes", "seek_offsets",
     )
 
 
