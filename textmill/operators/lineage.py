@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="textmill-"))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in spark.checkpoint.dir; one of our own only in local mode where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='textmill-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from textmill.plans import (  # noqa: F401
     quality_queries,
     rollup_queries,
     score_queries,
+    stream_queries,
     text_queries,
     vector_queries,
 )
