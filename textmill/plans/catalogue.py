@@ -1,6 +1,7 @@
 """Imports every module of queries."""
 
 from textmill.plans import (  # noqa: F401
+    annotation_queries,
     chain_queries,
     curriculum_queries,
     extract_queries,
