@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textmill.functions import text as fx
+from textmill.operators.lineage import cut
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -39,12 +40,14 @@ def near_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", size: int
     must share one of the rarest (1 - threshold) * n + 1 of each side, so only those prefixes are joined; prefix
     filtering keeps frequent shingles, and with them quadratic joins, out. Candidates are verified on whole sets.
     """
-    rows = shingle_rows(df, text, key, size)
+    rows = cut(shingle_rows(df, text, key, size))
     profile = rows.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("shingle")).alias("set"))
     profile = profile.withColumn("h", F.sha2(F.array_join(F.col("set").cast("array<string>"), ","), 256))
+    profile = cut(profile)
     classes = profile.groupBy("h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("set").alias("set"))
-    frequency = rows.join(classes.select("id"), "id", "left_semi").groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = rows.join(classes.select("id"), "id", "left_semi").join(frequency, "shingle")
+    own = rows.join(classes.select("id"), "id", "left_semi")
+    frequency = own.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = own.join(frequency, "shingle")
     prefix = ranked.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "shingle"))).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     x = prefix.where("df > 1").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"))
     y = prefix.where("df > 1").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"))

@@ -27,11 +27,12 @@ def ranked(df: DataFrame, by: list[str], key: str, width: int = 4096, name: str
 
 
 def _numbered(n: Column, gram: Column) -> Column:
-    return F.struct(n.alias("n"), gram.alias("gram"))
+    """Grams travel as 64-bit hashes."""
+    return F.struct(n.alias("n"), F.xxhash64(gram).alias("gram"))
 
 
 def corpus_ngrams(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, n, gram, count) for n of 1 to 3 over the texts of a group joined in order of the key; n-grams may cross texts."""
+    """(group, n, gram, count) for n of 1 to 3, grams as hashes, over the texts of a group joined in order of the key; n-grams may cross texts."""
     parts = df.select(group, F.col(key).alias("__key"), fx.tokens(text).alias("__t")).where(F.size("__t") > 0)
     parts = ranked(parts, [group], "__key", name="__r")
     heads = parts.select(group, F.col("__r").alias("__hr"), F.slice("__t", 1, 2).alias("__head"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textmill.functions import text as fx
+from textmill.operators.lineage import cut
 
 TERM = r"[a-z][a-z0-9/-]*"
 #: Patterns of the rule extractors. Group 1 is the entity.
@@ -16,21 +17,26 @@ QUANTITY = r"(?i)([0-9][0-9.,]*)\s*(?:mts?|tons?|kg|lbs)\s+(?:of\s+)?([a-z]{3,})
 CODES = ("FOB", "CIF", "CFR", "EXW", "FAS", "DAP", "DDP")
 
 
-def term_counts(df: DataFrame, text: str, key: str, longest: int = 3) -> DataFrame:
-    """(key, term, tf) of all n-grams of up to ``longest`` terms, counted inside each row's task before the shuffle."""
+def row_terms(text: str, longest: int) -> Column:
+    """All n-grams of up to ``longest`` terms of a row, repeated ones too."""
     terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
-    grams = F.concat(*[fx.ngrams(terms, n) for n in range(1, longest + 1)])
-    return df.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return fx.let(terms, lambda t: F.concat(*[fx.ngrams(t, n) for n in range(1, longest + 1)]))
 
 
 def tfidf(df: DataFrame, text: str = "text", key: str = "doc_id", longest: int = 3, least_df: int = 2, most_df: float = 0.8, features: int = 5000) -> DataFrame:
-    """(key, term, weight): smooth idf ln((1 + n) / (1 + df)) + 1, rows of length 1, over the ``features`` terms of the highest corpus count (then by name)."""
-    counts = term_counts(df, text, key, longest)
+    """(key, term, weight): smooth idf ln((1 + n) / (1 + df)) + 1, rows of length 1, over the ``features`` terms of the highest corpus count (then by name).
+
+    Keys tell rows apart. One pass counts terms and the rows that hold them, with partial sums in each task; then the chosen terms, ``features`` at most, are
+    broadcast, and only their counts move.
+    """
+    grams = row_terms(text, longest)
+    once = fx.let(grams, lambda g: F.concat(F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(0).alias("df"))), F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("term"), F.lit(1).alias("df")))))
     total = df.agg(F.count("*").alias("docs"))
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).join(F.broadcast(total))
+    stats = df.select(F.inline(once)).groupBy("term").agg(F.sum("df").alias("df"), F.sum(1 - F.col("df")).alias("cf")).join(F.broadcast(total))
     chosen = stats.where((F.col("df") >= least_df) & (F.col("df") <= most_df * F.col("docs"))).orderBy(F.desc("cf"), "term").limit(features)
-    idf = chosen.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = cut(chosen.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    raw = df.select(key, F.explode(grams).alias("term")).join(F.broadcast(idf), "term").groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
+    raw = cut(raw)
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 

@@ -84,7 +84,8 @@ c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS sha
 p AS (SELECT a, b, shared / (na + nb - shared) AS similarity FROM c WHERE shared / (na + nb - shared) >= 0.85)"""
 
 
-@query()
+@query(SHINGLES + """, k AS (SELECT doc_id, list_sort(list(g)) AS s FROM e GROUP BY 1), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class FROM k)
+SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE a IN (SELECT class FROM r) AND b IN (SELECT class FROM r) UNION ALL SELECT class, doc_id, 1.0 FROM r WHERE class <> doc_id""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of class representatives and, for copies, of the representative and the copy."""
     return dedup.near_pairs(table(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
