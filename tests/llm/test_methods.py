@@ -337,3 +337,12 @@ def test_repeated_words_of_colliding_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "PACKED", 1 << 24)
     monkeypatch.setattr(quality, "POSITION_BITS", 60)  # only four bits of a hash sort the windows
     assert run() == want
+
+
+def test_language_fit_is_bounded(spark, monkeypatch):
+    from textmill.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = [(i, "some words of text here", "abc"[min(i % 4, 2)]) for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["a", "c"]

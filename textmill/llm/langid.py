@@ -26,6 +26,8 @@ from textmill.llm.shared import map_text, text_blocks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: A fit knows so many languages at most.
+MOST_LANGUAGES = 256
 PER_LANGUAGE = 4000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -74,9 +76,11 @@ class NaiveBayes:
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.5) -> NaiveBayes:
-    """Learns from rows with text and label; at most about ``per_language`` of each label, taken by hash of the text."""
+    """Learns from rows with text and label: about ``per_language`` of each label, taken by hash of the text (all copies of a text that is taken count), and of the
+    MOST_LANGUAGES most frequent labels."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().collect()}
+    frequent = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
     languages = sorted(sizes)
     if not languages:
         return NaiveBayes([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
