@@ -32,6 +32,7 @@ def test_links_levels_and_order(spark):
     assert got[1, 4].parent_turn == 0
     assert (got[1, 5].parent_turn, got[1, 5].depth, got[1, 5].root_turn) == (2, 3, 0)
     assert got[2, 0].clean_text == "" and got[2, 2].n_passages == 0 and got[2, 2].root_turn == 2
+    assert [got[1, t].position for t in range(6)] == [0, 1, 2, 3, 4, 5] and got[3, 0].position == 0 and got[3, 1].position == 1
     assert got[3, 1].parent_turn == 0 and got[None, 1].parent_turn is None
 
 
@@ -56,3 +57,10 @@ def test_long_chain_and_empty(spark, n):
 def test_clashing_names(spark):
     frame = spark.createDataFrame([(1, 0, "a", "x", 9)], "conv_id long, turn long, clean_text string, body string, depth long")
     assert chat.without_quotes(frame, text="body", keep=("clean_text", "depth")).first().clean_text == "x"
+
+
+def test_positions_go_on_over_ranges(spark):
+    data = [(7, i, "user", f"message {i}" if i % 3 else f"> message {i - 2}\nnew {i}") for i in range(300)] + [(8, 0, "user", "x")]
+    out = chat.without_quotes(spark.createDataFrame(data, COLUMNS).repartition(7))
+    got = sorted((r.root_turn, r.turn, r.position) for r in out.collect() if r.conv_id == 7)
+    assert [p for *_, p in got] == list(range(300)) and len({r for r, *_ in got}) < 300

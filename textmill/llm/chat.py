@@ -4,16 +4,18 @@ Lines that start with ``>`` are quoted, at the level that is the number of such
 a passage. Passages are lower-cased, blanks are collapsed, and their hashes are joined, within the conversation, with those of the unquoted
 whole texts, paragraphs and lines of messages; the original is the earliest message that holds the passage, if it is
 earlier than the quote. A message answers the latest original of its level-one passages. Root and depth in the tree of answers
-come by pointer doubling, so (conv_id, root_turn, turn) is the reply order; texts lose quotes and the lines that announce them.
+come by pointer doubling. The reply order of a conversation is by root, then turn: threads one after the other; ``position`` is a message's place in it, found
+by ranges of the order, so a long conversation is sorted by many tasks. Texts lose quotes and the lines that announce them.
 
 Defined results: a null text counts as empty; a passage without an original links to nothing; a message that answers nothing is its
-own root at depth 0; a passage whose whole is nowhere is matched by its lines; repeated rows get equal results; rows with
+own root at depth 0; rows with the same conversation and turn have the same position, nulls come first; a passage whose whole is nowhere is matched by its lines; repeated rows get equal results; rows with
 a null conversation or turn link to nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textmill.llm.shared import cut_lineage
@@ -91,8 +93,22 @@ def reply_order(links: DataFrame) -> DataFrame:
         now = joined.select("conv_id", "turn", "parent_turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with position: the place, from 0, of (root_turn, turn) among those of its conv_id."""
+    order = ["root_turn", "turn"]
+    dealt = cut_lineage(df.repartitionByRange("conv_id", *order).withColumn("__part", F.spark_partition_id()))
+    inner = F.dense_rank().over(W.partitionBy("__part", "conv_id").orderBy(*order))
+    ranked = dealt.withColumn("__inner", inner.cast("long"))
+    # a conversation that lies in several ranges goes on counting; one row for each range and conversation
+    sizes = ranked.groupBy("__part", "conv_id").agg(F.max("__inner").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("__part").alias("__p"), F.col("conv_id").alias("__c"), before.alias("__before"))
+    joined = ranked.join(starts, (F.col("__part") == F.col("__p")) & F.col("conv_id").eqNullSafe(F.col("__c")))
+    return joined.withColumn("position", F.col("__inner") + F.col("__before") - 1).drop("__part", "__inner", "__p", "__c", "__before")
+
+
 def without_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text", keep: tuple[str, ...] = ("role",)) -> DataFrame:
-    """One row for each message: conv_id, turn, ``keep``, clean_text, n_passages, max_level, n_linked, parent_turn, root_turn, depth."""
+    """One row for each message: conv_id, turn, ``keep``, clean_text, n_passages, max_level, n_linked, parent_turn, root_turn, depth, position."""
     quotes = cut_lineage(link_quotes(df, conversation, turn, text))
     linked = quotes.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_passages"), F.max("level").alias("max_level"), F.count("source_turn").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source_turn"))).alias("parent_turn")
@@ -100,14 +116,15 @@ def without_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "tu
     linked = cut_lineage(linked)
     tree = reply_order(linked.where("parent_turn is not null")).drop("parent_turn")
     facts = linked.join(tree, ["conv_id", "turn"], "left")
-    made = ("conv_id", "turn", "clean_text", "n_passages", "max_level", "n_linked", "parent_turn", "root_turn", "depth")
+    made = ("conv_id", "turn", "clean_text", "n_passages", "max_level", "n_linked", "parent_turn", "root_turn", "depth", "position")
     others = [c for c in keep if c not in made]
     base = marked(df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), *others, F.col(text).alias("__text")), "__text")
     out = base.join(facts, ["conv_id", "turn"], "left")
-    return out.select(
+    whole = out.select(
         "conv_id", "turn", *others, "clean_text", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passages", "max_level", "n_linked")],
         "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
     )
+    return placed(whole)
 
 
 #: The same rows in DuckDB, with its lists and a recursive query.
@@ -127,6 +144,7 @@ found AS (SELECT p.conv_id, p.turn, p.level, p.passage, coalesce(max(o.source) F
 linked AS (SELECT conv_id, turn, count(*) AS n_passages, max(level) AS max_level, count(source_turn) AS n_linked, max(source_turn) FILTER (WHERE level = 1) AS parent_turn FROM found GROUP BY 1, 2),
 tree AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM linked WHERE parent_turn IS NOT NULL UNION ALL SELECT t.conv_id, t.turn, l.parent_turn, t.depth + 1 FROM tree t JOIN linked l ON l.conv_id = t.conv_id AND l.turn = t.root_turn WHERE l.parent_turn IS NOT NULL),
 roots AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM tree GROUP BY 1, 2)
-SELECT r.conv_id, r.turn, r.role, c.clean_text, coalesce(l.n_passages, 0)::BIGINT AS n_passages, coalesce(l.max_level, 0)::BIGINT AS max_level, coalesce(l.n_linked, 0)::BIGINT AS n_linked, l.parent_turn, coalesce(t.root_turn, r.turn) AS root_turn, coalesce(t.depth, 0)::BIGINT AS depth
+SELECT r.conv_id, r.turn, r.role, c.clean_text, coalesce(l.n_passages, 0)::BIGINT AS n_passages, coalesce(l.max_level, 0)::BIGINT AS max_level, coalesce(l.n_linked, 0)::BIGINT AS n_linked, l.parent_turn, coalesce(t.root_turn, r.turn) AS root_turn, coalesce(t.depth, 0)::BIGINT AS depth,
+ dense_rank() OVER (PARTITION BY r.conv_id ORDER BY coalesce(t.root_turn, r.turn) NULLS FIRST, r.turn NULLS FIRST) - 1 AS position
 FROM rows0 r JOIN clean c USING (id) LEFT JOIN linked l ON l.conv_id = r.conv_id AND l.turn = r.turn LEFT JOIN roots t ON t.conv_id = r.conv_id AND t.turn = r.turn
 """
