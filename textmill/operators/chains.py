@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from textmill.functions.cleaning import json_object_text
 from textmill.functions.text import collapse_blanks
 
+#: Fixed value: what stands before each mail of a printed chain.
 MARK = r"(?:<)?Email\s*\d+(?:>)?:\s*"
 
 

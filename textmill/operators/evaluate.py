@@ -32,7 +32,9 @@ def greedy_match(found: Column, labels: Column) -> Column:
 
     def whole(n: Column) -> Column:
         fp, fn = F.size(found) - n, F.size(labels) - n
-        return F.struct(n.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"), *[F.when(none, F.lit(1.0)).otherwise(c).alias(name) for c, name in zip(scores(n, fp, fn), ("precision", "recall", "f1"))])
+        counts = [c.cast("long").alias(name) for c, name in ((n, "tp"), (fp, "fp"), (fn, "fn"))]
+        rates = zip(scores(n, fp, fn), ("precision", "recall", "f1"))
+        return F.struct(*counts, *[F.when(none, F.lit(1.0)).otherwise(c).alias(name) for c, name in rates])
 
     return fx.let(tp, whole)
 
@@ -69,7 +71,8 @@ def roll_up(rows: DataFrame, by: list[str]) -> DataFrame:
     """Macro means (4 places), totals, and micro scores from the rounded means' totals."""
     made = rows.groupBy(*by).agg(*[F.round(F.avg(c), 4).alias(f"macro_{c}") for c in ("precision", "recall", "f1")], *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     micro_p, micro_r = F.round(fx.ratio(F.col("tp"), F.col("tp") + F.col("fp")), 4), F.round(fx.ratio(F.col("tp"), F.col("tp") + F.col("fn")), 4)
-    return made.withColumn("micro_precision", micro_p).withColumn("micro_recall", micro_r).withColumn("micro_f1", F.round(fx.ratio(2 * F.col("micro_precision") * F.col("micro_recall"), F.col("micro_precision") + F.col("micro_recall")), 4))
+    p, r = F.col("micro_precision"), F.col("micro_recall")
+    return made.withColumns({"micro_precision": micro_p, "micro_recall": micro_r}).withColumn("micro_f1", F.round(fx.ratio(2 * p * r, p + r), 4))
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -79,4 +82,9 @@ def threshold_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
     total = counts.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
     both = run.join(F.broadcast(total)).withColumn("right", F.col("tp") + (F.col("all") - F.col("p")) - (F.col("above") - F.col("tp")))
     best = both.agg(F.max_by(F.struct("t", "tp", "above", "p", "all", "right"), F.struct("right", -F.col("t"))).alias("b")).select("b.*")
-    return best.select(F.col("t").alias("threshold"), fx.ratio(F.col("right"), F.col("all")).alias("accuracy"), fx.ratio(F.col("tp"), F.col("p")).alias("tpr"), fx.ratio(F.col("all") - F.col("p") - (F.col("above") - F.col("tp")), F.col("all") - F.col("p")).alias("tnr"))
+    positives, negatives = F.col("p"), F.col("all") - F.col("p")
+    false = F.col("above") - F.col("tp")
+    return best.select(
+        F.col("t").alias("threshold"), fx.ratio(F.col("right"), F.col("all")).alias("accuracy"),
+        fx.ratio(F.col("tp"), positives).alias("tpr"), fx.ratio(negatives - false, negatives).alias("tnr"),
+    )
