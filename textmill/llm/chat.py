@@ -116,15 +116,17 @@ def without_quotes(df: DataFrame, conversation: str = "conv_id", turn: str = "tu
     linked = cut_lineage(linked)
     tree = reply_order(linked.where("parent_turn is not null")).drop("parent_turn")
     facts = linked.join(tree, ["conv_id", "turn"], "left")
+    # places come from keys and numbers alone; texts move once, to meet them
+    keys = df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn")).distinct().join(facts, ["conv_id", "turn"], "left")
+    zero = F.lit(0).cast("long")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_passages", "max_level", "n_linked", "depth")]
+    told = placed(keys.select("conv_id", "turn", *counts, "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn")))
+    told = told.withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
     made = ("conv_id", "turn", "clean_text", "n_passages", "max_level", "n_linked", "parent_turn", "root_turn", "depth", "position")
     others = [c for c in keep if c not in made]
     base = marked(df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), *others, F.col(text).alias("__text")), "__text")
-    out = base.join(facts, ["conv_id", "turn"], "left")
-    whole = out.select(
-        "conv_id", "turn", *others, "clean_text", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_passages", "max_level", "n_linked")],
-        "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
-    )
-    return placed(whole)
+    out = base.join(told, F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn")))
+    return out.select("conv_id", "turn", *others, *made[2:])
 
 
 #: The same rows in DuckDB, with its lists and a recursive query.
