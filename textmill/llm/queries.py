@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, chat, htmltext, langid, mpeg, neardup, packing, pii, quality, secrets
+from textmill.llm import bpe, chat, fim, htmltext, langid, mpeg, neardup, packing, pii, quality, secrets, tokencount, trie
 from textmill.llm.shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), RANKS, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{n}_sha256") for n, c in (("output", F.col("output")), ("restored", back))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", tokencount.n_bytes().alias("n_bytes"))
+    table = tokencount.frequent(docs, WORD_TOKENIZER)
+    return tokencount.count_tokens(docs, WORD_TOKENIZER, table, keep=("doc_id", "n_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_quotation_linking, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans, op8_html_main_text, op9_quality_rules, op10_byte_bpe)
-}
-SQL: dict[str, str] = {"op2_quotation_linking": chat.SQL}
+    f.__name__: f
+    for f in (
+        op1_mpeg_audio, op2_quotation_linking, op3_language_id, op4_cost_balanced_packing, op5_pii, op6_minhash_near_dedup, op7_secret_scans,
+        op8_html_main_text, op9_quality_rules, op10_byte_bpe, op11_prefix_trie, op12_fill_in_middle, op13_token_counts,
+    )
+}
+SQL: dict[str, str] = {"op2_quotation_linking": chat.SQL, "op11_prefix_trie": trie.SQL, "op12_fill_in_middle": fim.SQL}
