@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from textmill.operators.quantiles import quantiles
 from textmill.operators.rollup import overall_rank
 
 
@@ -22,17 +23,19 @@ def uniform(key: Column | str, seed: int = 42) -> Column:
 
 
 def quantile_bins(df: DataFrame, value: str, edges: tuple[float, ...] = (0.25, 0.5, 0.75), name: str = "bin") -> DataFrame:
-    """Bins (from 0) between exact quantiles, right-closed; equal edges fall together."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(e) for e in edges])).alias("__cuts"))
-    return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter(F.array_distinct("__cuts"), lambda c: F.col(value) > c))).drop("__cuts")
+    """Bins (from 0) between exact quantiles, right-closed; equal edges fall together. A null value is in bin 0."""
+    cuts = sorted({c for c in quantiles(df, value, list(edges)) if c is not None})
+    return df.withColumn(name, sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
 
 
 def percentile_counts(df: DataFrame, value: str, percents: tuple[int, ...] = (10, 25, 50, 75, 90, 100)) -> DataFrame:
-    """(percent, threshold, n): rows at or below each percentile."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in percents])).alias("__c"))
-    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in percents]).alias("percent"), F.col("__c").alias("threshold"))
-    placed = cuts.select(F.inline(pairs))
-    return df.select(value).join(F.broadcast(placed), F.col(value) <= F.col("threshold")).groupBy("percent", "threshold").agg(F.count("*").alias("n"))
+    """(percent, threshold, n): rows at or below each percentile, counted in one pass; no rows for a column without values."""
+    cuts = [c for c in zip(percents, quantiles(df, value, [p / 100 for p in percents])) if c[1] is not None]
+    if not cuts:
+        return df.sparkSession.createDataFrame([], "percent int, threshold double, n long")
+    counts = df.agg(*[F.count_if(F.col(value) <= c).alias(f"n{p}") for p, c in cuts])
+    rows = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(float(c)).alias("threshold"), F.col(f"n{p}").alias("n")) for p, c in cuts])
+    return counts.select(F.inline(rows))
 
 
 def phases(df: DataFrame, order: list[Column], key: str, shares: dict[str, float]) -> DataFrame:
@@ -45,9 +48,9 @@ def phases(df: DataFrame, order: list[Column], key: str, shares: dict[str, float
 
 def stage(df: DataFrame, score: str, key: str, percentile: float, least: int = 100) -> DataFrame:
     """Rows whose score is at most its percentile; if these are fewer than min(least, n / 10), the so many of least score."""
-    facts = df.agg(F.percentile(score, F.lit(percentile)).alias("t"), F.count("*").alias("n")).first()
-    chosen = df.where(F.col(score) <= F.lit(facts["t"]))
-    wanted = min(least, facts["n"] // 10)
+    top = quantiles(df, score, [percentile])[0]
+    chosen = df.where(F.col(score) <= F.lit(top))
+    wanted = min(least, df.count() // 10)
     if chosen.count() >= wanted:
         return chosen
     return overall_rank(df, [F.col(score), F.col(key)], "__place").where(F.col("__place") <= wanted).drop("__place")
@@ -102,7 +105,7 @@ def stratified_batch(df: DataFrame, label: str, key: str, plan: dict[int, int],
             wanted = wanted.unionByName(anchors.join(strata, "a").where(F.col("place") == place).select(F.col("b").alias(label), F.lit(n).alias("__n")).distinct())
     order = W.partitionBy(label).orderBy(draw(key, 7), key)
     best = wanted.groupBy(label).agg(F.max("__n").alias("__n"))
-    return df.join(F.broadcast(best), label).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__n")).drop("__r", "__n").limit(size)
+    return df.join(best, label).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__n")).drop("__r", "__n").limit(size)
 
 
 def difficulty(length: Column, spans: Column, rarity: Column) -> Column:
@@ -114,11 +117,11 @@ def difficulty(length: Column, spans: Column, rarity: Column) -> Column:
 
 def scaled_difficulty(df: DataFrame, parts: dict[str, float]) -> DataFrame:
     """df with difficulty: columns over their 95th percentile, at most 1, weighted."""
-    tops = df.agg(*[F.percentile(c, F.lit(0.95)).alias(f"__{c}") for c in parts])
     total = F.lit(0.0)
     for c, w in parts.items():
-        total = total + w * F.least(F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"__{c}")), F.lit(0.0)), F.lit(1.0))
-    return df.join(F.broadcast(tops)).withColumn("difficulty", total).drop(*[f"__{c}" for c in parts])
+        share = F.try_divide(F.col(c).cast("double"), F.lit(quantiles(df, c, [0.95])[0]).cast("double"))
+        total = total + w * F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0))
+    return df.withColumn("difficulty", total)
 
 
 def schedule(step: Column, warmup: int, start: float, end: float, kind: str = "linear") -> Column:
