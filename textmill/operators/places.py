@@ -1,4 +1,4 @@
-"""Places and freight: distance matrices, routes, rates, buckets of rates and regions, best names of a dictionary."""
+"""Places and freight: distance matrices, routes, rates, buckets of rates and regions."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as fx
 from textmill.operators.rollup import haversine
 
-#: Names in a dictionary that is handed to every task; a place matrix has the square of its places.
-MOST_NAMES = 100_000
+#: A place matrix has the square of its places.
 MOST_PLACES = 20_000
 BASE_RATE = 30.0
 
@@ -65,15 +64,6 @@ def region(code: Column, regions: dict[str, tuple[str, ...]], other: str = "OT")
     return out
 
 
-def best_name(df: DataFrame, column: str, names: DataFrame, name: str, least: float = 0.8, out: str = "matched") -> DataFrame:
-    """df with the most similar name of a dictionary, the first by name among equals, or its own if none is similar enough. The dictionary has MOST_NAMES rows at most."""
-    known = checked(names.select(name).where(F.col(name).isNotNull()).distinct(), MOST_NAMES).agg(F.sort_array(F.collect_list(name)).alias("__names"))
-    own = F.col(column)
-    scored = F.transform("__names", lambda x: F.struct(fx.similarity(own, x).alias("s"), x.alias("x")))
-    best = F.aggregate(scored, F.struct(F.lit(-1.0).alias("s"), F.lit("").alias("x")), lambda a, b: F.when(b["s"] > a["s"], b).otherwise(a))
-    return df.join(F.broadcast(known)).withColumn("__best", best).withColumn(out, F.when(F.col("__best.s") >= least, F.col("__best.x")).otherwise(own)).drop("__best", "__names")
-
-
 def port_facts(function: Column) -> list[Column]:
     """What a place's function code says: digits 1, 4 and 6 stand for port, airport and terminal."""
     return [F.contains(function, F.lit(d)).alias(n) for d, n in (("1", "is_port"), ("4", "is_airport"), ("6", "is_terminal"))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text as fx
-from textmill.operators import evaluate, extract
+from textmill.operators import evaluate, extract, terms
 from textmill.plans.registry import query
 from textmill.sources.tables import table
 
@@ -49,6 +49,19 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.dictionary_hits(F.col("text"), DICTIONARY), ",").alias("terms"))
 
 
+@query("""
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark),
+h AS (SELECT doc_id, term FROM documents JOIN t ON contains(lower(coalesce(text, '')), term))
+SELECT doc_id, count(*) AS n_terms, md5(string_agg(term, ',' ORDER BY term)) AS terms_md5 FROM h GROUP BY doc_id""")
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark that occur in each document, anywhere in its text; documents without one have no row."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")
+    dictionary = [r.term for r in table(spark, sf_dir, "benchmark").select(words).distinct().collect()]
+    hits = terms.scan(table(spark, sf_dir, "documents"), dictionary, "text", "doc_id")
+    found = F.array_join(F.array_sort(F.collect_list("term")), ",")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.md5(found.cast("binary")).alias("terms_md5"))
+
+
 def rule_sql(base: str, key: str, pattern: str, group: int) -> str:
     p = pattern.replace("'", "''")
     return f"SELECT {key}, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(m, '{p}', {group}), lambda x: lower(trim(x))))), ',') AS found FROM ({base})"

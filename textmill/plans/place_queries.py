@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import text as fx
-from textmill.operators import places
+from textmill.operators import fuzzy, places
 from textmill.plans.registry import query
 from textmill.sources.tables import table
 
@@ -53,10 +53,24 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     turn = F.col("c_custkey") % 3
     wrong = F.when(turn == 0, F.replace("c_mktsegment", F.lit("E"), F.lit("A"))).when(turn == 1, F.concat("c_mktsegment", F.lit("S"))).otherwise("Customer")
-    made = places.best_name(customers.withColumn("name", wrong), "name", customers.select("c_mktsegment"), "c_mktsegment")
+    made = fuzzy.best_name(customers.withColumn("name", wrong), "name", customers.select("c_mktsegment"), "c_mktsegment")
     return made.select("c_custkey", "matched")
 
 
+DAMAGED = "CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'a', 'o') WHEN 1 THEN substr(p_name, 3) WHEN 2 THEN p_name || ' no. ' || p_size ELSE upper(p_name) END"
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, {DAMAGED} AS name FROM part), d AS (SELECT DISTINCT p_name AS known FROM part), u AS (SELECT DISTINCT name FROM w),
+s AS (SELECT name, known, 1 - levenshtein(name, known) / greatest(length(name), length(known))::DOUBLE AS s FROM u, d),
+b AS (SELECT name, s, known FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY s DESC, known) = 1)
+SELECT p_partkey, name, CASE WHEN s >= 0.8 THEN known ELSE name END AS matched FROM w JOIN b USING (name)""")
+def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with damage of four kinds, against the dictionary of all names of parts."""
+    parts = table(spark, sf_dir, "part")
+    return fuzzy.best_name(parts.select("p_partkey", F.expr(DAMAGED).alias("name")), "name", parts, "p_name").select("p_partkey", "name", "matched")
+
+
 POINTS = "p AS (SELECT n_nationkey AS k, n_nationkey * 37 % 160 - 80.0::DOUBLE AS lat, n_nationkey * 101 % 360 - 180.0::DOUBLE AS lon FROM nation)"
 KM = "2 * 6371 * asin(sqrt(least(1, power(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * power(sin(radians(y.lon - x.lon) / 2), 2))))"
 

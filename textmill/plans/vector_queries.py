@@ -69,9 +69,21 @@ SELECT same, count(*) AS pairs, round(avg(s), 6) AS mean, round(min(s), 6) AS le
 def pair_similarity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarities of the stated query set (ids divisible by 100) and all later vectors, by equality of labels."""
     vecs = table(spark, sf_dir, "embeddings")
-    x, y = (vecs.select(*[F.col(c).alias(f"{c}_{n}") for c in ("vec_id", "embedding", "label")]) for n in "xy")
-    pairs = x.where("vec_id_x % 100 = 0").join(y, F.col("vec_id_x") < F.col("vec_id_y")).select((F.col("label_x") == F.col("label_y")).alias("same"), fx.dot(F.col("embedding_x"), F.col("embedding_y")).alias("s"))
-    return pairs.groupBy("same").agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.min("s"), 6).alias("least"), F.round(F.max("s"), 6).alias("most"), F.round(F.avg(F.exp(-2 * (2 - 2 * F.col("s")))), 6).alias("uniformity"))
+    made = vectors.pair_statistics(vecs.where("vec_id % 100 = 0"), vecs, "vec_id", "embedding", "label")
+    return made.select("same", "pairs", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most", "uniformity")])
+
+
+APART = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
+
+
+@query(f"""
+WITH d AS (SELECT x.vec_id, x.label, y.label AS other, sum({APART}) AS total, count(*) FILTER (WHERE x.vec_id <> y.vec_id) AS n FROM embeddings x, embeddings y GROUP BY ALL),
+s AS (SELECT vec_id, label, max(total / nullif(n, 0)) FILTER (WHERE label = other) AS own, min(total / n) FILTER (WHERE label <> other) AS far FROM d GROUP BY ALL)
+SELECT label, count(*) AS n, round(avg(CASE WHEN own IS NULL THEN 0 ELSE (far - own) / greatest(own, far) END), 6) AS silhouette FROM s GROUP BY label""")
+def cluster_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette of the vectors of each label; the SQL compares all pairs."""
+    made = vectors.silhouettes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
 
 
 @query("""
