@@ -20,11 +20,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def exact_groups(df: DataFrame, text: str, key: str) -> DataFrame:
     """Each row's first key with the same text, and the size of that group; null texts are one group.
 
-    Only hashes meet: copies are counted before they are shuffled. The join back moves rows by hash; adaptive execution splits the partition of a text with very many copies.
+    Only hashes meet: copies are counted before they are shuffled, and groups of one take no part in the join back. Groups of more than POSTINGS copies, at most one for each
+    so many rows, are broadcast, so a text with very many copies never meets in one task; the others are joined by hash.
     """
     marked = df.withColumn("__h", F.coalesce(F.sha2(F.col(text), 256), F.lit("null")))
-    groups = marked.groupBy("__h").agg(F.min(key).alias("first_id"), F.count("*").alias("copies"))
-    return marked.join(groups, "__h").drop("__h")
+    groups = cut(marked.groupBy("__h").agg(F.min(key).alias("first_id"), F.count("*").alias("copies")).where("copies > 1"))
+    hot = groups.where(F.col("copies") > POSTINGS)
+    some = marked.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "__h", "left")
+    known = F.col("copies").isNotNull()
+    rest = some.where(~known).drop("first_id", "copies").join(groups.where(F.col("copies") <= POSTINGS), "__h", "left")
+    every = some.where(known).unionByName(rest)
+    return every.withColumns({"first_id": F.coalesce("first_id", F.col(key)), "copies": F.coalesce("copies", F.lit(1).cast("long"))}).drop("__h")
 
 
 def shingle_rows(df: DataFrame, text: str, key: str, size: int) -> DataFrame:
@@ -33,7 +39,60 @@ def shingle_rows(df: DataFrame, text: str, key: str, size: int) -> DataFrame:
     return made.select("id", F.size("__s").alias("n"), F.explode("__s").alias("shingle"))
 
 
-def near_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, threshold: float = 0.85) -> DataFrame:
+#: Texts of one shingle and length class that meet in one task; hot postings that are broadcast (rows of two columns).
+POSTINGS, MOST_HOT = 2048, 1_000_000
+
+
+def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, id, n, place) of each text's rarest (1 - threshold) * n + 1 shingles, without those of one text.
+
+    ``place`` counts from 1 in the order of rarity, then of hash. Shingles of one text come first in it, so they need not be sorted.
+    """
+    frequency = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    common = rows.join(frequency.where("df > 1"), "shingle")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("df", "shingle"))
+    alone = F.col("n") - F.count("*").over(W.partitionBy("id"))
+    placed = common.select("shingle", "id", "n", (alone + rank).cast("int").alias("place"))
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+
+
+def meetings(prefix: DataFrame, threshold: float, postings: int = POSTINGS) -> tuple[DataFrame, DataFrame]:
+    """Two sides whose rows meet by MEETING: (x, nx, px) and (y, ny, py, gy).
+
+    Texts meet by shingle and length class: lengths that differ by less than the threshold are in the same class or in neighbouring ones, so a text is filed in
+    its class, and sought there and in the one above. A shingle and class in which more than ``postings`` texts are sought is cut in blocks on both sides, by hash of the text; each pair of
+    blocks is a meeting of its own.
+    """
+    at = ["shingle", "grade"]
+    grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / min(threshold, 0.999))) + 1e-9).cast("int")
+    own = prefix.withColumn("grade", grade)
+    filed = own.select(*at, F.col("id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    both = F.explode(F.array(F.col("grade"), F.col("grade") + 1))
+    sought = own.select("shingle", both.alias("grade"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("grade").alias("gy"))
+    sizes = sought.groupBy(*at).agg(F.count("*").alias("c")).where(F.col("c") > postings)
+    hot = cut(sizes.select(*at, F.ceil(F.col("c") / postings).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
+    blocks = F.coalesce("blocks", F.lit(1))
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = filed.join(hot, at, "left").withColumn("block", F.pmod(F.xxhash64("x"), blocks).cast("int")).withColumn("part", every)
+    right = sought.join(hot, at, "left").withColumn("part", F.pmod(F.xxhash64("y"), blocks).cast("int")).withColumn("block", every)
+    return left.drop("blocks"), right.drop("blocks")
+
+
+MEETING = ["shingle", "grade", "block", "part"]
+
+
+def candidate_pairs(prefix: DataFrame, threshold: float, postings: int = POSTINGS) -> DataFrame:
+    """(a, b), a < b: texts that share a prefix shingle, whose lengths and places in the order still allow the threshold."""
+    left, right = meetings(prefix, threshold, postings)
+    # in one class a pair would meet twice; the one that is filed has the smaller id there
+    once = (F.col("gy") < F.col("grade")) | (F.col("x") < F.col("y"))
+    shared = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    close = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")) & (shared * (1 + threshold) >= threshold * (F.col("nx") + F.col("ny")) - 1e-6)
+    return left.join(right, MEETING).where(close & once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, threshold: float = 0.85, postings: int = POSTINGS) -> DataFrame:
     """Pairs a < b with Jaccard similarity of at least ``threshold``, exactly.
 
     Texts of one set of shingles are one row until the end. Shingles are ordered by rarity, and a pair at the threshold
@@ -45,14 +104,7 @@ def near_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", size: int
     profile = profile.withColumn("h", F.sha2(F.array_join(F.col("set").cast("array<string>"), ","), 256))
     profile = cut(profile)
     classes = profile.groupBy("h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("set").alias("set"))
-    own = rows.join(classes.select("id"), "id", "left_semi")
-    frequency = own.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = own.join(frequency, "shingle")
-    prefix = ranked.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "shingle"))).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    x = prefix.where("df > 1").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"))
-    y = prefix.where("df > 1").select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    candidates = x.join(y, "shingle").where(close).select("a", "b").distinct()
+    candidates = candidate_pairs(prefixes(rows.join(classes.select("id"), "id", "left_semi"), threshold), threshold, postings)
     left = candidates.join(classes.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = left.join(classes.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
