@@ -44,6 +44,16 @@ def ngrams(items: Column, n: int, joiner: str = " ") -> Column:
     return let(items, made)
 
 
+def chunks(items: Column, size: int) -> Column:
+    """Consecutive slices of ``size`` items, the last one shorter; none of an empty array."""
+
+    def made(a: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int"))
+        return F.when(F.size(a) > 0, F.transform(starts, lambda i: F.slice(a, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(items, made)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom, 0 where bottom is 0."""
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from textmill.functions import text as fx
 from textmill.operators.rollup import running_totals
@@ -88,3 +89,27 @@ def threshold_sweep(df: DataFrame, score: str, label: str) -> DataFrame:
         F.col("t").alias("threshold"), fx.ratio(F.col("right"), F.col("all")).alias("accuracy"),
         fx.ratio(F.col("tp"), positives).alias("tpr"), fx.ratio(negatives - false, negatives).alias("tnr"),
     )
+
+
+STRATEGIES = ("cycling", "random", "all", "combined")
+
+
+def rounds(steps: DataFrame, step: str, datasets: DataFrame, name: str, types: str, strategy: str, skipped: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """(step, dataset, examples, types): which data sets each step evaluates, with their examples and sorted entity types.
+
+    ``datasets`` has a row an example, with the data set's name and an array of types. cycling takes the data sets in turn, in the order of their names; random draws one by hash of
+    the step; all takes each of them; combined is one set of all but those ``skipped``, with the union of their types. Steps count from 0.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown evaluation strategy: {strategy}")
+    wanted = datasets.where(~F.col(name).isin(*skipped)).withColumn(name, F.lit("combined")) if strategy == "combined" else datasets
+    kinds = wanted.select(name, F.explode_outer(types).alias("t")).groupBy(name).agg(F.array_sort(F.collect_set("t")).alias("types"))
+    sets = wanted.groupBy(name).agg(F.count("*").alias("examples")).join(kinds, name).withColumnRenamed(name, "dataset")
+    if strategy in ("all", "combined"):
+        return steps.select(F.col(step).alias("step")).crossJoin(F.broadcast(sets))
+    # a row a data set; steps look theirs up by place
+    placed = sets.withColumn("place", F.row_number().over(W.orderBy("dataset")) - 1)
+    n = placed.count()
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(step), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    place = F.pmod(F.col(step) if strategy == "cycling" else draw, F.lit(max(n, 1))).cast("int")
+    return steps.select(F.col(step).alias("step"), place.alias("place")).join(F.broadcast(placed), "place").drop("place")

@@ -54,6 +54,14 @@ def dataset_parts(name: Column) -> list[Column]:
     return [kind.alias("kind"), model.alias("model")]
 
 
+def complete(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows in which none of the labels is null, empty or blank."""
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & (F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))) != "")
+    return df.where(ok)
+
+
 def split_last(name: Column) -> list[Column]:
     """What stands before the last underscore, and after it."""
     pattern = r"^(.*)_([^_]*)$"

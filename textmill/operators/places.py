@@ -13,6 +13,17 @@ MOST_PLACES = 20_000
 BASE_RATE = 30.0
 
 
+#: Country codes of each region.
+REGIONS = {
+    "EU": tuple("AD AL AT BA BE BG BY CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LT LU LV MC MD ME MK MT NL NO PL PT RO RS RU SE SI SK SM UA VA".split()),
+    "AS": tuple("AE AF AM AZ BD BH BN BT CN GE HK ID IL IN IQ IR JO JP KG KH KP KR KW KZ LA LB LK MM MN MO MV MY NP OM PH PK PS QA SA SG SY TH TJ TL TM TR TW UZ VN YE".split()),
+    "NA": tuple("AG AI AW BB BL BM BQ BS BZ CA CR CU CW DM DO GD GL GP GT HN HT JM KN KY LC MF MQ MS MX NI PA PM PR SV SX TC TT US VC VG VI".split()),
+    "SA": tuple("AR BO BR CL CO EC FK GF GY PE PY SR UY VE".split()),
+    "AF": tuple("AO BF BI BJ BW CD CF CG CI CM CV DJ DZ EG EH ER ET GA GH GM GN GQ GW KE KM LR LS LY MA MG ML MR MU MW MZ NA NE NG RE RW SC SD SL SN SO SS ST SZ TD TG TN TZ UG YT ZA ZM ZW".split()),
+    "OC": tuple("AS AU CC CK CX FJ FM GU KI MH MP NC NF NR NU NZ PF PG PN PW SB TK TO TV UM VU WF WS".split()),
+}
+
+
 def checked(df: DataFrame, most: int) -> DataFrame:
     n = df.count()
     if n > most:
@@ -56,10 +67,10 @@ def parity_deltas(quotes: DataFrame, group: str, is_base: Column, value: str) ->
     return quotes.join(base, group).withColumn("quote", F.when(is_base, whole).otherwise(whole - F.col("__base"))).drop("__base")
 
 
-def region(code: Column, regions: dict[str, tuple[str, ...]], other: str = "OT") -> Column:
-    """The region whose codes hold the code."""
+def region(code: Column, regions: dict[str, tuple[str, ...]] = REGIONS, other: str = "OT") -> Column:
+    """The region whose codes hold the code, the first of them if several do."""
     out = F.lit(other)
-    for name, codes in regions.items():
+    for name, codes in reversed(regions.items()):
         out = F.when(code.isin(*codes), name).otherwise(out)
     return out
 

@@ -76,6 +76,12 @@ def bucket_split(key: Column, test_percent: int, buckets: int = 100) -> Column:
     return F.when(F.pmod(key, F.lit(buckets)) < test_percent, "test").otherwise("train")
 
 
+def positional_split(df: DataFrame, order: list[Column], train: float = 0.95) -> DataFrame:
+    """df with ``split``: train for the int(train * n) first rows of an order that tells all rows apart, test for the rest; found by ranges of the order."""
+    n = df.count()
+    return overall_rank(df, order, "__place").withColumn("split", F.when(F.col("__place") <= int(train * n), "train").otherwise("test")).drop("__place")
+
+
 def per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows of each group, those first by ``draw``. Each group keeps its n first within tasks before rows meet."""
     order = W.partitionBy(group).orderBy(draw(key, seed), key)

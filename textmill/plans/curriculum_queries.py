@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.operators import sampling
+from textmill.operators import evaluate, sampling
+from textmill.operators.rollup import overall_rank, running_totals
 from textmill.plans.registry import query
-from textmill.sources.tables import hash_sample, table
+from textmill.sources.tables import hash_sample, table, union_all
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,25 +83,51 @@ def rank_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.rank_normalised(documents(spark, sf_dir), "n_chars", "doc_id").select("doc_id", F.round("normalised", 9).alias("normalised"))
 
 
-@query("""WITH s AS (SELECT range AS step, range / 100.0 AS x FROM range(0, 151)), k AS (SELECT unnest(['linear', 'cosine', 'exponential']) AS kind)
-SELECT kind, step, round(CASE WHEN step >= 100 THEN 0.9 ELSE greatest(least(CASE kind WHEN 'linear' THEN 0.3 + 0.6 * x WHEN 'cosine' THEN 0.3 + 0.6 * (1 - cos(x * pi())) / 2 ELSE 0.3 * pow(3, x) END, 0.9), 0.3) END, 9) AS threshold FROM s, k""")
+@query("""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS step FROM documents), x AS (SELECT *, step / 100.0 AS x FROM s), k AS (SELECT unnest(['linear', 'cosine', 'exponential']) AS kind)
+SELECT kind, doc_id, step, round(CASE WHEN step >= 100 THEN 0.9 ELSE greatest(least(CASE kind WHEN 'linear' THEN 0.3 + 0.6 * x WHEN 'cosine' THEN 0.3 + 0.6 * (1 - cos(x * pi())) / 2 ELSE 0.3 * pow(3, x) END, 0.9), 0.3) END, 9) AS threshold FROM x, k""")
 def threshold_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = spark.range(151).withColumnRenamed("id", "step")
+    """The threshold that holds when each document is reached, one document a step."""
+    steps = overall_rank(documents(spark, sf_dir).select("doc_id"), [F.col("doc_id")], "step").withColumn("step", F.col("step") - 1)
     kinds = ("linear", "cosine", "exponential")
     every = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(sampling.schedule(F.col("step"), 100, 0.3, 0.9, k), 9).alias("threshold")) for k in kinds])
-    return steps.select("step", F.inline(every)).select("kind", "step", "threshold")
+    return steps.select("doc_id", "step", F.inline(every)).select("kind", "doc_id", "step", "threshold")
 
 
-@query("""WITH s AS (SELECT range AS seen, floor((0.4 + 0.6 * least(range / 1000.0 / 0.5, 1)) * 2000)::BIGINT AS size FROM range(0, 1001, 10)), l AS (SELECT *, lag(size) OVER (ORDER BY seen) AS before FROM s)
-SELECT seen, size FROM l WHERE before IS NOT NULL AND size - before > 20""")
+@query("""WITH r AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id) AS seen, sum(n_chars) OVER () AS total, count(*) OVER () AS n FROM documents),
+s AS (SELECT doc_id, seen, floor((0.4 + 0.6 * least(seen / total::DOUBLE / 0.5, 1)) * n)::BIGINT AS size, floor((0.4 + 0.6 * least((seen - n_chars) / total::DOUBLE / 0.5, 1)) * n)::BIGINT AS before FROM r)
+SELECT doc_id, seen::BIGINT AS seen, size FROM s WHERE size > before""")
 def curriculum_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps at which the active part of a curriculum of 2000 examples grows by more than 20, over a short range of steps."""
-    from pyspark.sql import Window as W
-
-    share = 0.4 + 0.6 * F.least(F.col("id") / 1000 / 0.5, F.lit(1.0))
-    steps = spark.range(0, 1001, 10).select(F.col("id").alias("seen"), F.floor(share * 2000).alias("size"))
-    grown = steps.withColumn("before", F.lag("size").over(W.orderBy("seen")))
-    return grown.where("size - before > 20").select("seen", "size")
+    """Documents after which the active part of the curriculum grows: from 0.4 of the documents to all, over the first half of the characters."""
+    docs = documents(spark, sf_dir).select("doc_id", "n_chars")
+    totals = docs.agg(F.sum("n_chars").alias("total"), F.count("*").alias("n"))
+    placed = running_totals(docs, [F.col("doc_id")], ["n_chars"]).join(F.broadcast(totals))
+    size = lambda seen: F.floor((0.4 + 0.6 * F.least(seen / F.col("total") / 0.5, F.lit(1.0))) * F.col("n"))
+    seen = F.col("run_n_chars")
+    return placed.select("doc_id", seen.alias("seen"), size(seen).alias("size"), size(seen - F.col("n_chars")).alias("before")).where("size > before").drop("before")
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () * 0.95) THEN 'train' ELSE 'test' END AS split FROM documents")
+def positional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 95 of 100 documents train, the last five test."""
+    return sampling.positional_split(documents(spark, sf_dir).select("doc_id"), [F.col("doc_id")])
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS step FROM customer), d AS (SELECT source, count(*) AS examples, list_sort(list(DISTINCT lang)) AS types FROM documents GROUP BY 1),
+p AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS place, count(*) OVER () AS n FROM d), c AS (SELECT 'combined' AS source, count(*) AS examples, list_sort(list(DISTINCT lang)) AS types FROM documents WHERE source <> 'forum'),
+r AS (SELECT 'cycling' AS strategy, step, source, examples, types FROM s JOIN p ON step % n = place
+ UNION ALL SELECT 'random', step, source, examples, types FROM s JOIN p ON ('0x' || substr(md5(step || ':42'), 1, 8))::BIGINT % n = place
+ UNION ALL SELECT 'all', step, source, examples, types FROM s, d WHERE step <= 20 UNION ALL SELECT 'combined', step, source, examples, types FROM s, c WHERE step <= 20)
+SELECT strategy, step, source AS dataset, examples, array_to_string(types, ',') AS types FROM r""")
+def evaluation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is evaluated at each step: steps are customers, data sets are sources, entity types are their languages. Two strategies go over all steps, two over the first twenty."""
+    steps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("step"))
+    sets = documents(spark, sf_dir).select("source", F.array("lang").alias("types"))
+    frames = [
+        evaluate.rounds(steps if k in ("cycling", "random") else steps.where("step <= 20"), "step", sets, "source", "types", k, ("forum",)).withColumn("strategy", F.lit(k))
+        for k in evaluate.STRATEGIES
+    ]
+    return union_all(frames).select("strategy", "step", "dataset", "examples", F.array_join("types", ",").alias("types"))
 
 
 @query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {DRAW}, doc_id) <= 3")

@@ -163,3 +163,17 @@ def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(head, F.when(k % 4 == 0, many).otherwise(plain))
     made = table(spark, sf_dir, "customer").select("c_custkey", parse_mail(raw).alias("m"))
     return made.select("c_custkey", F.col("m.sender").alias("sender"), F.col("m.subject").alias("subject"), F.col("m.body").alias("body"))
+
+
+THREE = {
+    "vessel": "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '' WHEN 2 THEN '  ' ELSE p_name END",
+    "load_port": "CASE p_partkey % 5 WHEN 0 THEN NULL ELSE p_brand END",
+    "discharge_port": "CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END",
+}
+
+
+@query(f"WITH l AS (SELECT p_partkey, {', '.join(f'{x} AS {n}' for n, x in THREE.items())} FROM part) SELECT * FROM l WHERE " + " AND ".join(f"trim(coalesce({n}, '')) <> ''" for n in THREE))
+def complete_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that have all three labels."""
+    made = table(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(n) for n, x in THREE.items()])
+    return labels.complete(made, list(THREE))

@@ -158,3 +158,13 @@ def place_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = F.when(turn == 1, F.concat(F.lit("['-', '"), "p_brand", F.lit("']"))).when(turn == 2, F.concat(F.lit("['"), "p_name", F.lit("', '', 'x y']")))
     made = places.place_queries(F.concat(F.upper("p_name"), F.lit(" ANCH")), F.col("p_type"), others)
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(made, " | ").alias("lookups"))
+
+
+CODE = "chr(CAST(65 + c_custkey % 26 AS INT)) || chr(CAST(65 + floor(c_custkey / 26) % 26 AS INT))"
+
+
+@query(f"WITH c AS (SELECT c_custkey, {CODE} AS code FROM customer) SELECT c_custkey, code, CASE " + " ".join(f"WHEN code IN ({', '.join(map(repr, codes))}) THEN '{name}'" for name, codes in places.REGIONS.items()) + " ELSE 'OT' END AS region FROM c")
+def country_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a two-letter code made from their key, and the region of that country."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.expr(CODE).alias("code"))
+    return made.withColumn("region", places.region(F.col("code")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import rollup
 from textmill.plans.registry import query
-from textmill.sources.tables import table
+from textmill.sources.tables import by_file, table, union_all
 
 SETS = "SELECT event_type, user_id, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())"
 
@@ -81,3 +81,14 @@ def haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("n_nationkey")
     km = rollup.haversine(key * 37 % 160 - 80.0, key * 101 % 360 - 180.0, F.lit(51.5), F.lit(-0.1))
     return table(spark, sf_dir, "nation").select(key.alias("k"), F.round(km, 4).alias("km"))
+
+AMOUNTS = {"customer": "c_acctbal", "supplier": "s_acctbal", "orders": "o_totalprice"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS n, round(avg({c}::DOUBLE), 4) AS amount_avg, round(stddev_samp({c}::DOUBLE), 4) AS amount_std FROM {t}" for t, c in AMOUNTS.items()))
+def file_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the amounts in each of three files, read as one."""
+    name = F.regexp_extract("_metadata.file_path", r"([^/]*\.parquet)(?:/[^/]*)?$", 1)
+    frames = [table(spark, sf_dir, t).select(F.col(c).cast("double").alias("amount"), name.alias("file")) for t, c in AMOUNTS.items()]
+    made = by_file(union_all(frames), ["amount"])
+    return made.select("file", "n", F.round("amount_avg", 4).alias("amount_avg"), F.round("amount_std", 4).alias("amount_std"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.operators.lineage import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,6 +47,42 @@ def write_any(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         raise ValueError(f"no writer for .{suffix}")
 
 
+def read_files(spark: SparkSession, paths: list[str], schema: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad): the rows of many JSON, JSON-lines or CSV files with the ``file`` they come from, and the files that could not be read, or not whole.
+
+    A file that is malformed does not end the job: rows that parse stay, and ``bad`` tells (file, reason, records) of files with rows that do not, and of files without any row. Paths
+    may be patterns; files of any of the three suffixes may lie among them, others are left out. ValueError if fewer than ``least`` files can be read.
+    """
+    kinds = {"json": ("json", {"multiLine": True}), "jsonl": ("json", {}), "csv": ("csv", {"header": True, "multiLine": True, "escape": '"', "enforceSchema": True})}
+    listed = spark.read.text(paths).inputFiles()
+    parts = []
+    for suffix, (kind, options) in kinds.items():
+        own = [unquote(x) for x in listed if x.lower().endswith(f".{suffix}")]
+        if own:
+            made = spark.read.schema(f"{schema}, __bad string").options(columnNameOfCorruptRecord="__bad", **options).format(kind).load(own)
+            parts.append(made.withColumn("file", F.col("_metadata.file_path")))
+    if not parts:
+        raise ValueError("no file to read")
+    every = cut(union_all(parts))
+    rows = every.where("__bad is null").drop("__bad")
+    malformed = every.where("__bad is not null").groupBy("file").agg(F.lit("malformed").alias("reason"), F.count("*").alias("records"))
+    names = spark.createDataFrame([(x,) for x in listed if x.lower().rpartition(".")[2] in kinds], "path string")
+    # both listings name a file by its last part and its folder; schemes differ between them
+    tail = lambda c: F.regexp_extract(F.try_url_decode(c), r"([^/]*/[^/]*)$", 1)
+    seen = every.select(tail(F.col("file")).alias("tail")).distinct()
+    empty = names.withColumn("tail", tail(F.col("path"))).join(seen, "tail", "left_anti").select(F.col("path").alias("file"), F.lit("empty").alias("reason"), F.lit(0).cast("long").alias("records"))
+    bad = malformed.unionByName(empty)
+    if rows.select("file").distinct().count() < least:
+        raise ValueError(f"fewer than {least} files can be read")
+    return rows, bad
+
+
+def by_file(rows: DataFrame, values: list[str], file: str = "file") -> DataFrame:
+    """(file, n, <value>_avg, <value>_std): a row a file, with the sample standard deviation."""
+    stats = [f(v).alias(f"{v}_{n}") for v in values for n, f in (("avg", F.avg), ("std", F.stddev_samp))]
+    return rows.groupBy(file).agg(F.count("*").alias("n"), *stats)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name; columns that a frame lacks are null."""
     out = frames[0]
