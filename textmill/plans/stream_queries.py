@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators.lineage import new_folder
 from textmill.plans.registry import query
 from textmill.sources.tables import table
-from textmill.streaming import append
+from textmill.streaming import append, ledger
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +44,17 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's kinds of events, once."""
     return finished(spark, append.first_of_each(event_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"]), "first")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, event_type, event_id, min(ts) OVER (PARTITION BY user_id) + INTERVAL 2 DAY AS deadline FROM events),
+j AS (SELECT user_id, min(ts) AS begun, any_value(deadline) AS deadline, max(ts) AS latest, min(ts) FILTER (WHERE event_type = 'purchase' AND ts <= deadline) AS done FROM e GROUP BY 1),
+o AS (SELECT j.*, (SELECT min(event_id) FROM e WHERE e.user_id = j.user_id AND e.ts = j.done AND e.event_type = 'purchase') AS output, (SELECT max(ts) FROM events) AS now FROM j)
+SELECT user_id::VARCHAR AS job, 'active' AS state, begun AS at, NULL AS output FROM o
+UNION ALL SELECT user_id::VARCHAR, 'finished', done, output::VARCHAR FROM o WHERE done IS NOT NULL
+UNION ALL SELECT user_id::VARCHAR, 'timed out', deadline, NULL FROM o WHERE done IS NULL AND (latest > deadline OR now - INTERVAL 1 HOUR >= deadline)""")
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs that a purchase within two days of the first event finishes."""
+    done = F.col("event_type") == "purchase"
+    stream = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("job"), F.col("ts").alias("at"), done.alias("done"), F.when(done, F.col("event_id").cast("string")).alias("output"))
+    return finished(spark, ledger.changes(stream, timedelta(days=2)), "ledger").withColumn("at", F.col("at").cast("timestamp_ntz"))
