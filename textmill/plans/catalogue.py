@@ -11,6 +11,7 @@ from textmill.plans import (  # noqa: F401
     quality_queries,
     rollup_queries,
     score_queries,
+    source_queries,
     stream_queries,
     text_queries,
     vector_queries,
