@@ -8,7 +8,8 @@ in their header; they count as bytes between frames.
 
 Defined results: null and empty texts are one frame of spaces; a null stream, or one without frames, has no frames, a
 duration of 0 and an empty payload; bytes between frames are skipped and counted; a last frame that is cut off is
-not a frame; "TAG" at 128 bytes from the end is an ID3v1 tag unless it lies inside a frame that the end or another header follows.
+not a frame; any bytes at all are a stream: a table that reaches beyond its frame is read as far as the frame goes, or not at all if its head
+does not fit; an empty table of rows gives no rows; columns to keep whose names clash with those of the result give way; "TAG" at 128 bytes from the end is an ID3v1 tag unless it lies inside a frame that the end or another header follows.
 """
 
 from __future__ import annotations
@@ -185,22 +186,24 @@ class Stream:
         if layer != 3:
             return None
         x = at + 4 + (0 if head >> 16 & 1 else 2) + side
+        end = min(at + size, len(data))
         for x in (x, at + 4 + side):
-            if data[x : x + 4] in (b"Xing", b"Info"):
+            if data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= end:
                 flags, p = struct.unpack_from(">I", data, x + 4)[0], x + 8
                 out: dict = {"kind": data[x : x + 4].decode(), "frames": None, "bytes": None, "toc": None}
                 for bit, name in ((1, "frames"), (2, "bytes")):
-                    if flags & bit and p + 4 <= at + size:
+                    if flags & bit and p + 4 <= end:
                         out[name], p = struct.unpack_from(">I", data, p)[0], p + 4
-                if flags & 4 and p + 100 <= at + size:
+                if flags & 4 and p + 100 <= end:
                     out["toc"] = list(data[p : p + 100])
                 return out
         x = at + 4 + 32
-        if data[x : x + 4] == b"VBRI" and x + 26 <= at + size:
+        if data[x : x + 4] == b"VBRI" and x + 26 <= end:
             total, frames = struct.unpack_from(">II", data, x + 10)
             entries, scale, width, _ = struct.unpack_from(">HHHH", data, x + 18)
-            body = data[x + 26 : min(x + 26 + entries * width, at + size)]
-            toc = [int.from_bytes(body[i : i + width]) * scale for i in range(0, len(body) // max(1, width) * width, width)] if width else []
+            body = data[x + 26 : min(x + 26 + entries * width, end)]
+            # entries have one to four bytes; a table of others can't be read
+            toc = [int.from_bytes(body[i : i + width]) * scale for i in range(0, len(body) // width * width, width)] if 1 <= width <= 4 else []
             return {"kind": "VBRI", "frames": frames, "bytes": total, "toc": toc}
         return None
 
@@ -226,7 +229,7 @@ class Stream:
 MEDIA = "n_bytes long, media binary"
 STREAM = (
     "payload binary, n_frames long, n_samples long, sample_rate int, duration_us long, duration_num long, duration_den long, crc_ok long, crc_bad long, skipped_bytes long, "
-    "table_kind string, table_frames long, table_toc array<int>, tags map<string,string>, seek_offsets array<long>"
+    "table_kind string, table_frames long, table_toc array<long>, tags map<string,string>, seek_offsets array<long>"
 )
 
 
@@ -278,7 +281,7 @@ def read_mpeg(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc
                 pa.array([s.skipped for s in streams], pa.int64()),
                 pa.array([t.get("kind") for t in table], pa.string()),
                 pa.array([t.get("frames") for t in table], pa.int64()),
-                pa.array([t.get("toc") for t in table], pa.list_(pa.int32())),
+                pa.array([t.get("toc") for t in table], pa.list_(pa.int64())),
                 pa.array([list(s.tags.items()) for s in streams], pa.map_(pa.string(), pa.string())),
                 pa.array([s.offsets[s.first :: seek_every] for s in streams], pa.list_(pa.int64())),
             ]
