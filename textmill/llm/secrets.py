@@ -1,9 +1,10 @@
 """Secret scans: base patterns and a linear-chain conditional random field over tokens.
 
-Tokens are runs of letters, digits, ``_ - + /`` and single other characters. Their features are shape, the token, its
-neighbours, and coarse figures of the whole file. The field has the labels outside, begin and inside; it is trained here by
+Tokens are runs of letters, digits, ``_ - + /`` and single other characters. Their features are shape, the token and its
+neighbours (long ones count by shape alone, so that no secret is learnt by heart), whether they touch, how near a word that speaks of secrets stands before, and coarse figures of the whole file. The field has the labels outside, begin and inside; it is trained here by
 gradient steps on the exact likelihood over windows of a bounded sample of texts (SAMPLE, SAMPLE_CHARS; of a text the windows of its first three
-base spans and two others), labelled by the base patterns, and of invented secrets of other formats, some of letters only. Decoding is exact Viterbi over whole texts: a block of texts is cut into rows that run side
+base spans and two others), labelled by the base patterns, and of invented secrets: of some formats, and of forms that are drawn, prefix, parts and lead words alike, so
+that it carries over to formats that it has not seen. Decoding is exact Viterbi over whole texts: a block of texts is cut into rows that run side
 by side from each possible label, and the rows are joined by their label-to-label scores.
 
 Spans ``crf`` of the field, which mark the secret itself, stand beside the base spans, which are always there. An exact check
@@ -41,6 +42,9 @@ ROW = 128
 SAMPLE = 600
 SAMPLE_CHARS = 1 << 15
 WINDOW = 48
+#: Longer tokens count by their shape alone; a word that holds one of the stems speaks of secrets up to NEAR tokens on.
+KNOWN, NEAR = 12, 4
+STEMS = re.compile("pass|pwd|secret|token|key|auth|cred|login|bearer|basic|code|api|pin")
 #: Spans of the field have so many characters at least; those without a digit so many.
 LEAST = 8
 LEAST_LETTERS = 10
@@ -62,7 +66,8 @@ class Tokens:
     """Tokens of a block of texts joined end to end: start, end, text number, and the feature numbers of each."""
 
     def __init__(self, texts: list[str]) -> None:
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         kind = CLASS[np.minimum(codes, 1023)]
         body = (kind >= 1) & (kind <= 4)
@@ -100,15 +105,31 @@ class Tokens:
         value = np.where(used, (lowered * (nth * np.uint32(0x85EBCA6B) + np.uint32(1))), 0).astype(np.uint32)
         word = np.add.reduceat(value, self.start).astype(np.uint32)
         word = ((word ^ (word >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(19)).astype(np.int64) % WORD_BUCKETS
+        word = np.where(size > KNOWN, 0, word)
         docs = len(texts)
         tokens = np.bincount(self.doc, minlength=docs)
         per = np.maximum(tokens, 1)
         share = lambda flag: np.minimum((np.bincount(self.doc, flag, docs) * 8 / per).astype(int), 3)
         file = share(digit > 0) * 8 + share(kind[self.start] == 5) * 2 + (tokens > 200)
         bias = file[self.doc] * 16 + log
-        self.parts = [(shape, 0), (word, 0), (word, 1), (word, 2), (word, -1), (shape, 1), (shape, -1), (bias, 0)]
-
-    WIDTHS = (SHAPES, WORD_BUCKETS, WORD_BUCKETS, WORD_BUCKETS, WORD_BUCKETS, SHAPES, SHAPES, 512)
+        # tokens since a word that speaks of secrets, 0 beyond NEAR; which sides touch a neighbour
+        speaks = np.zeros(n, bool)
+        lower_text = "".join(c if len(c) == 1 else c[0] for c in map(str.lower, joined)) if not joined.isascii() else joined.lower()
+        at = np.array([m.start() for m in STEMS.finditer(lower_text)], np.int64)
+        speaks[np.searchsorted(self.start, at, side="right") - 1] = True
+        speaks &= size <= KNOWN
+        latest = np.maximum.accumulate(np.where(speaks, np.arange(n), -NEAR - 1))
+        latest = np.concatenate([[-NEAR - 1], latest[:-1]])
+        since = np.arange(n) - latest
+        since = np.where((since <= NEAR) & (self.doc[np.maximum(latest, 0)] == self.doc), since, 0)
+        touch = np.zeros(n + 1, np.int64)
+        touch[1:-1] = (self.end[:-1] == self.start[1:]) & ~self.fresh[1:]
+        # a coarse shape, which other formats share: kinds of signs, size in four steps, whether kinds change often
+        form = flags * 8 + np.digitize(size, (8, 16, 32)) * 2 + (4 * turns > size)
+        near, glued = since * 128 + form, (touch[:-1] * 2 + touch[1:]) * 128 + form
+        self.parts = [(shape, 0), (word, 0), (word, 1), (word, 2), (word, -1), (shape, 1), (shape, -1), (bias, 0), (near, 0), (glued, 0)]
+
+    WIDTHS = (SHAPES, WORD_BUCKETS, WORD_BUCKETS, WORD_BUCKETS, WORD_BUCKETS, SHAPES, SHAPES, 512, (NEAR + 1) * 128, 4 * 128)
     FEATURES = sum(WIDTHS)
 
     def columns(self) -> list[np.ndarray]:
@@ -238,6 +259,52 @@ def invented(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
     return lead + key + after.format(**fill), [(len(lead), len(lead) + len(key))]
 
 
+LEADS = ("password", "passwd", "pwd", "secret", "token", "api key", "apikey", "key", "auth", "credential", "login", "bearer", "access token", "user password", "signing key", "db_password")
+LINKS = (": ", " = ", "=", " is ", " ", ' "', " => ", ":", " was ", " '")
+NAMES = ("request", "order", "session of", "page", "file", "build", "item", "trace", "user", "run", "batch", "document")
+
+
+def composed(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """A phrase whose form is drawn too, and the spans of its secrets; half of them have none."""
+    draw = lambda alphabet, a, b: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, b)))
+    both, lower, hexes = string.ascii_letters + string.digits, string.ascii_lowercase, "0123456789abcdef"
+    uuid = "-".join(draw(hexes, n, n) for n in (8, 4, 4, 4, 12))
+    word = lambda: draw(lower, 2, 9)
+    if rng.random() < 0.5:
+        camel = "".join(word().capitalize() for _ in range(rng.randint(2, 5)))
+        return rng.choice((
+            f"{rng.choice(NAMES)} {uuid}", f"{rng.choice(NAMES)} id {uuid}", f"the {rng.choice(LEADS)} is {word()} {word()}", f"{rng.choice(LEADS)} {word()}-{word()} and {word()}", f"{word()}{camel}({word()})",
+            f"{camel}.{word()}.{word()}", f"/{word()}/{word()}/{word()}-{draw(string.digits, 2, 6)}.{word()}", f"{word().upper()}-{draw(string.digits, 3, 8)}-{draw(string.ascii_uppercase, 1, 3)}",
+            f"{rng.choice(NAMES)} {draw(string.digits, 6, 20)}", f"{word()}-{word()}-{word()}-{word()}-{word()}", f"{rng.choice(LEADS)}: {word()}", f"code {draw(string.digits, 3, 6)}", f"{draw(string.digits, 1, 3)}.{draw(string.digits, 1, 3)}.{draw(string.digits, 1, 4)}",
+            f"{word()}_{word()}_{word()}_{word()}", f"{camel}{camel}", f"{word()}={draw(string.digits, 1, 9)}&{word()}={word()}",
+        )), []
+    lead = rng.choice(LEADS)
+    lead = rng.choice((lead, lead.upper(), lead.title(), f"{word()}_{lead}", f"the {lead} of {word()}", f"{lead} {word()}", f"{word()} {lead} {word()}")) + rng.choice(LINKS)
+    bare = rng.random() < 0.4
+    kind = rng.randrange(4 if bare else 7)
+    if kind == 0:
+        prefix = draw(rng.choice((lower, string.ascii_uppercase, string.ascii_letters)), 2, 6)
+        middle = rng.choice(("_", "-", "", f"_{word()}_", "-v1-", f"-{word()}-{word()}-"))
+        key = prefix + (middle.upper() if prefix.isupper() else middle) + draw(rng.choice((both, both, hexes, string.ascii_uppercase + string.digits)), 20, 70)
+    elif kind == 1:
+        key = ".".join([draw(both + "_-", rng.choice((4, 16)), 60) for _ in range(rng.randint(2, 3))])
+        key = rng.choice((key, draw(string.ascii_letters, 2, 4) + "." + draw(both, 20, 24) + "." + draw(both + "_-", 30, 44)))
+    elif kind == 2:
+        key = draw(both + "+/", 24, 90)
+    elif kind == 3:
+        key = draw(hexes, 32, 72)
+    elif kind == 4:
+        key = uuid
+    elif kind == 5:
+        key = draw(rng.choice((lower, string.ascii_letters)), 2, 6) + draw(string.digits, 2, 5) + draw(rng.choice((string.ascii_uppercase, lower, string.ascii_letters)), 0, 6)
+        key += draw(string.digits, 8 - len(key), 8 - len(key)) if len(key) < 8 else ""
+    else:
+        key = draw(string.ascii_letters, 2, 4) + draw(string.digits, 1, 3) + rng.choice("!@#$%^&*?") + draw(both, 3, 7)
+    lead = rng.choice(("", f"{word()} ", f"{word()} {word()} ", f"{word()}: ", f"{word()}=")) if bare else lead
+    after = rng.choice(("", "", " ", ".", ",", '"', "'", ";", "=", "==") if kind == 2 else ("", "", " ", ".", ",", '"', "'", ";"))
+    return f"{lead}{key}{after}", [(len(lead), len(lead) + len(key))]
+
+
 def examples(texts: list[str], windows: int, seed: int) -> tuple[list[str], list[list[tuple[int, int]]]]:
     """Pieces of texts with the values of base matches as spans, and with invented phrases put in."""
     rng = random.Random(seed)
@@ -254,13 +321,13 @@ def examples(texts: list[str], windows: int, seed: int) -> tuple[list[str], list
     plain = [p for p, s in zip(pieces, spans) if not s] or [""]
     for _ in range(windows):
         left, right = (" ".join(rng.choice(plain).split()[: rng.randint(0, 12)]) for _ in range(2))
-        text, inner = invented(rng)
+        text, inner = invented(rng) if rng.random() < 0.5 else composed(rng)
         pieces.append(f"{left} {text} {right}")
         spans.append([(a + len(left) + 1, b + len(left) + 1) for a, b in inner])
     return pieces, spans
 
 
-def train(texts: list[str], invented_windows: int = 4000, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Field:
+def train(texts: list[str], invented_windows: int = 9000, rounds: int = 12, rate: float = 0.1, seed: int = 5) -> Field:
     """Adagrad on the exact log-likelihood of windows of at most WINDOW tokens."""
     pieces, spans = examples(texts, invented_windows, seed)
     tokens = Tokens(pieces)
