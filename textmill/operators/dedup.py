@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from textmill.functions import grams
 from textmill.functions import text as fx
 from textmill.operators.lineage import cut
 
@@ -33,10 +39,23 @@ def exact_groups(df: DataFrame, text: str, key: str) -> DataFrame:
     return every.withColumns({"first_id": F.coalesce("first_id", F.col(key)), "copies": F.coalesce("copies", F.lit(1).cast("long"))}).drop("__h")
 
 
+def lowered_words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), F.lit(0)).alias("__words")
+
+
 def shingle_rows(df: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(key, shingle, n): distinct lower-cased word shingles and how many the text has."""
-    made = df.select(F.col(key).alias("id"), F.array_distinct(F.transform(fx.ngrams(F.transform(fx.words(text), F.lower), size), lambda g: F.xxhash64(g))).alias("__s"))
-    return made.select("id", F.size("__s").alias("n"), F.explode("__s").alias("shingle"))
+    """(id, n, shingle): distinct lower-cased word shingles, as hashes, and how many the text has."""
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("n", T.IntegerType()), T.StructField("shingle", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grams.blocks(batches, 1):
+            row, _, gram = grams.ngrams(*grams.hashed(block.column(1)), size)
+            r, g, _ = grams.distinct(row, gram)
+            if len(r):
+                n = np.bincount(r)[r].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(r)), pa.array(n), pa.array(g)], names=schema.fieldNames())
+
+    return df.select(F.col(key).alias("id"), lowered_words(text)).mapInArrow(run, schema)
 
 
 #: Texts of one shingle and length class that meet in one task; hot postings that are broadcast (rows of two columns).
@@ -130,11 +149,31 @@ def without_listed(df: DataFrame, column: str, listed: DataFrame, by: str) -> Da
     return wanted.join(listed.select(fx.lower_form(by).alias(column)).distinct(), column, "left_anti")
 
 
+#: Grams of a benchmark that are broadcast; those of a larger one are joined.
+MOST_GRAMS = 1 << 21
+
+
 def contaminated(df: DataFrame, bench: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", size: int = 8) -> DataFrame:
-    """(key, items, shared): documents that share word n-grams with benchmark items, and how many."""
-    mine = df.select(F.col(key).alias("doc"), F.explode(F.array_distinct(F.transform(fx.ngrams(F.transform(fx.words(text), F.lower), size), lambda g: F.xxhash64(g)))).alias("g"))
-    theirs = bench.select(item, F.explode(F.array_distinct(F.transform(fx.ngrams(F.transform(fx.words(text), F.lower), size), lambda g: F.xxhash64(g)))).alias("g"))
-    hits = mine.join(theirs, "g")
+    """(key, items, shared): documents that share word n-grams with benchmark items, and how many.
+
+    A document's n-grams are looked up where it is, among those of the benchmark, so only hits are shuffled. The n-grams of a benchmark too large for that meet all others by hash.
+    """
+    theirs = cut(shingle_rows(bench, text, item, size).select(F.col("id").alias(item), F.col("shingle").alias("g")))
+    few = theirs.count() <= MOST_GRAMS
+    known = df.sparkSession.sparkContext.broadcast(np.unique(theirs.select("g").toPandas()["g"].to_numpy(np.int64)) if few else None)
+    schema = T.StructType([T.StructField("doc", df.schema[key].dataType), T.StructField("g", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grams.blocks(batches, 1):
+            row, _, gram = grams.ngrams(*grams.hashed(block.column(1)), size)
+            if known.value is not None:
+                hit = np.isin(gram, known.value)
+                row, gram = row[hit], gram[hit]
+            r, g, _ = grams.distinct(row, gram)
+            if len(r):
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(r)), pa.array(g)], names=["doc", "g"])
+
+    hits = df.select(F.col(key), lowered_words(text)).mapInArrow(run, schema).join(theirs, "g")
     return hits.groupBy(F.col("doc").alias(key)).agg(F.count_distinct(item).alias("items"), F.count_distinct("g").alias("shared"))
 
 

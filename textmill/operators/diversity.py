@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from textmill.functions import grams
 from textmill.functions import text as fx
 
 
@@ -26,24 +30,39 @@ def ranked(df: DataFrame, by: list[str], key: str, width: int = 4096, name: str
     return joined.withColumn(name, F.col("__before") + F.col("__inner")).drop("__range", "__inner", "__before")
 
 
-def _numbered(n: Column, gram: Column) -> Column:
-    """Grams travel as 64-bit hashes."""
-    return F.struct(n.alias("n"), F.xxhash64(gram).alias("gram"))
-
-
 def corpus_ngrams(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, n, gram, count) for n of 1 to 3, grams as hashes, over the texts of a group joined in order of the key; n-grams may cross texts."""
-    parts = df.select(group, F.col(key).alias("__key"), fx.tokens(text).alias("__t")).where(F.size("__t") > 0)
-    parts = ranked(parts, [group], "__key", name="__r")
-    heads = parts.select(group, F.col("__r").alias("__hr"), F.slice("__t", 1, 2).alias("__head"))
-    near = parts.select(group, "__r", "__t").join(heads.select(group, (F.col("__hr") - 1).alias("__r"), F.col("__head").alias("__h1")), [group, "__r"], "left")
-    near = near.join(heads.select(group, (F.col("__hr") - 2).alias("__r"), F.col("__head").alias("__h2")), [group, "__r"], "left")
-    after = F.slice(F.concat(F.coalesce("__h1", F.array().cast("array<string>")), F.coalesce("__h2", F.array().cast("array<string>"))), 1, 2)
-    grams = []
-    for n in (1, 2, 3):
-        here = F.concat("__t", F.slice(after, 1, n - 1)) if n > 1 else F.col("__t")
-        grams.append(F.transform(fx.ngrams(here, n), partial(_numbered, F.lit(n))))
-    return near.select(group, F.inline(F.concat(*grams))).groupBy(group, "n", "gram").agg(F.count("*").alias("count"))
+    """(group, n, gram, count) for n of 1 to 3, grams as hashes, over the texts of a group joined in order of the key; n-grams may cross texts.
+
+    A text's last n-grams reach into the first two tokens of the texts that follow, so keys and first tokens alone are put in order. Counts are added up for each block of texts
+    before they are shuffled. Keys are unique.
+    """
+    parts = df.select(F.col(group).alias("__g"), F.col(key).alias("__key"), fx.tokens(text).alias("__t")).where(F.size("__t") > 0)
+    heads = ranked(parts.select("__g", "__key", F.slice("__t", 1, 2).alias("__head")), ["__g"], "__key", name="__r")
+    later = lambda n: heads.select("__g", (F.col("__r") - n).alias("__r"), F.col("__head").alias(f"__h{n}"))
+    # null groups are groups too
+    same = lambda x, n: x.join(later(n).withColumnsRenamed({"__g": "__og", "__r": "__or"}), F.col("__g").eqNullSafe(F.col("__og")) & (F.col("__r") == F.col("__or")), "left").drop("__og", "__or")
+    none = F.array().cast("array<string>")
+    after = F.slice(F.concat(F.coalesce("__h1", none), F.coalesce("__h2", none)), 1, 2)
+    follow = same(same(heads.select("__g", "__key", "__r"), 1), 2).select(F.col("__key").alias("__k2"), after.alias("__after"))
+    whole = parts.join(follow, F.col("__key") == F.col("__k2"), "left").withColumn("__after", F.coalesce("__after", none))
+    whole = whole.select("__g", F.concat("__t", "__after").alias("__t"), F.size("__after").alias("__extra"))
+    schema = T.StructType([T.StructField("__g", df.schema[group].dataType), *T._parse_datatype_string("n int, gram long, count long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grams.blocks(batches, 1):
+            rows, hashes = grams.hashed(block.column(1))
+            ends = np.cumsum(np.bincount(rows, minlength=block.num_rows))
+            extra = block.column(2).to_numpy()
+            names = block.column(0).dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy()
+            for n in (1, 2, 3):
+                row, place, gram = grams.ngrams(rows, hashes, n)
+                own = place < ends[row] - extra[row]  # it begins in the text itself
+                c, g, count = grams.distinct(code[row[own]], gram[own])
+                if len(c):
+                    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(c)), pa.array(np.full(len(c), n, np.int32)), pa.array(g), pa.array(count)], names=schema.fieldNames())
+
+    return whole.mapInArrow(run, schema).groupBy(F.col("__g").alias(group), "n", "gram").agg(F.sum("count").alias("count"))
 
 
 def distinct_ratios(df: DataFrame, group: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from textmill.functions import grams
 from textmill.functions import text as fx
 from textmill.operators.lineage import cut
 
@@ -17,28 +23,76 @@ QUANTITY = r"(?i)([0-9][0-9.,]*)\s*(?:mts?|tons?|kg|lbs)\s+(?:of\s+)?([a-z]{3,})
 CODES = ("FOB", "CIF", "CFR", "EXW", "FAS", "DAP", "DDP")
 
 
-def row_terms(text: str, longest: int) -> Column:
-    """All n-grams of up to ``longest`` terms of a row, repeated ones too."""
-    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
-    return fx.let(terms, lambda t: F.concat(*[fx.ngrams(t, n) for n in range(1, longest + 1)]))
+#: Grams that are broadcast to find their strings; more are joined.
+MOST_GRAMS = 1 << 21
+
+
+def row_grams(rows: np.ndarray, hashes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, gram, n) of all n-grams of up to ``longest`` tokens."""
+    parts = [(*grams.ngrams(rows, hashes, n), n) for n in range(1, longest + 1)]
+    return (*(np.concatenate([p[i] for p in parts]) for i in range(3)), np.concatenate([np.full(len(p[0]), p[3]) for p in parts]))
 
 
 def tfidf(df: DataFrame, text: str = "text", key: str = "doc_id", longest: int = 3, least_df: int = 2, most_df: float = 0.8, features: int = 5000) -> DataFrame:
     """(key, term, weight): smooth idf ln((1 + n) / (1 + df)) + 1, rows of length 1, over the ``features`` terms of the highest corpus count (then by name).
 
-    Keys tell rows apart. One pass counts terms and the rows that hold them, with partial sums in each task; then the chosen terms, ``features`` at most, are
-    broadcast, and only their counts move.
+    Keys tell rows apart. n-grams travel as hashes, added up for each block of rows before they are shuffled; strings are looked up for those that may be
+    chosen only. The chosen terms, ``features`` at most, are broadcast, and a row's weights are made where the row is, without a shuffle.
     """
-    grams = row_terms(text, longest)
-    once = fx.let(grams, lambda g: F.concat(F.transform(g, lambda x: F.struct(x.alias("term"), F.lit(0).alias("df"))), F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("term"), F.lit(1).alias("df")))))
-    total = df.agg(F.count("*").alias("docs"))
-    stats = df.select(F.inline(once)).groupBy("term").agg(F.sum("df").alias("df"), F.sum(1 - F.col("df")).alias("cf")).join(F.broadcast(total))
-    chosen = stats.where((F.col("df") >= least_df) & (F.col("df") <= most_df * F.col("docs"))).orderBy(F.desc("cf"), "term").limit(features)
-    idf = cut(chosen.select("term", (F.ln((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
-    raw = df.select(key, F.explode(grams).alias("term")).join(F.broadcast(idf), "term").groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
-    raw = cut(raw)
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)).alias("__terms")
+    docs = df.count()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grams.blocks(batches, 0):
+            row, _, gram, _ = row_grams(*grams.hashed(block.column(0)), longest)
+            _, g, n = grams.distinct(row, gram)
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+            if len(first):
+                yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(np.diff(np.append(first, len(g)))), pa.array(np.add.reduceat(n, first))], names=["gram", "df", "cf"])
+
+    stats = df.select(terms).mapInArrow(count, "gram long, df long, cf long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    known = cut(stats.where((F.col("df") >= least_df) & (F.col("df") <= most_df * docs)))
+    top = known.orderBy(F.desc("cf")).limit(features).agg(F.count("*").alias("n"), F.min("cf").alias("least")).first()
+    candidates = known.where(F.col("cf") >= (top["least"] if top["n"] == features else 0))
+    few = candidates.count() <= MOST_GRAMS
+    wanted = df.sparkSession.sparkContext.broadcast(np.sort(candidates.select("gram").toPandas()["gram"].to_numpy(np.int64)) if few else None)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grams.blocks(batches, 0):
+            _, place, gram, n = row_grams(*grams.hashed(block.column(0)), longest)
+            _, first = np.unique(gram, return_index=True)
+            if wanted.value is not None:
+                first = first[found(gram[first], wanted.value) >= 0]
+            words = block.column(0).flatten()
+            said = [" ".join(words.slice(p, k).to_pylist()) for p, k in zip(place[first].tolist(), n[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(said, pa.string())], names=["gram", "term"])
+
+    named = df.select(terms).mapInArrow(strings, "gram long, term string").groupBy("gram").agg(F.min("term").alias("term"))
+    chosen = candidates.join(named, "gram").orderBy(F.desc("cf"), "term").limit(features).toPandas().sort_values("gram")
+    idf = np.log((1 + docs) / (1 + chosen["df"].to_numpy(np.float64))) + 1
+    shared = df.sparkSession.sparkContext.broadcast((chosen["gram"].to_numpy(np.int64), idf, pa.array(chosen["term"].tolist(), pa.string())))
+    schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, share, names = shared.value
+        for block in grams.blocks(batches, 1):
+            row, _, gram, _ = row_grams(*grams.hashed(block.column(1)), longest)
+            at = found(gram, own)
+            r, g, n = grams.distinct(row[at >= 0], at[at >= 0])
+            if len(r):
+                w = n * share[g]
+                w /= np.sqrt(np.bincount(r, w * w))[r]
+                yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(r)), names.take(pa.array(g)), pa.array(w)], names=schema.fieldNames())
+
+    return df.select(F.col(key), terms).mapInArrow(weigh, schema)
+
+
+def found(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each value among sorted different ones, -1 if it is not there."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
 
 
 def top_terms(weights: DataFrame, key: str = "doc_id", k: int = 100, least: float = 0.1) -> DataFrame:

@@ -55,17 +55,29 @@ def rejection_reason(text: Column, limits: dict | None = None) -> Column:
 
 
 def segments(sentences: Column, budget: int = 800) -> Column:
-    """Sentences folded greedily into segments: a sentence that would pass the word budget starts a new one."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+    """Sentences folded greedily into segments: a sentence that would pass the word budget starts a new one.
 
-    def add(state: Column, s: Column) -> Column:
-        n = F.size(fx.words(s))
-        over = (state["n"] + n > budget) & (state["n"] > 0)
-        done = F.when(over, F.array_append(state["done"], state["open"])).otherwise(state["done"])
-        opened = F.when(over | (state["n"] == 0), s).otherwise(F.concat_ws(" ", state["open"], s))
-        return F.struct(done.alias("done"), opened.alias("open"), F.when(over, n).otherwise(state["n"] + n).alias("n"))
+    The fold goes over the numbers of words and notes where segments start; texts are joined once at the end.
+    """
+
+    def fold(ss: Column) -> Column:
+        sizes = F.transform(ss, lambda s: F.regexp_count(s, F.lit(r"\S+")))
+
+        def add(state: Column, size: Column) -> Column:
+            over = (state["n"] + size > budget) & (state["n"] > 0)
+            starts = F.when(over, F.array_append(state["starts"], state["i"])).otherwise(state["starts"])
+            return F.struct(starts.alias("starts"), (state["i"] + 1).alias("i"), F.when(over, size).otherwise(state["n"] + size).alias("n"))
 
-    return F.aggregate(sentences, empty, add, lambda s: F.when(s["n"] > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
+        begin = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("n"))
+        starts = F.aggregate(sizes, begin, add, lambda st: st["starts"])
+
+        def joined(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(ss)))
+            return F.zip_with(at, ends, lambda a, b: F.array_join(F.slice(ss, a + 1, b - a), " "))
+
+        return F.when(F.size(ss) > 0, fx.let(starts, joined)).otherwise(F.array().cast("array<string>"))
+
+    return fx.let(sentences, fold)
 
 
 def overlapping_chunks(sentences: Column, target: int = 400, most: int = 600, overlap: int = 2, least: int = 100) -> Column:
