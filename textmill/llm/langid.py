@@ -1,15 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training takes at most ``per_language`` texts of each language (by hash of the text, a documented bound) and counts their
-n-grams with Spark; the smoothed log-probability matrix (buckets x languages, of fixed size) goes to the workers as a
-broadcast variable. Scoring multiplies each block's sparse matrix of n-gram occurrences with it in numpy.
+n-grams with Spark; the smoothed log-probability matrix (buckets x languages) goes to the workers as a
+broadcast variable, in blocks of at most BLOCK languages, one pass a block. Scoring multiplies each block's sparse matrix of n-gram occurrences with it in numpy.
 
 A calibrated model also tells texts that are in none of its languages: the mean log-probability of their n-grams under the best
 language is more than ``MARGIN`` below the median of held-out texts of that language. In sf0.1 the held-out text
 labelled as good that lies lowest is 1.3 below; gibberish, shuffled letters and other languages lie 2.3 to 9 below.
 
-Defined results: a text that is null, has no letter or is told to be in no language is ``und`` with score 0; equal texts get equal answers; ties go
-to the first language by name; without training rows every text is ``und``; an empty table gives no rows.
+Defined results: a text that is null, has no letter or is told to be in no language is ``und`` with score 0; equal texts get equal answers, and whole texts count, however long; ties go
+to the first language by name; every label is a language, however many there are; without training rows every text is ``und``; an empty table gives no rows; columns to keep whose names
+clash with those of the result give way.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import map_text, text_blocks
+from textmill.llm.shared import cut_lineage, map_text, text_blocks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: A fit knows so many languages at most.
-MOST_LANGUAGES = 256
+#: Languages of a matrix that is broadcast (of 128 kB each).
+BLOCK = 256
 PER_LANGUAGE = 4000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -63,27 +64,24 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class NaiveBayes:
     """log_prob: float32 matrix, a row a bucket, a column a language. least: the mean log-probability that a text of each language has."""
 
-    def __init__(self, languages: list[str], log_prob: np.ndarray, prior: np.ndarray) -> None:
-        self.languages, self.log_prob, self.prior = languages, log_prob, prior
+    def __init__(self, languages: list[str], log_prob: np.ndarray) -> None:
+        self.languages, self.log_prob = languages, log_prob
         self.least = np.full(len(languages), -np.inf)
 
-    def log_scores(self, texts: list[str]) -> np.ndarray:
-        bucket, doc = grams(texts)
-        out = np.empty((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(doc, self.log_prob[:, k][bucket], len(texts)) + self.prior[k]
-        return out
 
-
-def fit(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.5) -> NaiveBayes:
-    """Learns from rows with text and label: about ``per_language`` of each label, taken by hash of the text (all copies of a text that is taken count), and of the
-    MOST_LANGUAGES most frequent labels."""
+def fit(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.5, block: int = BLOCK) -> NaiveBayes:
+    """Learns from rows with text and label: about ``per_language`` of each label, taken by hash of the text (all copies of a text that is taken count)."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    frequent = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
+    sizes = {r["lang"]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().collect()}
     languages = sorted(sizes)
-    if not languages:
-        return NaiveBayes([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    parts = [counted(rows, languages[i : i + block], sizes, per_language) for i in range(0, len(languages), block)]
+    counts = np.concatenate([np.zeros((0, BUCKETS)), *parts]) + smoothing
+    log_prob = np.log(counts) - np.log(counts.sum(1, keepdims=True))
+    return NaiveBayes(languages, np.ascontiguousarray(log_prob.T.astype(np.float32)))
+
+
+def counted(rows: DataFrame, languages: list[str], sizes: dict[str, int], per_language: int) -> np.ndarray:
+    """How often each bucket occurs in the taken texts of each language."""
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -100,38 +98,56 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", per_language: in
     cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    counts = counts.reshape(len(languages), BUCKETS) + smoothing
-    log_prob = np.log(counts) - np.log(counts.sum(1, keepdims=True))
-    return NaiveBayes(languages, np.ascontiguousarray(log_prob.T.astype(np.float32)), np.zeros(len(languages)))
-
-
-def best_of(model: NaiveBayes, columns: list[np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best language of each text, its posterior under equal priors, and the mean log-probability of the text's n-grams there."""
-    bucket, doc = grams(texts)
-    log = np.stack([np.bincount(doc, c[bucket], len(texts)) for c in columns], 1) + model.prior
-    best, top = log.argmax(1), log.max(1)
-    return best, 1 / np.exp(log - top[:, None]).sum(1), top / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
-
-
-def calibrate(df: DataFrame, model: NaiveBayes, text: str = "text", margin: float = MARGIN) -> NaiveBayes:
+    return counts.reshape(len(languages), BUCKETS)
+
+
+def scored(df: DataFrame, model: NaiveBayes, text: str, keep: list[str], block: int = BLOCK) -> DataFrame:
+    """keep and __best (a place among the languages), __top (its log-probability), __total (of all languages, relative to it), __grams, __letter.
+
+    A pass scores the languages of one block; passes are joined row by row, so no task holds more than a block of the matrix.
+    """
+    made = None
+    starts = range(0, max(1, len(model.languages)), block)
+    for low in starts:
+        shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.log_prob[:, low : low + block].T))
+
+        def make(shared=shared, low=low):
+            columns = shared.value
+
+            def run(column: pa.Array) -> list:
+                texts = [t or "" for t in column.to_pylist()]
+                bucket, doc = grams(texts)
+                log = np.stack([np.bincount(doc, c[bucket], len(texts)) for c in columns], 1) if len(columns) else np.zeros((len(texts), 1))
+                best, top = log.argmax(1), log.max(1)
+                letter = np.array([bool(LETTER.search(t)) for t in texts], bool)
+                return [best + low, top, np.exp(log - top[:, None]).sum(1), np.bincount(doc, minlength=len(texts)), letter]
+
+            return run
+
+        new = ["__best", "__top", "__total", "__grams", "__letter"]
+        if made is None:
+            rows = df.withColumn("__said", F.col(f"`{text}`").cast("string")) if len(starts) > 1 else df
+            made = map_text(rows, make, "__best long, __top double, __total double, __grams long, __letter boolean", text, keep + ["__said"] * (len(starts) > 1))
+            continue
+        more = map_text(cut_lineage(made), make, "__b2 long, __t2 double, __s2 double, __g2 long, __l2 boolean", "__said", [*keep, "__said", *new])
+        ahead = F.col("__t2") > F.col("__top")
+        top = F.greatest("__t2", "__top")
+        total = F.col("__total") * F.exp(F.col("__top") - top) + F.col("__s2") * F.exp(F.col("__t2") - top)
+        made = more.withColumns({"__best": F.when(ahead, F.col("__b2")).otherwise(F.col("__best")), "__top": top, "__total": total}).drop("__b2", "__t2", "__s2", "__g2", "__l2")
+    return made
+
+
+def calibrate(df: DataFrame, model: NaiveBayes, text: str = "text", margin: float = MARGIN, block: int = BLOCK) -> NaiveBayes:
     """Sets the model's ``least`` from held-out rows; a language without any takes the lowest of the others, and without rows none is set."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
     n = rows.count() if model.languages else 0
     if not n:
         return model
     rows = rows.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1_000_000)) < min(1.0, CALIBRATE / n) * 1_000_000)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        columns = [np.ascontiguousarray(m.log_prob[:, k]) for k in range(len(m.languages))]
-        for block in text_blocks(batches, 0):
-            texts = [t for t in block.column(0).to_pylist() if LETTER.search(t)]
-            if texts:
-                best, _, mean = best_of(m, columns, texts)
-                yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int64)), pa.array(mean)], names=["best", "mean"])
-
-    found = rows.mapInArrow(score, "best long, mean double").groupBy("best").agg(F.percentile(F.round("mean", 3), F.lit(0.5)).alias("middle")).collect()
+    mean = F.col("__top") / F.greatest("__grams", F.lit(1))
+    told = scored(rows, model, "text", [], block).where("__letter").select(F.col("__best").alias("best"), F.round(mean, 3).alias("mean"))
+    # rounded means are few, so a group's buffer is of a bounded size
+    found = told.groupBy("best").agg(F.percentile("mean", F.lit(0.5)).alias("middle")).collect()
     if found:
         model.least[:] = min(r["middle"] for r in found) - margin
         for r in found:
@@ -139,26 +155,15 @@ def calibrate(df: DataFrame, model: NaiveBayes, text: str = "text", margin: floa
     return model
 
 
-def predict(df: DataFrame, model: NaiveBayes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(df: DataFrame, model: NaiveBayes, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
     """``keep`` and lang_pred, score (the posterior of that language under equal priors)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        m = shared.value
-        columns = [np.ascontiguousarray(m.log_prob[:, k]) for k in range(len(m.languages))]
-
-        def block(column: pa.Array) -> list:
-            texts = [t or "" for t in column.to_pylist()]
-            known = np.array([bool(LETTER.search(t)) for t in texts], bool)
-            if not m.languages:
-                known[:] = False
-            best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-            if known.any():
-                best, score, mean = best_of(m, columns, texts)
-                known &= mean >= m.least[best]
-            names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            return [pa.array(names, pa.string()), np.where(known, score, 0.0)]
-
-        return block
-
-    return map_text(df, make, "lang_pred string, score double", text, list(keep))
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in ("lang_pred", "score")]
+    made = scored(df, model, text, kept, block)
+    own = [F.col(f"`{c}`") for c in kept]
+    if not model.languages:
+        return made.select(*own, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("__best") + 1).cast("int"))
+    known = F.col("__letter")
+    if np.isfinite(model.least).any():
+        known = known & (F.col("__top") / F.greatest("__grams", F.lit(1)) >= pick(model.least.tolist()))
+    return made.select(*own, F.when(known, pick(model.languages)).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, 1 / F.col("__total")).otherwise(F.lit(0.0)).alias("score"))
