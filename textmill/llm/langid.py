@@ -120,7 +120,7 @@ def scored(df: DataFrame, model: NaiveBayes, text: str, keep: list[str], block:
                 log = np.stack([np.bincount(doc, c[bucket], len(texts)) for c in columns], 1) if len(columns) else np.zeros((len(texts), 1))
                 best, top = log.argmax(1), log.max(1)
                 letter = np.array([bool(LETTER.search(t)) for t in texts], bool)
-                return [best + low, top, np.exp(log - top[:, None]).sum(1), np.bincount(doc, minlength=len(texts)), letter]
+                return [best + low, top.astype(np.float64), np.exp(log - top[:, None]).sum(1), np.bincount(doc, minlength=len(texts)), letter]
 
             return run
 
