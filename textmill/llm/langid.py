@@ -166,4 +166,4 @@ def predict(df: DataFrame, model: NaiveBayes, text: str = "text", keep: tuple[st
     known = F.col("__letter")
     if np.isfinite(model.least).any():
         known = known & (F.col("__top") / F.greatest("__grams", F.lit(1)) >= pick(model.least.tolist()))
-    return made.select(*own, F.when(known, pick(model.languages)).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, 1 / F.col("__total")).otherwise(F.lit(0.0)).alias("score"))
+    return made.select(*own, F.when(known, pick(model.languages)).when(~known, UNKNOWN).alias("lang_pred"), F.when(known, 1 / F.col("__total")).when(~known, 0.0).alias("score"))
