@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from textmill.functions import cleaning
 from textmill.functions import text as fx
 from textmill.operators import annotate, evaluate, quality
 from textmill.plans import registry
@@ -116,3 +117,47 @@ def test_logistic_split(spark):
 def test_segments_of_one_long_sentence(spark):
     frame = spark.range(1).select(quality.segments(F.array(F.lit("a b c d"), F.lit("e")), 2).alias("s"))
     assert frame.first().s == ["a b c d", "e"]
+
+
+def test_logistic_split_as_newton_finds_it(spark):
+    """The likelihood has one optimum; plain Newton steps find the same figures."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = docs.select("n_chars", "text", "quality").collect()
+    x = np.array([[np.log(1 + r.n_chars), len(re.findall("[#$%&*]", r.text or "")) / max(len(r.text or ""), 1)] for r in rows])
+    y = np.array([float(r.quality) for r in rows])
+    x = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(3), x.T @ (y - p))
+    said = x @ w > 0
+    tp, p, n = (said & (y == 1)).sum(), said.sum(), (y == 1).sum()
+    got = registry.queries()["logistic_split"](spark, "/root/testdata/sf0.01").first()
+    assert got.accuracy == pytest.approx((said == y).mean(), abs=2 / len(y))
+    assert got.f1 == pytest.approx(2 * tp / (p + n), abs=0.005) and got.precision == pytest.approx(tp / max(p, 1), abs=0.005) and got.recall == pytest.approx(tp / n, abs=0.005)
+
+
+def plain_light(text):
+    x = " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"<[^>]+>", " ", text)))
+    x = re.sub(r"(?i)-+ ?original message ?-+.*", "", x)
+    for p in cleaning.LIGHT_DISCLAIMERS + cleaning.LIGHT_PROMOTIONS + cleaning.LIGHT_FORWARDS:
+        x = re.sub(p, "", x)
+    return re.sub(r"[ \t-\r]+", " ", x).strip(" ")
+
+
+MAILS = [
+    "Please send it.\n\n-----Original Message-----\nFrom: a\nTo: b", "Dear all,\n<b>see</b> below.  This e-mail is confidential and\nmore", "CLICK HERE to win. Bye\nUnsubscribe now. End", "Begin forwarded message: x\ny",
+    "---- Forwarded Message ----\nFrom: z", "If you are not the intended recipient, delete it. Thanks", "Text. Confidentiality Notice: no more", "to be removed, write. rest", "visit our web site today. All rights reserved", "", "  ", "plain text", "the information contained in this email is ours",
+    "special offer! only\nlimited time. more", "a < b and c > d",
+]
+
+
+def test_light_cleaning_of_mails(spark):
+    rows = [(i, m) for i, m in enumerate(MAILS)]
+    got = spark.createDataFrame(rows, "id int, t string").select("id", cleaning.clean_mail_light("t").alias("c")).collect()
+    assert [(MAILS[r.id], r.c) for r in sorted(got)] == [(m, plain_light(m)) for m in MAILS]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    made = registry.queries()["email_clean_light"](spark, SF).collect()
+    assert len(made) == len(docs) and all(r.cleaned == plain_light(docs[r.doc_id]) for r in made)

@@ -24,7 +24,9 @@ LIGHT_DISCLAIMERS = (
     r"(?is)confidentiality notice.*",
     r"(?is)the information (?:contained )?in this (?:e-?mail|message).*",
 )
+#: Phrases of promotions of a light cleaning.
 LIGHT_PROMOTIONS = (r"(?i)click here[^.\n]*", r"(?i)unsubscribe[^.\n]*", r"(?i)to (?:opt out|be removed)[^.\n]*", r"(?i)special offer[^.\n]*", r"(?i)limited time[^.\n]*", r"(?i)visit our web ?site[^.\n]*", r"(?i)all rights reserved[^.\n]*")
+#: Forward lines of a light cleaning.
 LIGHT_FORWARDS = (r"(?im)^-+ ?(?:original|forwarded) message ?-+.*$", r"(?im)^(?:begin )?forwarded (?:message|by).*$")
 #: Families of boilerplate in mails, each pattern with a word or sign that any text it fits must hold in lower case ("" if there is none).
 DISCLAIMERS = (
@@ -41,6 +43,7 @@ DISCLAIMERS = (
     ("the information", r"(?is)(the information (contained )?in this (e-?)?mail.*?)(?=\n[A-Z]|$)"),
     ("this message", r"(?is)(this message is for the designated recipient.*?)(?=\n[A-Z]|$)"),
 )
+#: Phrases of promotions.
 PROMOTIONS = (
     ("follow us", r"(?is)follow us on [\w\s]+"),
     ("like us", r"(?is)like us on [\w\s]+"),
@@ -59,6 +62,7 @@ PROMOTIONS = (
     ("this email because", r"(?is)you( are)? receiv(ed|ing) this email because.*?(\.|$)"),
     ("this email was", r"(?is)this email was sent by.*?(\.|$)"),
 )
+#: What begins or makes a signature.
 SIGNATURES = (
     ("--", r"(?im)^--+\s*\n[\s\S]*$"),
     ("regards,", r"(?im)^regards,[\s\S]*$"),
@@ -75,12 +79,14 @@ SIGNATURES = (
     ("yours", r"(?im)^yours (truly|sincerely),[\s\S]*$"),
     ("all the best,", r"(?im)^all the best,[\s\S]*$"),
 )
+#: References to attachments.
 ATTACHMENTS = (
     ("- ", r"(?im)^\s*- .*?\.(jpg|jpeg|png|gif|pdf|doc|docx|xls|xlsx|ppt|pptx|zip|txt)$"),
     ("[attachment:", r"(?im)\[attachment:.*?\]"),
     ("<attached:", r"(?im)<attached:.*?>"),
     ("see attached", r"(?im)see attached( file)?[:\.]"),
 )
+#: Headers of forwarded mails.
 FORWARDS = (
     ("---", r"(?i)^-{3,}[\s\S]*?forwarded[^\n]*\n"),
     ("subject:", r"(?i)^from:.*?sent:.*?to:.*?subject:.*?\n"),
@@ -93,6 +99,7 @@ FORWARDS = (
     ("forwarded by", r"(?i)\n-{3,}\s*forwarded by[\s\S]*?\n"),
     ("from:", r"(?i)>\s*from:.*?\n>\s*sent:.*?\n>\s*to:.*?\n>\s*subject:.*?\n"),
 )
+#: Marks of one mail system.
 LAYOUT = (
     ("@", r"(?i)\t[A-Za-z ]+@[A-Za-z]+\n\t\d{2}/\d{2}/\d{4} \d{2}:\d{2} (am|pm)(\n\t\t[\s\S]*?)+?(?=\n\n)"),
     ("\t", r"(?i)(\t+[^\n]*\n){2,}"),
@@ -100,7 +107,7 @@ LAYOUT = (
     ("\t\t ", r"(?i)\t\t (to|cc|subject|fw): .*?\n"),
     ("please respond", r"(?i)please respond to.*?\n"),
 )
-#: The first two header patterns are one, as the source of the list writes them.
+#: Header lines. The first two patterns are one, as the source of the list writes them.
 HEADERS = (
     ("<", r"(?im)^.*?(to|cc|bcc|from|subject|fw|re|sent|date|message-id):?.*$\n?^.*?<.*?>.*$\n?"),
     ("@", r"(?im)^.*?@.*$\n?"),
@@ -112,7 +119,9 @@ HEADERS = (
     ("", r"(?i)(to|cc|bcc|from|subject|fw|re)(\s*:|\s+)"),
     ("@", r"[\w\.-]+@[\w\.-]+\.\w+"),
 )
+#: Words that begin a line of metadata, eight patterns in one so that lines are looked at once.
 CSV_LINES = (("", r"(?im)^(?:Message-ID|Date|From|To|Cc|Subject|Content-Type|Folder).*$"),)
+#: Personal data of the full cleaning.
 PRIVATE = (
     ("@", r"(?im)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     ("@", r"(?im)<[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}>"),
@@ -121,22 +130,28 @@ PRIVATE = (
     (":", r"(?im)(^|\n)(to|cc|bcc|from|subject|date|sent):.*?(\n|$)"),
     ("-", r"(?im)\d{3}-\d{2}-\d{4}"),
 )
+#: Links, and signs that any link holds.
 BARE_URL = r"""(?i)(https?://[^\s<>"]+|www\.[^\s<>"]+|[^\s<>"]+\.(com|org|net|edu|gov)(\/[^\s<>"]*)?)"""
 URL_SIGNS = r"https?://|www\.|\.(?:com|org|net|edu|gov)"
+#: Numbers, dates and times.
 NUMBERS = (
     ("", r"(\+\d{1,3}[-\.\s]?)?(\(?\d{3}\)?[-\.\s]?)?\d{3}[-\.\s]?\d{4}"),
     ("", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"),
     (":", r"(?i)\b\d{1,2}:\d{2}(:\d{2})?\s*(am|pm)?\b"),
     ("", r"\b\d+\b"),
 )
+#: Signs that become blanks.
 SEPARATORS = r"[_\-=*:;&\[\]?!|]"
+#: Marks at which a forwarded part begins.
 FORWARD_MARKS = ("forwarded message", "forwarded by", "original message", "begin forwarded message:")
 #: Greetings and other words that a word count of mails leaves out, then signs.
 GREETINGS = (
     r"(?i)Dear\s+\w+[,.]?", r"(?i)(Best\s+)?Regards[,.]?", r"(?i)Sincerely[,.]?", r"(?i)Thank\s+you", r"(?i)Thanks", r"(?i)Hi\s+\w+[,.]?", r"(?i)Hello\s+\w+[,.]?",
     r"\S+@\S+\.\S+", r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}",
 )
+#: What begins metadata.
 METADATA = r"(?is)(?:Sent|To|From|Cc):.*"
+#: Patterns of the light cleaning of encyclopaedia texts, with their replacements.
 WIKI = (
     (r"\[[0-9]+\]", ""), (r"\[(?:citation needed|edit|who\?|when\?)\]", ""), (r"[0-9]+°[0-9]+′[NS] [0-9]+°[0-9]+′[EW]", ""), (r"/[^/\n]*/", ""), (r"\(\s*\)", ""),
     (r"[–—]", "-"), (r"\s+([,.;:!?])", "$1"), (r"([,;:])([^\s0-9])", "$1 $2"), (r"\s+", " "),

@@ -133,7 +133,7 @@ def harvested(text: Column, values: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda e: F.concat(e["value"], F.lit(" <> "), e["key"])))
 
 
-#: Patterns, in any case, that a sentence may not hold: structure that is left over, and signs of bad text.
+#: Patterns, in any case, that a sentence may not hold: structure that is left over, and signs of bad text. A choice of our own, not a catalogue to match; the operator takes others.
 STRUCTURE = (r"^\s*[|*#]", r"={2,}", r"\{\{|\}\}", r"^\s*[0-9]+\.?\s*$")
 BAD_SIGNS = (r"^\s*see also", r"retrieved on", r"click here", r"isbn [0-9-]+", r"https?://", r"[%#$&*]{2,}")
 
