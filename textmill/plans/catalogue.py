@@ -2,6 +2,7 @@
 
 from textmill.plans import (  # noqa: F401
     annotation_queries,
+    answer_queries,
     article_queries,
     chain_queries,
     curriculum_queries,
