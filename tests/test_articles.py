@@ -2,12 +2,15 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.functions import json_text
+from textmill.functions import json_text, maritime
+from textmill.functions import text as fx
 from textmill.operators import elements, encyclopaedia
+from textmill.plans import article_queries
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><script>var a = "<p>no</p>";</script></head><body>
 <h1 id="firstHeading"> Port of <i>Nowhere</i> </h1><div id="bodyContent"><div id="mw-content-text"><div class="a mw-parser-output">
@@ -98,3 +101,44 @@ def test_answers(spark):
     assert got == {"plain": inner, "wrapped": inner, "fence": inner, "thought": inner, "none": None, "null": None, "one": None}
     peeled = {r.k: r.p for r in df.select("k", json_text.peeled(F.col("t")).alias("p")).collect()}
     assert peeled["none"] == '"' and peeled["one"] == '"' and peeled["null"] is None
+
+
+def plain_count(text, patterns):
+    return sum(len(list(re.finditer(p, text, re.I))) for p in patterns)
+
+
+def plain_valid(s):
+    bad = any(re.search(p, s, re.I) for p in maritime.STRUCTURE + maritime.BAD)
+    return len(s.split()) >= 3 and not bad and re.search(r"[a-zA-Z]{3,}", s) is not None
+
+
+SENTENCES = [
+    "A ship sails on.", "Two words", "See also the list of ports", "12 34 56 7", "aaaaaaaaaaaaaaaa is long", "Odd ##### signs here", "short one", "The vessel, of 5,000 TEU, left Rotterdam.", "1. 2. 3.", "…………… and more of it",
+    "Ünï ünï ünï ünï", "", "This  page\nis an example text", "a b c d e f g h i j k l m", "Berth and harbour (no. 4) - all of them!",
+]
+
+
+def test_sentences_of_the_domain(spark):
+    df = spark.createDataFrame(list(enumerate(SENTENCES)), "id int, s string")
+    got = {r.id: r.v for r in df.select("id", maritime.valid_sentence(F.col("s")).alias("v")).collect()}
+    assert [(s, got[i]) for i, s in enumerate(SENTENCES)] == [(s, plain_valid(s)) for s in SENTENCES]
+
+
+def test_scores_of_the_domain(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text, r.s) for r in article_queries.with_phrases(spark, sf).select("doc_id", "text", fx.protected_sentences("text").alias("s")).collect()}
+    got = article_queries.maritime_scores(spark, sf).collect()
+    assert len(got) == len(texts) and len({r.rejection for r in got}) >= 4 and sum(r.relevance > 0 for r in got) > 50
+    for r in got:
+        text, sentences = texts[r.doc_id]
+        n = len(text.split())
+        total = sum(plain_count(text, ps) * (2 if k in maritime.TWICE else 1) for k, ps in maritime.DOMAIN.items())
+        relevance = total / n if n else 0.0
+        quality = (plain_count(text, maritime.GOOD) - plain_count(text, maritime.BAD)) / n if n else -1.0
+        good = sum(map(plain_valid, sentences))
+        rules = (
+            (len(text) < 50, "too_short"), (len(text) > 8192, "too_long"), (n < 10, "too_few_words"), (n > 1200, "too_many_words"), (good < 2, "too_few_sentences"),
+            (relevance < 0.005, "not_maritime_relevant"), (quality < -0.02, "low_quality"),
+        )
+        want = next((name for failed, name in rules if failed), None)
+        assert (r.relevance, r.quality, r.sentences, r.rejection) == (pytest.approx(relevance, abs=1e-6), pytest.approx(quality, abs=1e-6), good, want), text[:200]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions import articles as cleaning
-from textmill.functions import json_text
+from textmill.functions import json_text, maritime
 from textmill.functions import text as fx
-from textmill.operators import encyclopaedia
+from textmill.operators import encyclopaedia, labels
 from textmill.plans.quality_queries import ENTITY, PRIMARY, SECONDARY, VETO, WORDS, terms_sql
 from textmill.plans.registry import query
 from textmill.sources.tables import table
@@ -125,3 +125,44 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in consecutive chunks of 512 tokens; the last one is shorter."""
     made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fx.chunks(fx.words("text"), 512)).alias("chunk", "c"))
     return made.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("c").cast("long").alias("n_tokens"), F.array_join("c", " ").alias("content"))
+
+
+#: Phrases of the domain, and signs of good and bad text, which the given texts don't hold.
+PHRASES = (
+    " The bulk carrier of 75,000 DWT sailed from Port Said through the Suez Canal at 14.5 knots.", " Under the charterparty terms, freight of US$25 million per voyage is due.",
+    " Click here to read more. All rights reserved.", " VLCC rates rose, according to the contract.", "",
+)
+
+
+def with_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), phrase).alias("text"))
+
+
+@query()
+def maritime_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance, quality and the first rule failed, by the full catalogues."""
+    text = F.col("text")
+    good = F.filter(fx.protected_sentences(text), maritime.valid_sentence)
+    rows = with_phrases(spark, sf_dir)
+    return rows.select("doc_id", F.round(maritime.relevance(text), 6).alias("relevance"), F.round(maritime.quality(text), 6).alias("quality"), F.size(good).alias("sentences"), maritime.rejection(text, good).alias("rejection"))
+
+
+NAMED = "'/wiki/' || CASE doc_id % 4 WHEN 0 THEN 'Star_(' || {ending} || ')' WHEN 1 THEN 'Category:' || {category} WHEN 2 THEN 'Harbour_of_' || source ELSE 'category:sea_' || {ending} END"
+
+
+def pick_sql(names: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN floor(doc_id / 4) % {len(names) + 3} = {i} THEN '{n}'" for i, n in enumerate(names)) + " ELSE 'ships' END"
+
+
+ADDRESS = NAMED.format(ending=pick_sql(maritime.BLOCKED_ENDINGS), category=pick_sql(tuple(c.partition(":")[2] for c in maritime.BLOCKED_CATEGORIES)))
+
+
+@query(
+    f"WITH a AS (SELECT doc_id, {ADDRESS} AS url FROM documents) SELECT doc_id, url FROM a WHERE NOT (" + " OR ".join(f"contains(replace(lower(url), '_', ' '), '{c.lower().replace('_', ' ')}')" for c in maritime.BLOCKED_CATEGORIES)
+    + " OR " + " OR ".join(f"contains(lower(url), '_({e.lower()})')" for e in maritime.BLOCKED_ENDINGS) + ")"
+)
+def unblocked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made from documents that neither name a blocked category nor end in a blocked name."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(ADDRESS).alias("url"))
+    return rows.where(~labels.blocked(F.col("url"), maritime.BLOCKED_CATEGORIES, maritime.BLOCKED_PATTERNS))
