@@ -111,3 +111,26 @@ def test_clean_documents(field, network, tables):
             more["private"] += sum(x not in known for x in new)
             assert all(x in known or not any(k == x[0] and s < x[2] and x[1] < e for k, s, e in known) for x in new)
     assert max(more.values()) <= len(tables[1]) // 1000, more
+
+
+def test_segments_that_are_not_scored_change_nothing(network, tables):
+    """All spans that pass the check are found as if every segment had been scored."""
+    rng = random.Random(8)
+    texts = tables[1][:300]
+    for _ in range(200):
+        form = PRIVATE[rng.choice(list(PRIVATE))](rng)
+        words = texts[rng.randrange(300)].split() or ["a"]
+        far = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 150)))
+        texts.append(f"{far()} {form[1]}{form[2]}{form[3]} {far()} {far()}")
+    some = [network.added(t, r) for t, r in zip(texts, network.spans(texts))]
+    label, edge = network.labels(texts)
+    every = []
+    for i, t in enumerate(texts):
+        own = label[edge[i] : edge[i + 1]].tolist() + [0]
+        runs, a = [], 0
+        for b in range(1, len(own)):
+            if own[b] != own[a]:
+                runs += [(own[a] - 1, a, b)] if own[a] else []
+                a = b
+        every.append(network.added(t, runs))
+    assert some == every and sum(map(len, some)) > 150

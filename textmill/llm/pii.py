@@ -4,7 +4,8 @@ Every whole text is cut into segments, and each is read in a window that overlap
 either side; windows of a block run side by side. The outputs of both LSTM directions give each character of a segment scores for the labels outside,
 email, ip, card and phone; in an overlap the window counts whose edge is farther. Viterbi then finds the best
 labels of the whole text under the CRF transitions (a kind is entered from outside only), also across segments: each
-segment is decoded from every label that may come before it, and the tables of a text's segments are joined in order. Runs of a label become spans
+segment is decoded from every label that may come before it, and the tables of a text's segments are joined in order. A segment is scored if it or a neighbour holds
+a sign that every span has which passes the check below (a figure, an @ or a spelled one); others are outside, as a span there would have to reach over a whole segment without such a sign. Runs of a label become spans
 ``lstm_*``; an exact check follows: a span must have the figures of its kind (Luhn digits, address parts, number of
 digits). They stand beside the base spans, which are always there; the network finds most of those too, and others. One that overlaps a base span of its kind without
 being that span is a piece of it and is dropped.
@@ -69,6 +70,9 @@ ENDS = frozenset(" \t\n\r.,;:")
 #: Addresses whose signs may be spelled or bracketed.
 SPELLED = re.compile(r"[^\s@()\[\]{}<>]+(?:\s?[\[({<]?@[\])}>]?\s?|\s?[\[({<_]at[\])}>_]\s?|\sat\s)(?:[^\s@()\[\]{}<>]+?(?:\.|\s?[\[({<_]dot[\])}>_]\s?|\sdot\s))+[^\W\d_]{2,}", re.I)
 
+#: Where an address may be spelled without an @.
+SPELLED_AT = re.compile(r"[\[({<_]at[\])}>_]|\sat\s[^\s@()\[\]{}<>]+(?:\.[^\W\d_]|\s?[\[({<_]dot|\sdot\s)", re.I)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -257,9 +261,10 @@ class Network:
             a = b
         return before, last
 
-    def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The best labels of all characters of the texts, end to end, and where each text begins."""
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def labels(self, texts: list[str], everywhere: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The best labels of all characters of the texts, end to end, and where each text begins; without ``everywhere`` only of segments near a sign of a span."""
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = CODES[np.minimum(codes, 1023)]
         size = np.array([len(t) for t in texts], np.int64)
         edge = np.concatenate([[0], np.cumsum(size)])
@@ -270,6 +275,16 @@ class Network:
             return found, edge
         begin = edge[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
         width = np.minimum(edge[doc + 1] - begin, SEGMENT)
+        if not everywhere:
+            signs = (codes >= _code("0")) & (codes <= _code("9")) | (codes == _code("@"))
+            signs[[m.start() for m in SPELLED_AT.finditer(joined)]] = True
+            before = np.concatenate([[0], np.cumsum(signs)])
+            near = before[np.minimum(begin + width + SEGMENT, edge[doc + 1])] > before[np.maximum(begin - SEGMENT, edge[doc])]
+            doc, begin, width = doc[near], begin[near], width[near]
+            if not len(doc):
+                return found, edge
+        # segments that follow one another are decoded together; what is not scored is outside
+        chain = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1] + width[:-1])))
         order = np.argsort(-width, kind="stable")
         best = np.empty((LABELS, LABELS, len(doc)), np.float32)
         ways = []
@@ -281,7 +296,7 @@ class Network:
             score = self.emissions(window, width[part] + 2 * MARGIN)[MARGIN : len(window) - MARGIN]
             best[:, :, part], back = self.tables(score, width[part], begin[part] == edge[doc[part]])
             ways.append(back)
-        before, last = self.joined(best, doc)
+        before, last = self.joined(best, chain)
         for a, back in zip(range(0, len(order), BATCH), ways):
             part = order[a : a + BATCH]
             label, start, at = last[part], before[part], np.arange(len(part))
@@ -296,7 +311,7 @@ class Network:
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(kind, start, end) of every run of a label, by text."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        label, edge = self.labels(texts)
+        label, edge = self.labels(texts, False)
         place = np.flatnonzero(label)
         if not len(place):
             return out
