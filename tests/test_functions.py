@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import cleaning
 from textmill.functions import text as fx
-from textmill.operators import chains, dedup, evaluate, extract, labels, places, rollup, sampling, scores
+from textmill.operators import chains, dedup, evaluate, extract, fuzzy, labels, places, rollup, sampling, scores
 from textmill.sources import mails, tables
 
 MAILS = [
@@ -153,11 +153,12 @@ def test_annotations_by_another_key(spark):
     assert labels.annotated(chunks, notes.withColumnRenamed("chunk_idx", "c").withColumnRenamed("c", "chunk_idx"), ["chunk_idx"], also=["other"]).count() == 10
 
 
-def test_dictionaries_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(places, "MOST_NAMES", 2)
-    names = spark.createDataFrame([("a",), ("b",), ("c",)], "n string")
+def test_place_matrix_is_bounded_and_names_are_not(spark, monkeypatch):
+    monkeypatch.setattr(places, "MOST_PLACES", 2)
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 3.0), ("c", 2.0, 2.0)], "n string, lat double, lon double")
     with pytest.raises(ValueError):
-        places.best_name(names, "n", names, "n")
+        places.distance_matrix(rows, "n", "lat", "lon")
+    assert [r.matched for r in fuzzy.best_name(rows, "n", rows, "n").orderBy("n").collect()] == ["a", "b", "c"]
 
 
 def test_substitution_and_names(spark):
