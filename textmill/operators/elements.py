@@ -1,10 +1,11 @@
-"""Parts of encyclopaedia pages: an element tree for each page, pruned, and what is read from it."""
+"""Parts of encyclopaedia and news pages: an element tree for each page, pruned, and what is read from it."""
 
 from __future__ import annotations
 
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,10 +26,10 @@ HEADERS = ("h2", "h3", "h4")
 
 
 class Element:
-    __slots__ = ("tag", "id", "classes", "children", "parent")
+    __slots__ = ("tag", "id", "classes", "attributes", "children", "parent")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None) -> None:
-        self.tag, self.id, self.classes = tag, attributes.get("id"), frozenset(attributes.get("class", "").split())
+        self.tag, self.id, self.classes, self.attributes = tag, attributes.get("id"), frozenset(attributes.get("class", "").split()), attributes
         self.children: list[Element | str] = []
         self.parent = parent
 
@@ -43,6 +44,29 @@ class Element:
     def pruned(self) -> bool:
         return self.tag in PRUNED_TAGS or not PRUNED_CLASSES.isdisjoint(self.classes)
 
+    def pieces(self, dropped: tuple[str, ...] = ()) -> list[str]:
+        """The trimmed texts between tags, without empty ones, and without elements of which a class holds one of the words."""
+        out, stack = [], [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out += [x.strip()] if x.strip() else []
+            elif x.tag not in RAW and not x.holds(dropped):
+                stack += reversed(x.children)
+        return out
+
+    def holds(self, words: tuple[str, ...]) -> bool:
+        return any(w in c for w in words for c in self.classes)
+
+    def inner(self, dropped: tuple[str, ...] = ()) -> Iterator[Element]:
+        """The elements in it, in page order, without those that are dropped."""
+        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
+        while stack:
+            x = stack.pop()
+            if not x.holds(dropped):
+                yield x
+                stack += [c for c in reversed(x.children) if isinstance(c, Element)]
+
     def text(self, prune: bool = False) -> str:
         out, stack = [], [self]
         while stack:
@@ -137,3 +161,95 @@ def page_parts(df: DataFrame, html: str, keep: tuple[str, ...]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([block.column(i) for i in range(len(keep))] + arrays, names=schema.fieldNames())
 
     return df.select(*keep, F.col(html).alias("__html")).mapInArrow(run, schema)
+
+
+class Site(NamedTuple):
+    """Where a news site keeps its articles: the class of headlines, of the line with date and author, containers by tag and class, words of classes that are no text."""
+
+    title: str
+    byline: str | None
+    container: str | None
+    containers: tuple[tuple[str, str | None], ...]
+    dropped: tuple[str, ...] = ()
+    least: int = 0
+    author: str | None = None
+
+
+#: Two news sites.
+SITES = {
+    "gazette": Site(
+        "entry-title", None, None, (("div", "body"), ("div", "td-post-content"), ("div", "entry-content"), ("div", "article"), ("article", None)),
+        ("tags", "article-card", "post-nav", "related-articles", "adthrive", "card"), author="author",
+    ),
+    "executive": Site(
+        "article-title", "author datePublished", "article-container",
+        (("div", "article-content"), ("div", "entry-content"), ("div", "post-content"), ("div", "article__content"), ("div", "article-body"), ("div", "content"), ("article", None)), least=50,
+    ),
+}
+NEWS = "headline string, published string, author string, content string"
+
+
+def news(page: str | None, site: Site) -> dict:
+    """Headline, date, author and text of a page; null for a part that is not there, but an empty text on a site that asks for no least length.
+
+    Texts between tags are trimmed and joined without blanks, paragraphs by line ends.
+    """
+    every = list(tree(page or "").inner())
+    first = lambda ok: next((x for x in every if ok(x)), None)
+    joined = lambda x: "".join(x.pieces())
+    head = first(lambda x: x.tag == "h1" and site.title in x.classes) or first(lambda x: x.tag == "h1")
+    time = first(lambda x: x.tag == "time")
+    meta = lambda name, value: first(lambda x: x.tag == "meta" and x.attributes.get(name) == value)
+    published = time.attributes.get("datetime") if time is not None else None
+    named = meta("name", "author")
+    author = named.attributes.get("content") or None if named is not None else None
+    line = first(lambda x: x.tag == "p" and x.attributes.get("class") == site.byline) if site.byline else None
+    if line is not None:
+        published = author = None
+        said = " ".join(line.pieces()).split("by")
+        if len(said) >= 2:
+            published = said[0].replace("Published", "").strip()
+            link = next((x for x in line.inner() if x.tag == "a"), None)
+            author = joined(link) if link is not None else None
+    elif site.author:
+        told = meta("property", "article:published_time")
+        published = published if published is not None else told.attributes.get("content") or None if told is not None else None
+        beside = first(lambda x: x.tag in ("span", "div") and site.author in " ".join(x.attributes.get("class", "").split()))
+        author = author or (joined(beside) if beside is not None else None)
+
+    def body(x: Element) -> str:
+        paragraphs = [p for p in x.inner(site.dropped) if p.tag == "p"]
+        return "\n".join("".join(p.pieces(site.dropped)) for p in paragraphs) if paragraphs else "\n".join(x.pieces(site.dropped))
+
+    content = None
+    own = first(lambda x: x.tag == "div" and x.id == site.container) if site.container else None
+    if own is not None:
+        content = body(own)
+    else:
+        for tag, name in site.containers:
+            x = first(lambda e: e.tag == tag and (name is None or name in e.classes))  # noqa: B023
+            if x is not None:
+                content = body(x)
+                if len(content) > site.least or not site.least:
+                    break
+    if content is None and not site.least:
+        content = ""
+    return {"headline": joined(head) if head is not None else None, "published": published, "author": author, "content": content}
+
+
+def news_articles(df: DataFrame, html: str, keep: tuple[str, ...], site: Site) -> DataFrame:
+    """keep with NEWS of each page, white space in the content collapsed; null where a page has no such part."""
+    added = T._parse_datatype_string(NEWS)
+    keep = tuple(c for c in keep if c not in added.fieldNames())
+    schema = T.StructType([df.schema[c] for c in keep] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                block = batch.slice(at, 64)
+                made = [news(x, site) for x in block.column(len(keep)).to_pylist()]
+                arrays = [pa.array([m[f.name] for m in made], pa.string()) for f in added.fields]
+                yield pa.RecordBatch.from_arrays([block.column(i) for i in range(len(keep))] + arrays, names=schema.fieldNames())
+
+    made = df.select(*keep, F.col(html).alias("__html")).mapInArrow(run, schema)
+    return made.withColumn("content", F.trim(F.regexp_replace("content", r"(?U)\s+", " ")))

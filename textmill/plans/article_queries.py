@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.functions import articles as cleaning
 from textmill.functions import json_text, maritime
 from textmill.functions import text as fx
-from textmill.operators import encyclopaedia, labels
+from textmill.operators import elements, encyclopaedia, labels
 from textmill.plans.quality_queries import ENTITY, PRIMARY, SECONDARY, VETO, WORDS, terms_sql
 from textmill.plans.registry import query
 from textmill.sources.tables import table
@@ -166,3 +166,18 @@ def unblocked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses made from documents that neither name a blocked category nor end in a blocked name."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(ADDRESS).alias("url"))
     return rows.where(~labels.blocked(F.col("url"), maritime.BLOCKED_CATEGORIES, maritime.BLOCKED_PATTERNS))
+
+
+@query("""SELECT p_partkey, p_name || p_brand AS headline, CASE WHEN p_partkey % 2 = 1 THEN '2024-05-06' ELSE '2024-01-02' END AS published, CASE WHEN p_partkey % 3 = 0 THEN 'Desk & Co' ELSE 'By ' || p_type END AS author,
+ 'First ' || p_name || '. Size ' || p_size || ' ofit.' AS content FROM part""")
+def news_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of a news site, among menus, cards, tags and related articles that are no text."""
+    put = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    c, odd = F.col, F.col("p_partkey") % 2 == 1
+    html = put(
+        '<html><head><meta property="article:published_time" content="2024-01-02">', F.when(c("p_partkey") % 3 == 0, '<meta name="author" content="Desk &amp; Co">').otherwise(""),
+        '</head><body><h1 class="site">Menu</h1><h1 class="big entry-title"> ', c("p_name"), "  <b>", c("p_brand"), "</b></h1>", F.when(odd, '<time datetime="2024-05-06">in May</time>').otherwise(""),
+        '<span class="post-author-name"> By ', c("p_type"), ' </span><div class="article"><p>not this one</p></div><div class="td-post-content wide"><p>First ', c("p_name"),
+        '.</p><div class="related-articles-box"><p>gone</p></div><ul class="x tags-list"><li><p>gone</p></li></ul><p>Size ', c("p_size").cast("string"), "  of <i>it</i>.<span class=card>gone</span></p></div></body></html>",
+    )
+    return elements.news_articles(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "html", ("p_partkey",), elements.SITES["gazette"])
