@@ -145,15 +145,15 @@ def test_scores_of_the_domain(spark):
 
 
 def test_news_of_two_sites(spark):
-    gazette, executive = elements.SITES["gazette"], elements.SITES["executive"]
+    daily, weekly = elements.SITES["daily"], elements.SITES["weekly"]
     page = "<h1>A <i>b</i></h1><p class='author datePublished'>Published May 3, 2024 by <a> The Desk </a></p><div id='article-container'><p>One</p> stray <div><p> Two </p></div></div>"
-    assert elements.news(page, executive) == {"headline": "Ab", "published": "May 3, 2024", "author": "The Desk", "content": "One\nTwo"}
+    assert elements.news(page, weekly) == {"headline": "Ab", "published": "May 3, 2024", "author": "The Desk", "content": "One\nTwo"}
     long = "x" * 60
     page = f"<meta name=author content=Me><time datetime=2024>t</time><h1 class='article-title'>T</h1><div class='entry-content'>short</div><div class='content'><b>{long}</b> end</div>"
-    assert elements.news(page, executive) == {"headline": "T", "published": "2024", "author": "Me", "content": f"{long}\nend"}
-    assert elements.news(page, gazette)["content"] == "short"
-    assert elements.news("<div class='body'>a <p class='cards'>b</p></div><div class='authors'>Z</div>", gazette) == {"headline": None, "published": None, "author": "Z", "content": "a"}
+    assert elements.news(page, weekly) == {"headline": "T", "published": "2024", "author": "Me", "content": f"{long}\nend"}
+    assert elements.news(page, daily)["content"] == "short"
+    assert elements.news("<div class='body'>a <p class='cards'>b</p></div><div class='authors'>Z</div>", daily) == {"headline": None, "published": None, "author": "Z", "content": "a"}
     for broken in (None, "", "<", "<h1", "<p class='author datePublished'>no date</p>"):
-        assert elements.news(broken, executive)["content"] is None and elements.news(broken, gazette)["published"] is None
+        assert elements.news(broken, weekly)["content"] is None and elements.news(broken, daily)["published"] is None
     df = spark.createDataFrame([(1, "<article><p>a\u00a0 b</p>\n<p>c</p></article>", "x"), (2, None, "y")], "k int, html string, headline string")
-    assert [(r.k, r.content) for r in elements.news_articles(df, "html", ("k", "headline"), gazette).orderBy("k").collect()] == [(1, "a b c"), (2, "")]
+    assert [(r.k, r.content) for r in elements.news_articles(df, "html", ("k", "headline"), daily).orderBy("k").collect()] == [(1, "a b c"), (2, "")]

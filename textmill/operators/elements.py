@@ -177,11 +177,11 @@ class Site(NamedTuple):
 
 #: Two news sites.
 SITES = {
-    "gazette": Site(
+    "daily": Site(
         "entry-title", None, None, (("div", "body"), ("div", "td-post-content"), ("div", "entry-content"), ("div", "article"), ("article", None)),
         ("tags", "article-card", "post-nav", "related-articles", "adthrive", "card"), author="author",
     ),
-    "executive": Site(
+    "weekly": Site(
         "article-title", "author datePublished", "article-container",
         (("div", "article-content"), ("div", "entry-content"), ("div", "post-content"), ("div", "article__content"), ("div", "article-body"), ("div", "content"), ("article", None)), least=50,
     ),

@@ -180,4 +180,4 @@ def news_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<span class="post-author-name"> By ', c("p_type"), ' </span><div class="article"><p>not this one</p></div><div class="td-post-content wide"><p>First ', c("p_name"),
         '.</p><div class="related-articles-box"><p>gone</p></div><ul class="x tags-list"><li><p>gone</p></li></ul><p>Size ', c("p_size").cast("string"), "  of <i>it</i>.<span class=card>gone</span></p></div></body></html>",
     )
-    return elements.news_articles(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "html", ("p_partkey",), elements.SITES["gazette"])
+    return elements.news_articles(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "html", ("p_partkey",), elements.SITES["daily"])
