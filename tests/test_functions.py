@@ -167,3 +167,21 @@ def test_substitution_and_names(spark):
     tokens, spans = F.split(F.lit("the MV Old ship from X"), " "), F.from_json(F.lit('[{"start":1,"end":2},{"start":5,"end":5}]'), "array<struct<start:int,end:int>>")
     made = spark.range(1).select(extract.substitute(tokens, spans, F.array(F.lit("New"), F.lit("Port of Y"))).alias("s")).first().s
     assert made.tokens == ["the", "New", "ship", "from", "Port", "of", "Y"] and [tuple(x) for x in made.spans] == [(1, 1), (4, 6)]
+
+
+def test_spans_of_all_entities_from_one_pass(spark):
+    """Places of several entities, against plain Python: overlaps, none across rows, and the text is cut in tokens once."""
+    from textmill.operators import extract
+
+    texts = ["of the of the", "OF", "the end, of\nThe", None, "", "la-la LA la", "of of the"]
+    entities = [("of the", "pair"), ("la", "word"), ("of", "word"), ("", "none"), ("la la", "pair")]
+    made = extract.aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), entities)
+    want = set()
+    for i, text in enumerate(texts):
+        tokens = [t.lower() for t in re.findall(r"\w+(?:[-_]\w+)*|\S", text or "")]
+        for entity, kind in entities:
+            parts = entity.split()
+            want |= {(i, entity, kind, p, p + len(parts) - 1) for p in range(len(tokens)) if parts and tokens[p : p + len(parts)] == parts}
+    got = [tuple(r) for r in made.collect()]
+    assert set(got) == want and len(got) == len(want) > 8
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
