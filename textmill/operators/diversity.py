@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from textmill.functions import grams
 from textmill.functions import text as fx
+from textmill.operators.lineage import cut
 
 
 def ranked(df: DataFrame, by: list[str], key: str, width: int = 4096, name: str = "rank") -> DataFrame:
@@ -21,12 +22,12 @@ def ranked(df: DataFrame, by: list[str], key: str, width: int = 4096, name: str
     Keys fall into ranges of ``width``; ranks inside a range and the sizes of the ranges before it add up.
     Keys must be unique within a group, or ties are ranked in any order.
     """
-    cut = df.withColumn("__range", F.floor(F.col(key) / width))
-    sizes = cut.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    dealt = df.withColumn("__range", F.floor(F.col(key) / width))
+    sizes = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(*by, "__range", before.alias("__before"))
     inner = F.row_number().over(W.partitionBy(*by, "__range").orderBy(key))
-    joined = cut.withColumn("__inner", inner).join(starts, [*by, "__range"])
+    joined = dealt.withColumn("__inner", inner).join(starts, [*by, "__range"])
     return joined.withColumn(name, F.col("__before") + F.col("__inner")).drop("__range", "__inner", "__before")
 
 
@@ -37,7 +38,8 @@ def corpus_ngrams(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
     before they are shuffled. Keys are unique.
     """
     parts = df.select(F.col(group).alias("__g"), F.col(key).alias("__key"), fx.tokens(text).alias("__t")).where(F.size("__t") > 0)
-    heads = ranked(parts.select("__g", "__key", F.slice("__t", 1, 2).alias("__head")), ["__g"], "__key", name="__r")
+    # kept, as each use would cut the texts in tokens again
+    heads = cut(ranked(cut(parts.select("__g", "__key", F.slice("__t", 1, 2).alias("__head"))), ["__g"], "__key", name="__r"))
     later = lambda n: heads.select("__g", (F.col("__r") - n).alias("__r"), F.col("__head").alias(f"__h{n}"))
     # null groups are groups too
     same = lambda x, n: x.join(later(n).withColumnsRenamed({"__g": "__og", "__r": "__or"}), F.col("__g").eqNullSafe(F.col("__og")) & (F.col("__r") == F.col("__or")), "left").drop("__og", "__or")
