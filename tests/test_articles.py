@@ -157,3 +157,8 @@ def test_news_of_two_sites(spark):
         assert elements.news(broken, weekly)["content"] is None and elements.news(broken, daily)["published"] is None
     df = spark.createDataFrame([(1, "<article><p>a\u00a0 b</p>\n<p>c</p></article>", "x"), (2, None, "y")], "k int, html string, headline string")
     assert [(r.k, r.content) for r in elements.news_articles(df, "html", ("k", "headline"), daily).orderBy("k").collect()] == [(1, "a b c"), (2, "")]
+
+
+def test_patterns_of_the_domain_are_matched_once(spark):
+    plan = article_queries.maritime_scores(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("suezmax") == 1 and plan.count("lorem") == 2  # once for the text, once for its sentences

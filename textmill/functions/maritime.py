@@ -86,10 +86,21 @@ def valid_sentence(sentence: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def rejection(text: Column, sentences: Column) -> Column:
-    """The first rule of length, words, sentences, relevance and quality that a text fails, or null."""
-    n, m = F.length(text), words(text)
-    return (
-        F.when(n < 50, "too_short").when(n > 8192, "too_long").when(m < 10, "too_few_words").when(m > 1200, "too_many_words").when(F.size(sentences) < 2, "too_few_sentences")
-        .when(relevance(text) < 0.005, "not_maritime_relevant").when(quality(text) < -0.02, "low_quality")
+def scored(df: DataFrame, text: str) -> DataFrame:
+    """df with relevance, quality, sentences (valid ones) and rejection: the first rule of length, words, sentences, relevance and quality that a text fails, or null.
+
+    Each pattern is matched once a text: the measures travel as one array, which the rules read.
+    """
+    x = F.col(text)
+    n, m, count, near, fine = (F.col("__m")[i] for i in range(5))
+    good = F.size(F.filter(fx.protected_sentences(x), valid_sentence))
+    total = sum((matches(x, ps) * (2 if name in TWICE else 1) for name, ps in DOMAIN.items()), F.lit(0))
+    signs = matches(x, GOOD) - matches(x, BAD)
+    measures = F.array(*[c.cast("long") for c in (F.length(x), words(x), good, total, signs)])
+    rows = df.withColumn("__m", measures)
+    relevance, quality = fx.ratio(near, F.coalesce(m, F.lit(0))), F.when(F.coalesce(m, F.lit(0)) == 0, F.lit(-1.0)).otherwise(fine / m)
+    rule = (
+        F.when(n < 50, "too_short").when(n > 8192, "too_long").when(m < 10, "too_few_words").when(m > 1200, "too_many_words").when(count < 2, "too_few_sentences")
+        .when(relevance < 0.005, "not_maritime_relevant").when(quality < -0.02, "low_quality")
     )
+    return rows.select(*df.columns, relevance.alias("relevance"), quality.alias("quality"), count.cast("int").alias("sentences"), rule.alias("rejection"))

@@ -142,10 +142,8 @@ def with_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def maritime_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance, quality and the first rule failed, by the full catalogues."""
-    text = F.col("text")
-    good = F.filter(fx.protected_sentences(text), maritime.valid_sentence)
-    rows = with_phrases(spark, sf_dir)
-    return rows.select("doc_id", F.round(maritime.relevance(text), 6).alias("relevance"), F.round(maritime.quality(text), 6).alias("quality"), F.size(good).alias("sentences"), maritime.rejection(text, good).alias("rejection"))
+    made = maritime.scored(with_phrases(spark, sf_dir), "text")
+    return made.select("doc_id", F.round("relevance", 6).alias("relevance"), F.round("quality", 6).alias("quality"), "sentences", "rejection")
 
 
 NAMED = "'/wiki/' || CASE doc_id % 4 WHEN 0 THEN 'Star_(' || {ending} || ')' WHEN 1 THEN 'Category:' || {category} WHEN 2 THEN 'Harbour_of_' || source ELSE 'category:sea_' || {ending} END"
