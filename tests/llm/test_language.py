@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,10 @@ def test_blocks_and_one_matrix_agree_when_calibrated(spark, rows):
         model = langid.calibrate(df.where(queries.held_out()), langid.fit(df.where(~queries.held_out()), block=block), block=block)
         answers.append(sorted((str(r.doc_id), r.text or "", r.lang_pred, round(r.score, 6)) for r in langid.predict(df, model, keep=("doc_id", "text"), block=block).collect()))
     assert answers[0] == answers[1]
+
+
+def test_all_labelled_texts_are_learnt_from(spark):
+    texts = [f"text {i}" for i in range(9000)]
+    model = langid.fit(spark.createDataFrame([(t, "a") for t in texts], "text string, lang string"))
+    total = len(langid.grams(texts)[0]) + 0.5 * langid.BUCKETS
+    assert np.exp(model.log_prob.astype(np.float64)).min() == pytest.approx(0.5 / total, rel=1e-3)

@@ -1,7 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes at most ``per_language`` texts of each language (by hash of the text, a documented bound) and counts their
-n-grams with Spark; the smoothed log-probability matrix (buckets x languages) goes to the workers as a
+Training counts the n-grams of all labelled texts with Spark; the smoothed log-probability matrix (buckets x languages) goes to the workers as a
 broadcast variable, in blocks of at most BLOCK languages, one pass a block. Scoring multiplies each block's sparse matrix of n-gram occurrences with it in numpy.
 
 A calibrated model also tells texts that are in none of its languages: the mean log-probability of their n-grams under the best
@@ -29,12 +28,9 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Languages of a matrix that is broadcast (of 128 kB each).
 BLOCK = 256
-PER_LANGUAGE = 4000
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 MARGIN = 2.0
-#: Held-out texts that calibrate, at most about; taken by hash of the text.
-CALIBRATE = 20_000
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,21 +65,19 @@ class NaiveBayes:
         self.least = np.full(len(languages), -np.inf)
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE, smoothing: float = 0.5, block: int = BLOCK) -> NaiveBayes:
-    """Learns from rows with text and label: about ``per_language`` of each label, taken by hash of the text (all copies of a text that is taken count)."""
+def fit(df: DataFrame, text: str = "text", label: str = "lang", smoothing: float = 0.5, block: int = BLOCK) -> NaiveBayes:
+    """Learns from all rows with text and label."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().collect()}
-    languages = sorted(sizes)
-    parts = [counted(rows, languages[i : i + block], sizes, per_language) for i in range(0, len(languages), block)]
+    languages = sorted(r["lang"] for r in df.where(F.col(label).isNotNull()).select(F.col(label).alias("lang")).distinct().collect())
+    parts = [counted(rows, languages[i : i + block]) for i in range(0, len(languages), block)]
     counts = np.concatenate([np.zeros((0, BUCKETS)), *parts]) + smoothing
     log_prob = np.log(counts) - np.log(counts.sum(1, keepdims=True))
     return NaiveBayes(languages, np.ascontiguousarray(log_prob.T.astype(np.float32)))
 
 
-def counted(rows: DataFrame, languages: list[str], sizes: dict[str, int], per_language: int) -> np.ndarray:
-    """How often each bucket occurs in the taken texts of each language."""
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+def counted(rows: DataFrame, languages: list[str]) -> np.ndarray:
+    """How often each bucket occurs in the texts of each language."""
+    own = rows.where(F.col("lang").isin(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
@@ -95,7 +89,7 @@ def counted(rows: DataFrame, languages: list[str], sizes: dict[str, int], per_la
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["cell", "n"])
 
-    cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = own.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
     return counts.reshape(len(languages), BUCKETS)
@@ -140,10 +134,8 @@ def scored(df: DataFrame, model: NaiveBayes, text: str, keep: list[str], block:
 def calibrate(df: DataFrame, model: NaiveBayes, text: str = "text", margin: float = MARGIN, block: int = BLOCK) -> NaiveBayes:
     """Sets the model's ``least`` from held-out rows; a language without any takes the lowest of the others, and without rows none is set."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
-    n = rows.count() if model.languages else 0
-    if not n:
+    if not model.languages or rows.isEmpty():
         return model
-    rows = rows.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1_000_000)) < min(1.0, CALIBRATE / n) * 1_000_000)
     mean = F.col("__top") / F.greatest("__grams", F.lit(1))
     told = scored(rows, model, "text", [], block).where("__letter").select(F.col("__best").alias("best"), F.round(mean, 3).alias("mean"))
     # rounded means are few, so a group's buffer is of a bounded size
