@@ -4,8 +4,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from textmill.functions import grams
+from textmill.functions import articles, grams
 from textmill.operators import extract
 
 ODD_TEXTS = ["", "a", "-a/b-9 9a", "x" * 37 + " y", "é1a éa-", "---", "12", "the cat/the-cat 3", "Ab", "a\nb", "9", "z" * 8 + " " + "z" * 9 + " " + "z" * 16]
@@ -51,4 +52,21 @@ def test_top_terms_shuffle_only_what_may_be_kept(spark):
     got = sorted((r.doc_id, r.term, r["rank"]) for r in made.collect())
     assert got == [(1, "a", 2), (1, "c", 4), (1, "d", 1), (3, "z", 1)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert "round(weight" in plan[plan.index("Window [") :].partition("\n")[2]
+    assert re.search(r"Filter.*round\(weight", plan[plan.index("Window [") :].partition("\n")[2])
+
+
+ARTICLE_PIECES = (
+    "a", "Ab", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\u00a0", "\r\n", "\u2028", "\u200b", "\ufeff", "21°42′N", "72°32′E", "1.5°N", "2.25°E", "/", "3.5; -4.5", "/ 1.5; 2.5", "(French: x)", "(Арa)", "(verify)", "(Citation  Needed)",
+    "/ˈəb/", '"', "'", "‘", "„", "«", "»", "\\n", "\\N", "{{c}}", "[[a|b]]", "[[a]]", "[http://x y]", "[HTTP://x]", "<ref a>", "</ref>", "<REF/>", "<b>", "&nbsp;", "&AMP;", "&lt;", "&#12;", "&quot;", "[3]", "â€™", "â€œ", "â€", 'Â€"', "Â", "â", "â€¦", "12", ".",
+)
+
+
+def test_article_patterns_are_left_out_only_where_they_change_nothing(spark):
+    draws = np.random.default_rng(7).integers(0, len(ARTICLE_PIECES), (3000, 9))
+    texts = [*ARTICLE_PIECES, *("".join(ARTICLE_PIECES[i] for i in d[: 1 + j % 9]) for j, d in enumerate(draws))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    plain = articles.replaced(F.col("t"), articles.ARTICLE)
+    assert df.where(~articles.substituted(F.col("t")).eqNullSafe(plain)).select("t").collect() == []
+    assert sum((patterns for patterns, _ in articles.grouped()), ()) == articles.ARTICLE
+    for patterns, needed in articles.grouped():
+        assert df.where((articles.replaced(F.col("t"), patterns) != F.col("t")) & ~needed(F.col("t"))).select("t").collect() == [], patterns

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -67,6 +69,23 @@ ARTICLE = (
     (r" +", " "),
     (r"^\s+|\s+$", ""),
 )
+
+
+def has(*signs: str) -> Callable[[Column], Column]:
+    """Whether all the signs, which have no case, occur in a text."""
+    return lambda x: reduce(and_, (F.contains(x, F.lit(s)) for s in signs))
+
+
+def some(*signs: str) -> Callable[[Column], Column]:
+    return lambda x: reduce(or_, (F.contains(x, F.lit(s)) for s in signs))
+
+
+#: Groups of patterns of ARTICLE, as many each, with a cheap test that each text passes in which one of them changes anything.
+GROUPS = (
+    (1, some("\u200b", "\u200c", "\u200d", "\ufeff")), (3, has("°")), (3, has("°")), (3, lambda x: has(".")(x) & some(";", "/")(x)), (3, has("°")), (2, has("/")), (1, has("°")), (2, has("(", ")")), (1, has("/")),
+    (1, some(*"\"'‘’“”„‚«»")), (1, lambda x: x.rlike(FLAGS + "[\"'„‚«»]$")), (2, has("\n")), (1, has("\\")), (6, some("{{", "[", "<")), (2, has("&", ";")), (5, has("&", ";")), (4, some("[", "(")), (7, some("€", "Â", "â")),
+    (2, some("\t", "  ")), (1, lambda x: x.rlike(FLAGS + r"^\s|\s$")),
+)
 #: Quotation marks and what stands for them.
 QUOTES = (("«", '"'), ("»", '"'), ("„", '"'), ("‚", "'"), ("‹", "'"), ("›", "'"))
 
@@ -89,14 +108,27 @@ def unescaped(text: Column) -> Column:
     return run(text)
 
 
-def substituted(text: Column, patterns: tuple[tuple[str, str], ...] = ARTICLE) -> Column:
+def grouped() -> Iterator[tuple[tuple[tuple[str, str], ...], Callable[[Column], Column]]]:
+    """The patterns of each group, in order, and its test."""
+    at = 0
+    for n, needed in GROUPS:
+        yield ARTICLE[at : at + n], needed
+        at += n
+
+
+def replaced(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, F.lit(FLAGS + p[0]), F.lit(p[1])), patterns, text)
 
 
+def substituted(text: Column) -> Column:
+    """The text after all patterns of ARTICLE; a group is applied only where it may change something."""
+    return reduce(lambda x, group: let(x, lambda y: F.when(group[1](y), replaced(y, group[0])).otherwise(y)), grouped(), text)
+
+
 def clean_article(text: Column | str) -> Column:
     """The cleaned text of an article on one line; "" for null, and for what is left with ten characters or fewer, of figures only or of signs only."""
     x = substituted(unescaped(nfkc(F.coalesce(col(text), F.lit("")))))
-    x = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    x = F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
     for sign, plain in QUOTES:
         x = F.replace(x, F.lit(sign), F.lit(plain))
     bad = lambda y: (F.length(y) <= 10) | y.rlike(r"(?U)^\d+\.?\s*$") | y.rlike(r"(?U)^[^\w]*$")
