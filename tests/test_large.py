@@ -1,5 +1,6 @@
 """Steps that grew faster than their input: same results as plain Python, and no more work than needed."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import articles, grams
 from textmill.operators import extract
+from textmill.plans.annotation_queries import token_masks
 
 ODD_TEXTS = ["", "a", "-a/b-9 9a", "x" * 37 + " y", "é1a éa-", "---", "12", "the cat/the-cat 3", "Ab", "a\nb", "9", "z" * 8 + " " + "z" * 9 + " " + "z" * 16]
 
@@ -70,3 +72,19 @@ def test_article_patterns_are_left_out_only_where_they_change_nothing(spark):
     assert sum((patterns for patterns, _ in articles.grouped()), ()) == articles.ARTICLE
     for patterns, needed in articles.grouped():
         assert df.where((articles.replaced(F.col("t"), patterns) != F.col("t")) & ~needed(F.col("t"))).select("t").collect() == [], patterns
+
+
+def test_masks_are_drawn_once_for_a_token(spark, tmp_path):
+    texts = [None, "", " \t\n", "one", "a b c d e f g", "  x\x0by"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = token_masks(spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("conv(") == 1
+    want = {}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for j, t in enumerate(list(words)):
+            u = (int(hashlib.md5(f"{i}/{j}:42".encode()).hexdigest()[:8], 16) + 1) / (1 << 32) / 0.15
+            words[j] = "[MASK]" if u <= 0.8 else re.findall(r"[^\x20\x09-\x0D]+", text)[(j * 7 + 3) % len(words)] if u <= 0.9 else t
+        if words:
+            want[i] = (hashlib.md5(" ".join(words).encode()).hexdigest(), words.count("[MASK]"))
+    assert {r.doc_id: (r.masked, r.masks) for r in made.collect()} == want

@@ -62,9 +62,9 @@ def masked(tokens: Column, key: Column, share: float = 0.15, mask: str = "[MASK]
 
     def made(ts: Column) -> Column:
         def one(t: Column, i: Column) -> Column:
-            u = uniform(F.concat_ws("/", key, i), seed) / share
             other = F.get(ts, F.pmod(i * 7 + 3, F.size(ts)))
-            return F.when(u <= 0.8, mask).when((u > 0.8) & (u <= 0.9), other).otherwise(t)
+            # the hash is made once for a token
+            return fx.let(uniform(F.concat_ws("/", key, i), seed) / share, lambda u: F.when(u <= 0.8, mask).when((u > 0.8) & (u <= 0.9), other).otherwise(t))
 
         return F.transform(ts, one)
 
