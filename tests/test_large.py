@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textmill.functions import articles, grams
-from textmill.operators import extract
+from textmill.operators import dedup, extract
 from textmill.plans.annotation_queries import token_masks
+from textmill.plans.article_queries import news_pages
+from textmill.plans.curriculum_queries import difficulty_v2
 
 ODD_TEXTS = ["", "a", "-a/b-9 9a", "x" * 37 + " y", "é1a éa-", "---", "12", "the cat/the-cat 3", "Ab", "a\nb", "9", "z" * 8 + " " + "z" * 9 + " " + "z" * 16]
 
@@ -88,3 +90,34 @@ def test_masks_are_drawn_once_for_a_token(spark, tmp_path):
         if words:
             want[i] = (hashlib.md5(" ".join(words).encode()).hexdigest(), words.count("[MASK]"))
     assert {r.doc_id: (r.masked, r.masks) for r in made.collect()} == want
+
+
+def test_contamination_keeps_no_words(spark):
+    words = lambda t: re.findall(r"[^ \t\n\x0b\f\r]+", (t or "").lower())
+    item = "Aq ΟΔΟΣ\u00a0x c\x1cd E\tf g, h\x0bi"
+    texts = [None, "", item, "zz " + item + " yy", item.replace(" ", "\r\n"), item.replace("\u00a0", " "), " ".join(f"once{i}q" for i in range(40)), item + " " + item]
+    bench = [(1, item), (2, "a b c"), (3, None), (4, item + " one more")]
+    grams_of = lambda t, n=6: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
+    want = {}
+    for i, t in enumerate(texts):
+        shared = [grams_of(t) & grams_of(b) for _, b in bench]
+        if any(shared):
+            want[i] = (sum(map(bool, shared)), len(set().union(*shared)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = dedup.contaminated(df, spark.createDataFrame(bench, "item_id long, text string"), size=6)
+    assert {r.doc_id: (r["items"], r.shared) for r in made.collect()} == want and len(want) == 5
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(f"once{i}q" in grams._known for i in range(40))] * len(batch))], names=["n"])
+
+    assert sum(r.n for r in df.select("doc_id").mapInArrow(kept, "n long").collect()) == 0
+
+
+def test_difficulty_counts_texts_once(spark):
+    made = difficulty_v2(spark, "/root/testdata/sf0.001")
+    assert "regexp_count" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_news_pages_are_dealt_out(spark):
+    assert news_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
