@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.operators import evaluate, sampling
+from textmill.operators.lineage import cut
 from textmill.operators.rollup import overall_rank, running_totals
 from textmill.plans.registry import query
 from textmill.sources.tables import hash_sample, table, union_all
@@ -69,7 +70,8 @@ def difficulty_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EXAMPLES + ", p AS (SELECT quantile_cont(words, 0.95) AS w, quantile_cont(spans, 0.95) AS s FROM e) SELECT doc_id, round(0.6 * least(coalesce(words / nullif(w, 0), 0), 1) + 0.4 * least(coalesce(spans / nullif(s, 0), 0), 1), 6) AS difficulty FROM e, p")
 def difficulty_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sampling.scaled_difficulty(examples(spark, sf_dir), {"words": 0.6, "spans": 0.4})
+    # the quantiles read their rows several times, so texts are counted and sources joined once before
+    made = sampling.scaled_difficulty(cut(examples(spark, sf_dir).select("doc_id", "words", "spans")), {"words": 0.6, "spans": 0.4})
     return made.select("doc_id", F.round("difficulty", 6).alias("difficulty"))
 
 
