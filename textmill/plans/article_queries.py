@@ -11,7 +11,7 @@ from textmill.functions import text as fx
 from textmill.operators import elements, encyclopaedia, labels
 from textmill.plans.quality_queries import ENTITY, PRIMARY, SECONDARY, VETO, WORDS, terms_sql
 from textmill.plans.registry import query
-from textmill.sources.tables import table
+from textmill.sources.tables import spread, table
 
 #: What is put behind each text, and its normal form KC.
 MARKUP = " [3] ﬁn ½ ② (verify) &amp; <b>x</b> 21°42′N 72°32′E / Dahej [[Port of X|the port]] «q»​{{cite}}"
@@ -178,4 +178,5 @@ def news_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<span class="post-author-name"> By ', c("p_type"), ' </span><div class="article"><p>not this one</p></div><div class="td-post-content wide"><p>First ', c("p_name"),
         '.</p><div class="related-articles-box"><p>gone</p></div><ul class="x tags-list"><li><p>gone</p></li></ul><p>Size ', c("p_size").cast("string"), "  of <i>it</i>.<span class=card>gone</span></p></div></body></html>",
     )
-    return elements.news_articles(table(spark, sf_dir, "part").select("p_partkey", html.alias("html")), "html", ("p_partkey",), elements.SITES["daily"])
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    return elements.news_articles(parts.select("p_partkey", html.alias("html")), "html", ("p_partkey",), elements.SITES["daily"])
