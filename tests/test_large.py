@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textmill.functions import articles, grams
-from textmill.operators import dedup, extract
+from textmill.operators import dedup, extract, terms
 from textmill.plans.annotation_queries import token_masks
 from textmill.plans.article_queries import news_pages
 from textmill.plans.curriculum_queries import difficulty_v2
@@ -121,3 +121,22 @@ def test_difficulty_counts_texts_once(spark):
 
 def test_news_pages_are_dealt_out(spark):
     assert news_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_terms_of_a_row_are_one_list(spark, monkeypatch):
+    known = ["a", "ab", "bab", "é", "x" * 70, "b", "", None, "ab", "aab"]
+    texts = [None, "", "ABAB", "é" * 3 + "x" * 100, "aab" * 3000, "zz", "c\u00e8aab"]
+    want = {i: sorted(k for k in {k for k in known if k} if k in (t or "").lower()) for i, t in enumerate(texts)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.terms for r in terms.listed(df, known, "text", "doc_id").collect()} == {i: x for i, x in want.items() if x}
+    cut = terms.listed(df, known, "text", "doc_id", term_bytes=4).groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("terms"))).alias("terms"))
+    assert {r.doc_id: r.terms for r in cut.collect()} == {i: x for i, x in want.items() if x}
+    # with and without the table of states
+    raw = [(t or "").encode() for t in texts]
+    offsets, data = np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8)
+    own = [k.encode() for k in dict.fromkeys(filter(None, known))]
+    quick = terms.Automaton(own)
+    monkeypatch.setattr(terms, "TABLE", 0)
+    slow = terms.Automaton(own)
+    assert quick.table is not None and slow.table is None
+    assert sorted(zip(*map(np.ndarray.tolist, quick.places(offsets, data)))) == sorted(zip(*map(np.ndarray.tolist, slow.places(offsets, data))))

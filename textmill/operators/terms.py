@@ -7,7 +7,7 @@ text is as fast as many short ones. Bytes decide, as UTF-8 code points never mat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a lane besides its overlap, of a block of texts, and of the terms of one automaton; a larger dictionary takes more passes.
 LANE, BLOCK_BYTES, TERM_BYTES = 2048, 1 << 22, 1 << 23
+#: Entries of a table of all next states, by state and kind of byte; a larger automaton follows edges and failure links.
+TABLE = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,6 +56,21 @@ class Automaton:
             back = self.fail[low:high]
             self.more[low:high] = np.where(self.term[back] >= 0, back, self.more[back])
         self.hit = (self.term >= 0) | (self.more > 0)
+        used = np.unique(data)
+        self.table, self.kinds = None, len(used) + 1
+        if total * self.kinds <= TABLE:
+            # bytes of no term are of kind 0 and lead back to the start
+            self.kind = np.zeros(256, np.int64)
+            self.kind[used] = np.arange(1, self.kinds)
+            self.table = np.zeros((total, self.kinds), np.int64)
+            for (low, high), edges, (first, end) in zip([(0, 1), *levels], keys[1:], levels):
+                if low:
+                    self.table[low:high] = self.table[self.fail[low:high]]
+                self.table[edges >> 8, self.kind[edges & 255]] = np.arange(first, end)
+            if levels:
+                low, high = levels[-1]
+                self.table[low:high] = self.table[self.fail[low:high]]
+            self.table = self.table.ravel()
 
     def hash(self, keys: np.ndarray) -> None:
         """Edge i leads to state i + 1."""
@@ -115,7 +132,8 @@ class Automaton:
         length = end - at
         for i in range(int(length.max(initial=0))):
             live = int(np.searchsorted(-length, -i, side="left"))
-            now = self.step(state[:live], data[at[:live] + i].astype(np.int64))
+            byte = data[at[:live] + i]
+            now = self.step(state[:live], byte.astype(np.int64)) if self.table is None else self.table[state[:live] * self.kinds + self.kind[byte]]
             state[:live] = now
             hits = np.flatnonzero(self.hit[now])
             hits = hits[at[hits] + i >= own[hits]]
@@ -158,9 +176,28 @@ def scan(df: DataFrame, terms: list[str], text: str, key: str, counted: bool = T
     The dictionary is broadcast, in groups of at most ``term_bytes``, one pass each; empty terms and nulls are left out, equal ones are one. Rows without a
     term give nothing; a null text is an empty one.
     """
+
+    def rows(keys: pa.Array, at: np.ndarray, term: np.ndarray, n: np.ndarray, names: pa.Array) -> list[pa.Array]:
+        return [keys.take(pa.array(at)), names.take(pa.array(term)), pa.array(n)]
+
+    return passes(df, terms, text, key, "term string, n long", rows, term_bytes)
+
+
+def listed(df: DataFrame, terms: list[str], text: str, key: str, term_bytes: int = TERM_BYTES) -> DataFrame:
+    """(key, terms): the terms of ``scan`` as one ascending list a row and group of the dictionary."""
+
+    def rows(keys: pa.Array, at: np.ndarray, term: np.ndarray, n: np.ndarray, names: pa.Array) -> list[pa.Array]:
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        return [keys.take(pa.array(at[first])), pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), names.take(pa.array(term)))]
+
+    return passes(df, terms, text, key, "terms array<string>", rows, term_bytes)
+
+
+def passes(df: DataFrame, terms: list[str], text: str, key: str, added: str, rows: Callable[..., list[pa.Array]], term_bytes: int) -> DataFrame:
+    """key and ``added``, made by rows(keys, row, term, times, names) from the different terms of a block's rows, by row, then term."""
     known = sorted({t for t in terms if t})
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
-    rows = df.select(F.col(f"`{key}`"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary").alias("__text"))
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string(added).fields])
+    lowered = df.select(F.col(f"`{key}`"), F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary").alias("__text"))
     out = None
     for group in groups(known, term_bytes):
         shared = df.sparkSession.sparkContext.broadcast([known[i] for i in group])
@@ -177,9 +214,9 @@ def scan(df: DataFrame, terms: list[str], text: str, key: str, counted: bool = T
                     at, _, term = machine.places(sizes[first : end + 1], data)
                     pairs, n = np.unique(at * len(names) + term, return_counts=True)
                     if len(pairs):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + pairs // len(names))), names.take(pa.array(pairs % len(names))), pa.array(n)], names=[key, "term", "n"])
+                        yield pa.RecordBatch.from_arrays(rows(batch.column(0), first + pairs // len(names), pairs % len(names), n, names), names=schema.fieldNames())
                     first = end
 
-        made = rows.mapInArrow(run, schema)
+        made = lowered.mapInArrow(run, schema)
         out = made if out is None else out.unionByName(made)
     return out if out is not None else df.sparkSession.createDataFrame([], schema)
