@@ -3,15 +3,18 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.compare import differences
 from textmill.functions import articles, grams
 from textmill.operators import dedup, extract, terms
 from textmill.plans.annotation_queries import token_masks
 from textmill.plans.article_queries import news_pages
 from textmill.plans.curriculum_queries import difficulty_v2
+from textmill.plans.text_queries import TOKENS, grams as grams_sql, ttr_by_group
 
 ODD_TEXTS = ["", "a", "-a/b-9 9a", "x" * 37 + " y", "é1a éa-", "---", "12", "the cat/the-cat 3", "Ab", "a\nb", "9", "z" * 8 + " " + "z" * 9 + " " + "z" * 16]
 
@@ -140,3 +143,62 @@ def test_terms_of_a_row_are_one_list(spark, monkeypatch):
     slow = terms.Automaton(own)
     assert quick.table is not None and slow.table is None
     assert sorted(zip(*map(np.ndarray.tolist, quick.places(offsets, data)))) == sorted(zip(*map(np.ndarray.tolist, slow.places(offsets, data))))
+
+
+SIGNS = ["", "a", "-", "_", "__", "a_b", "a\x0bb", "!!", "é!È a\u0301", "İİ x", "ΟΔΟΣ οδοσ.", "日本 語", "𝒳y 😀😀z", "a\u00a0b", "€", "x€", "!\u2028 ", "", "a\n\nb\t\f\rc", "$ ~^ `a`", "Ⅷ Ⓐ ²", "e" * 40]
+
+
+def test_tokens_of_bytes_are_those_of_sql():
+    texts = SIGNS + ["".join(map(chr, range(i, i + 500))) for i in range(1, 0x3001, 500)]
+    con = duckdb.connect()
+    con.register("t", pa.table({"i": range(len(texts)), "text": texts}))
+    want = [(i, x) for i, tokens in con.execute(f"SELECT i, {TOKENS} FROM t ORDER BY i").fetchall() for x in tokens]
+    # one letter newer than some tables
+    texts = [t.replace("\u1c89", "") for t in texts]
+    want = [(i, x.replace("\u1c89", "")) for i, x in want]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    for limit in (1, 40, 1 << 20):
+        got = []
+        for block, offsets, data in grams.text_blocks(grams.lowered(iter([batch.slice(0, 5), batch.slice(5)]), 1), 1, limit):
+            for r, a, b in zip(*grams.token_runs(offsets, data)):
+                got.append((block.column(0)[int(r)].as_py(), data[a:b].tobytes().decode()))
+        assert got == want
+
+
+def test_sets_of_grams_in_any_cut(monkeypatch):
+    """Sets of few tokens, and parts that go on in the next batch, count as one set does."""
+    rng = np.random.default_rng(3)
+    rows = [([None, "a", "b"][int(rng.integers(3))], rng.integers(0, 9, int(rng.integers(0, 12))).astype(np.uint64) * grams.ODD) for _ in range(300)]
+    want = {}
+    for name, tokens in rows:
+        for n in (1, 2, 3):
+            want.setdefault((name, n), []).extend(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+    want = {k: (len(set(v)), len(v)) for k, v in want.items()}
+    for limit, cut in ((1, 1), (100, 7), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(grams, "SET_TOKENS", limit)
+        monkeypatch.setattr(grams, "HELD_GRAMS", limit)
+        blocks = [(pa.array([x[0] for x in some], pa.string()), np.array([len(x[1]) for x in some]), np.concatenate([x[1] for x in some]), None) for some in (rows[i : i + 20] for i in range(0, 300, 20))]
+        table = pa.Table.from_batches(grams.sets(iter(blocks), 3)).sort_by([("group", "ascending"), ("n", "ascending"), ("part", "ascending")]).combine_chunks()
+        got = {}
+        for made in grams.set_sizes(iter([*table.slice(0, 0).to_batches(), *table.to_batches(max_chunksize=cut)])):
+            for r in made.to_pylist():
+                kinds, total = got.get((r["group"], r["n"]), (0, 0))
+                got[r["group"], r["n"]] = kinds + r["kinds"], total + r["total"]
+        assert got == want
+
+
+def test_ratios_of_groups_on_odd_texts(spark, tmp_path):
+    """Groups and texts that are null, texts of no token or one, groups of one or two tokens: as SQL has it, across texts too."""
+    texts = [*SIGNS, None, "to be or not to be", "be", "to", "or not", *"abcab", None, "one", "two words", "end"]
+    rows = [(i * 1500, t, None, [None, "x", "y"][i * 7 % 3]) for i, t in enumerate(texts)]
+    rows += [(100_001, "single", None, "p"), (100_002, "two two", None, "q"), (100_003, "", None, "r"), (None, "the last", None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert not differences(spark, str(tmp_path), ttr_by_group, grams_sql("source") + ", round((d1 + d2 + d3) / 3, 6) AS mean_ttr FROM r", con)
+
+
+def test_ratios_of_groups_find_tokens_in_bytes(spark):
+    """No tokens are made in the plan, and n-grams are shuffled by parts of sets, not one by one."""
+    plan = ttr_by_group(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("grams#") > 0

@@ -31,48 +31,65 @@ def ranked(df: DataFrame, by: list[str], key: str, width: int = 4096, name: str
     return joined.withColumn(name, F.col("__before") + F.col("__inner")).drop("__range", "__inner", "__before")
 
 
-def corpus_ngrams(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
-    """(group, n, gram, count) for n of 1 to 3, grams as hashes, over the texts of a group joined in order of the key; n-grams may cross texts.
+def ngram_kinds(df: DataFrame, group: str, key: str, text: str, longest: int = 3) -> DataFrame:
+    """(group, n, kinds, total): different and all n-grams of up to ``longest`` tokens, by their hashes, of the texts of a group joined in order of the key; n-grams may cross texts.
 
-    A text's last n-grams reach into the first two tokens of the texts that follow, so keys and first tokens alone are put in order. Counts are added up for each block of texts
-    before they are shuffled. Keys are unique.
+    Tokens are found in the bytes of texts, which stay where they are. A worker puts the n-grams of a block of texts in sets, and sets are shuffled by parts, in seven bytes a gram. N-grams
+    that cross texts lie in the last tokens of one and the first of those that follow: only these are put in order. ``longest`` is 2 at least. Keys are unique; a null key is the last.
     """
-    parts = df.select(F.col(group).alias("__g"), F.col(key).alias("__key"), fx.tokens(text).alias("__t")).where(F.size("__t") > 0)
-    # kept, as each use would cut the texts in tokens again
-    heads = cut(ranked(cut(parts.select("__g", "__key", F.slice("__t", 1, 2).alias("__head"))), ["__g"], "__key", name="__r"))
-    later = lambda n: heads.select("__g", (F.col("__r") - n).alias("__r"), F.col("__head").alias(f"__h{n}"))
-    # null groups are groups too
-    same = lambda x, n: x.join(later(n).withColumnsRenamed({"__g": "__og", "__r": "__or"}), F.col("__g").eqNullSafe(F.col("__og")) & (F.col("__r") == F.col("__or")), "left").drop("__og", "__or")
-    none = F.array().cast("array<string>")
-    after = F.slice(F.concat(F.coalesce("__h1", none), F.coalesce("__h2", none)), 1, 2)
-    follow = same(same(heads.select("__g", "__key", "__r"), 1), 2).select(F.col("__key").alias("__k2"), after.alias("__after"))
-    whole = parts.join(follow, F.col("__key") == F.col("__k2"), "left").withColumn("__after", F.coalesce("__after", none))
-    whole = whole.select("__g", F.concat("__t", "__after").alias("__t"), F.size("__after").alias("__extra"))
-    schema = T.StructType([T.StructField("__g", df.schema[group].dataType), *T._parse_datatype_string("n int, gram long, count long").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in grams.blocks(batches, 1):
-            rows, hashes = grams.hashed(block.column(1))
-            ends = np.cumsum(np.bincount(rows, minlength=block.num_rows))
-            extra = block.column(2).to_numpy()
-            names = block.column(0).dictionary_encode(null_encoding="encode")
-            code = names.indices.to_numpy()
-            for n in (1, 2, 3):
-                row, place, gram = grams.ngrams(rows, hashes, n)
-                own = place < ends[row] - extra[row]  # it begins in the text itself
-                c, g, count = grams.distinct(code[row[own]], gram[own])
-                if len(c):
-                    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(c)), pa.array(np.full(len(c), n, np.int32)), pa.array(g), pa.array(count)], names=schema.fieldNames())
-
-    return whole.mapInArrow(run, schema).groupBy(F.col("__g").alias(group), "n", "gram").agg(F.sum("count").alias("count"))
+    most = longest - 1
+    name, place = F.col(group).alias("__name"), F.coalesce(F.col(key), F.lit((1 << 63) - 1)).alias("__key")
+    valid = F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).alias("__text")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, offsets, data in grams.text_blocks(grams.lowered(batches, 2), 2):
+            row, start, end = grams.token_runs(offsets, data)
+            size = np.bincount(row, minlength=block.num_rows)
+            full, last = np.flatnonzero(size), np.cumsum(size)
+            few = np.minimum(size, most)[full]
+            lists = []
+            for first in ((last - size)[full], last[full] - few):
+                to = np.cumsum(few)
+                at = np.repeat(first - (to - few), few) + np.arange(few.sum())
+                hashes = grams.word_hashes(data, start[at], end[at]).view(np.int64)
+                lists.append(pa.ListArray.from_arrays(np.append(0, to).astype(np.int32), pa.array(hashes)))
+            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(full)), block.column(1).take(pa.array(full)), *lists], names=["__name", "__key", "__head", "__tail"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for block, offsets, data in grams.text_blocks(grams.lowered(batches, 1), 1):
+            row, start, end = grams.token_runs(offsets, data)
+            yield block.column(0), np.bincount(row, minlength=block.num_rows), grams.word_hashes(data, start, end), None
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for block in batches:
+            size = np.asarray(block.column(1).value_lengths(), np.int64)
+            yield block.column(0), size, np.asarray(block.column(1).flatten()).view(np.uint64), size - block.column(2).to_numpy()
+
+    fields = lambda rest: T.StructType([T.StructField("__name", df.schema[group].dataType), *T._parse_datatype_string(rest).fields])
+    edges = df.select(name, place, valid).mapInArrow(ends, fields("__key long, __head array<long>, __tail array<long>"))
+    # null groups are groups too: structs that hold null are equal
+    heads = cut(ranked(cut(edges.select(F.struct("__name").alias("__g"), "__key", "__head", "__tail")), ["__g"], "__key", name="__r"))
+    later = lambda i: heads.select("__g", (F.col("__r") - i).alias("__r"), F.col("__head").alias(f"__h{i}"))
+    none, follow = F.array().cast("array<long>"), heads
+    for i in range(1, most + 1):
+        follow = follow.join(later(i), ["__g", "__r"], "left")
+    after = F.slice(F.concat(*[F.coalesce(f"__h{i}", none) for i in range(1, most + 1)]), 1, most).alias("__after")
+    seams = follow.select("__g.__name", "__tail", after).where(F.size("__after") > 0).select("__name", F.concat("__tail", "__after").alias("__t"), F.size("__after").alias("__extra"))
+
+    rows = fields("n int, part int, total long, grams binary")
+    made = df.select(name, valid).mapInArrow(lambda batches: grams.sets(inside(batches), longest), rows)
+    made = made.union(seams.mapInArrow(lambda batches: grams.sets(across(batches), longest), rows))
+    dealt = made.repartition("__name", "n", "part").sortWithinPartitions("__name", "n", "part")
+    sizes = dealt.mapInArrow(grams.set_sizes, fields("n int, kinds long, total long"))
+    return sizes.groupBy(F.col("__name").alias(group), "n").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"))
 
 
 def distinct_ratios(df: DataFrame, group: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """tokens, distinct_1, distinct_2, distinct_3 and their mean for each group."""
-    counts = corpus_ngrams(df, group, key, text)
-    by_n = counts.groupBy(group, "n").agg(F.count("*").alias("kinds"), F.sum("count").alias("total"))
+    """tokens, distinct_1, distinct_2, distinct_3 and their mean for each group; not a number where a group has no n-gram, as in SQL."""
+    by_n = ngram_kinds(df, group, key, text)
     pick = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    wide = by_n.groupBy(group).agg(pick(1, "total").alias("tokens"), *[fx.ratio(pick(n, "kinds"), pick(n, "total")).alias(f"distinct_{n}") for n in (1, 2, 3)])
+    share = lambda n: F.coalesce(F.try_divide(pick(n, "kinds").cast("double"), pick(n, "total")), F.lit(float("nan"))).alias(f"distinct_{n}")
+    wide = by_n.groupBy(group).agg(pick(1, "total").alias("tokens"), *[share(n) for n in (1, 2, 3)])
     return wide.withColumn("mean_ratio", (F.col("distinct_1") + F.col("distinct_2") + F.col("distinct_3")) / 3)
 
 
